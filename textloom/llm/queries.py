@@ -17,6 +17,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.warc import archive_report
+
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.langid import identify
 
@@ -27,6 +49,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op6_warc_archive,
+        op7_bpe_round_trip,
+        op9_packing,
         op10_language_id,
     )
 }
@@ -40,5 +65,17 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(raw) DESC, doc_id ASC NULLS LAST)
 )
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op6_warc_archive": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages
+), g AS (
+  SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS rk
+  FROM p WINDOW w AS (PARTITION BY payload ORDER BY page_id ASC NULLS LAST)
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN n >= 100 AND rk > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND rk > 1 THEN first_id END AS refers_to
+FROM g
 """,
 }

@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.simhash import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.warc import archive_report
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op3_simhash_near_dedup,
         op6_warc_archive,
         op7_bpe_round_trip,
         op9_packing,

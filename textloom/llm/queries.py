@@ -23,6 +23,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.warc import archive_report
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_dedup,
         op3_simhash_near_dedup,
+        op4_substring_dedup,
         op6_warc_archive,
         op7_bpe_round_trip,
         op9_packing,
@@ -72,6 +79,27 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(raw) DESC, doc_id ASC NULLS LAST)
 )
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op4_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35
+), h AS (
+  SELECT s.r, i, md5(array_to_string(d.w[i:i + 34], ' ')) AS k FROM s JOIN d USING (r)
+), rep AS (
+  SELECT r, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM rep
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS t FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p WHERE gone.r IS NULL GROUP BY 1
+), n AS (
+  SELECT r, count(*) AS n FROM gone GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
 """,
     "op6_warc_archive": r"""
 WITH p AS (

@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.embed_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.simhash import near_dedup
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_embedding_near_dedup,
         op3_simhash_near_dedup,
         op4_substring_dedup,
         op6_warc_archive,
@@ -79,6 +86,26 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(raw) DESC, doc_id ASC NULLS LAST)
 )
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op2_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+), c AS (
+  SELECT a, min(b) AS c FROM r GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.c, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.c, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """,
     "op4_substring_dedup": r"""
 WITH d AS (

@@ -1,16 +1,24 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, sanitising and packing, each over what the one before kept."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, sanitising and packing, each over what the one before kept.
+
+Every stage takes (spark, docs, sf_dir), where docs is a table read from Parquet, and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.exact_dedup import drop_copies
 from textloom.llm.langid import keep_identified
+from textloom.llm.packing import pack
+from textloom.llm.pii import sanitise
 from textloom.llm.scratch import written
+from textloom.llm.simhash import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified."""
+    """Documents whose language is identified; the model is learned from docs' own labels."""
     return keep_identified(docs)
 
 
@@ -19,15 +27,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints link."""
+    return drop_near_copies(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and disclosing terms generalised."""
+    return sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("pii", private), ("packing", packed)]
 
 #: Trained models, SimHash and subword tokens are not to be had in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet and read again as the next one's documents."""
+    """The stages in order, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

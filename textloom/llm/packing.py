@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import splitter
+from textloom.llm.bpe import byte_symbols, splitter
 from textloom.llm.scratch import written
 
 WINDOW = 1024
@@ -47,15 +47,20 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.split = splitter(False)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_symbols()))
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        """A word is split already: the library's model encodes it, spelt in the characters that stand for its bytes."""
+        if word in self.added:
+            ids = [self.tokenizer.token_to_id(word)]
+        else:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        self[word] = got = b"".join([i.to_bytes(4, "little") for i in ids])
+        return got
 
     def of(self, text: str) -> bytes:
         """The whole text's ids. Words are split as the library's byte-level pattern splits them, and encoded once each."""

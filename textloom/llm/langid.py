@@ -1,14 +1,14 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A word's subwords are its character n-grams (1 to 4, with word ends marked) and the word itself, hashed into ``buckets``
+A word's subwords are its character n-grams (1 to 4 letters or word ends) and the word itself, hashed into ``buckets``
 rows of an embedding table. A text is the average of its subwords' embeddings; a linear layer and a softmax give the
 languages' probabilities. Table and layer are trained together by stochastic gradient descent in numpy on a bounded
 sample of labelled documents (``sample``, a parameter). A fifth of the sample is held back to fit the softmax's
 temperature and the rejection threshold: the largest, up to ``ceiling``, that rejects at most ``loss`` of the held-back
 documents which the model gets right.
 
-As the model is linear in the average, a word's share of the scores is one row of numbers: tasks score each distinct
-word once and add rows up, over whole texts of any length.
+As the model is linear in the average, a subword's share of the scores is one row of numbers: tasks hash all n-grams of
+some texts at once and add their rows up, over whole texts of any length.
 
 Defined cases: text that is null, empty or without a letter gives ``und`` with score 0 and is rejected; null doc_ids
 are never learned from and count as not held out; with no labelled row at all every text is ``und``; extra columns are
@@ -17,10 +17,9 @@ passed on by ``keep_identified``.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
-#: Words in a task's memory before it starts afresh.
-CACHE = 400_000
+#: Characters that a task scores at once.
+CHUNK = 1 << 18
 #: Labelled documents to learn from, at most.
 SAMPLE = 4000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -45,37 +43,63 @@ class LanguageModel:
     threshold: float = 0.0
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of the n-grams of a lower-case word and of the word."""
-    marked = f"<{word}>"
-    found = {marked}
-    for n in range(1, 5):
-        found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(x.encode()) % buckets for x in sorted(found)]
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+
+
+def letters_of(text: str) -> np.ndarray:
+    """Code points of the lower-case text, with 0 for all that is no letter, and a 0 at each end."""
+    c = np.frombuffer(f"\n{text.lower()}\n".encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[np.minimum(c, 0xFFFF)]
+    far = np.flatnonzero(c > 0xFFFF)
+    if len(far):
+        letter[far] = [chr(x).isalpha() for x in c[far].tolist()]
+    return np.where(letter, c, np.uint32(0))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def _mixed(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h ^ (h >> np.uint32(13))) % np.uint32(buckets)).astype(np.int32)
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, rate: float = 2.0, piece: int = 40, pieces: int = 8, ceiling: float = 0.5, loss: float = 0.001, seed: int = 1) -> LanguageModel:
+def subwords(c: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of 1 to 4 letters or word ends, and then for whole words: places in c, and their buckets."""
+    inside = c != 0
+    h, apart = np.zeros(len(c), np.uint32), np.ones(len(c), bool)
+    for n in range(1, 5):
+        size = len(c) - n + 1
+        if size <= 0:
+            return
+        h = h[:size] * np.uint32(0x9E3779B1) + c[n - 1 :] + np.uint32(n)
+        if n > 2:
+            apart = apart[:size] & inside[n - 2 : n - 2 + size]  # no word end between its ends
+        ok = apart[:size] & (inside[:size] | inside[n - 1 :]) if n != 3 else apart[:size]
+        at = np.flatnonzero(ok)
+        yield at, _mixed(h[at], buckets)
+    start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(start):
+        end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        of = np.repeat(start, end - start)
+        place = np.flatnonzero(inside)
+        powers = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
+        yield start, _mixed(np.add.reduceat(c[place] * powers[(place - of) & 63], np.append(0, (end - start).cumsum()[:-1])) ^ np.uint32(0xA5A5A5A5), buckets)
+
+
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 3, rate: float = 2.0, piece: int = 40, pieces: int = 4, ceiling: float = 0.4, loss: float = 0.001, seed: int = 1) -> LanguageModel:
     """rows: (text, language). Long texts are cut into pieces of words, so that short texts are learned too."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     examples: list[tuple[np.ndarray, int]] = []
     held: list[tuple[np.ndarray, int]] = []
-    known: dict[str, list[int]] = {}
     for k, (text, lang) in enumerate(rows):
-        words = [w for w in words_of(text) if any(map(str.isalpha, w))]
+        words = text.split()
         starts = list(range(0, len(words), piece))
         rng.shuffle(starts)
         for s in starts[:pieces]:
-            ids: list[int] = []
-            for w in words[s : s + piece]:
-                if w not in known:
-                    known[w] = subwords(w, buckets)
-                ids += known[w]
-            (held if k % 5 == 4 else examples).append((np.array(ids), langs.index(lang)))
+            ids = [x for _, x in subwords(letters_of(" ".join(words[s : s + piece])), buckets)]
+            if ids and len(ids[0]):
+                (held if k % 5 == 4 else examples).append((np.concatenate(ids), langs.index(lang)))
     table = rng.normal(0, 0.1, (buckets, dim))
     layer = np.zeros((dim, len(langs)))
     bias = np.zeros(len(langs))
@@ -114,34 +138,45 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-class _Rows(dict):
-    """Of each word, the row of its summed scores and count of subwords."""
-
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights, self.sums = weights, np.zeros((1024, weights.shape[1] + 1))
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        if any(map(str.isalpha, word)):
-            ids = subwords(word, len(self.weights))
-            self.sums[k, :-1], self.sums[k, -1] = self.weights[ids].sum(0), len(ids)
-        self[word] = k
-        return k
-
-
 def scorer(model: LanguageModel):
-    """A function from texts to (language, probability, rejected)."""
-    rows = _Rows(model.weights)
-
-    def score(text: str | None) -> tuple[str, float, bool]:
-        if len(rows) > CACHE:
-            rows.clear()
-        words = words_of(text)
-        at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-        total = rows.sums[at].sum(0) if len(at) else np.zeros(1)
+    """A function from a list of texts to a list of (language, probability, rejected)."""
+    # a column more counts the subwords
+    weights = np.hstack([model.weights, np.ones((len(model.weights), 1))]).astype(np.float32)
+
+    def sums(texts: list[str]) -> np.ndarray:
+        """Summed scores and counts of some texts at once: a line end parts them, so that no subword spans two."""
+        c = letters_of("\n".join(texts))
+        starts = np.cumsum([0] + [len(x.lower()) + 1 for x in texts[:-1]]) + 1
+        total = np.zeros((len(texts), weights.shape[1]))
+        for at, bucket in subwords(c, len(weights)):
+            # a gram that begins with the line end before a text is the text's own
+            cut = np.searchsorted(at, starts - 1)
+            cut[0] = 0
+            rows = weights[bucket]
+            some = np.flatnonzero(np.diff(np.append(cut, len(at))))
+            if len(some):
+                total[some] += np.add.reduceat(rows, cut[some], dtype=np.float64)
+        return total
+
+    def score(texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        totals, held, size = [], [], 0
+        for text in texts:
+            for piece in cut_long(text or ""):
+                held.append((len(totals), piece))
+                size += len(piece)
+            totals.append(np.zeros(weights.shape[1]))
+            if size > CHUNK:
+                fold_in(totals, held)
+                held, size = [], 0
+        fold_in(totals, held)
+        return [told(x) for x in totals]
+
+    def fold_in(totals: list, held: list) -> None:
+        if held:
+            for (k, _), got in zip(held, sums([x for _, x in held])):
+                totals[k] = totals[k] + got
+
+    def told(total: np.ndarray) -> tuple[str, float, bool]:
         if total[-1] == 0 or not model.langs:
             return UNKNOWN, 0.0, True
         p = softmax((total[:-1] / total[-1] + model.bias) / model.temperature)
@@ -151,6 +186,17 @@ def scorer(model: LanguageModel):
     return score
 
 
+def cut_long(text: str) -> Iterator[str]:
+    """A text in pieces of at most about CHUNK characters, cut at blanks where there are any: all of it is scored."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = text.rfind(" ", at + 1, at + CHUNK)
+        end = end if end > 0 else at + CHUNK
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def fold(doc_id="doc_id"):
     """crc32 of the doc_id as text, mod 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -176,7 +222,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
         for batch in batches:
-            got = [score(x) for x in batch.column(2).to_pylist()]
+            got = score(batch.column(2).to_pylist())
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -191,6 +237,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([not score(x)[2] for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not rejected for _, _, rejected in score(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -28,7 +28,7 @@ from textloom.llm.langid import cut_long, fold, letters_of
 
 SPAN, STRIDE = 16, 8
 GRAMS = (3, 5)
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 17, 1 << 20
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 17, 1 << 22
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 4, 4, 8, 8
 GRAM_SCALE = 0.3
 #: Documents to learn from, at most.
@@ -112,6 +112,22 @@ class Network:
         self.dense |= {"Wa": rng.normal(0, 0.4, (2 * HIDDEN, ATTENTION)).astype(f), "ba": np.zeros(ATTENTION, f), "va": rng.normal(0, 0.4, ATTENTION).astype(f), "wo": rng.normal(0, 0.4, 2 * HIDDEN).astype(f), "bo": np.zeros(1, f)}
         self.scale, self.shift = 1.0, 0.0
 
+    def __getstate__(self) -> dict:
+        """Only the rows that training has touched travel to the tasks."""
+        state = dict(self.__dict__)
+        for name in ("words", "grams"):
+            rows = np.flatnonzero(state[name].any(1))
+            state[name] = (state[name].shape, rows.astype(np.int32), state[name][rows])
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = dict(state)
+        for name in ("words", "grams"):
+            shape, rows, values = state[name]
+            table = np.zeros(shape, np.float32)
+            table[rows] = values
+            setattr(self, name, table)
+
     def inputs(self, word: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         x = np.zeros((len(word), WORD_DIM + GRAM_DIM), np.float32)
         x[:, :WORD_DIM] = self.words[word]
@@ -251,8 +267,8 @@ def _seed_scores(corpus: _Corpus, label: np.ndarray, used: np.ndarray) -> np.nda
     return np.where(corpus.mask, word[corpus.at], -np.inf).max(1)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 7, per_text: int = 4, batch: int = 256, seed: int = 1) -> Network | None:
-    """rows: (text, 0 or 1). None without texts of both kinds."""
+def train(rows: list[tuple[str, int]], epochs: int = 7, per_text: int = 4, batch: int = 256, base_rate: float | None = None, seed: int = 1) -> Network | None:
+    """rows: (text, 0 or 1), with base_rate the share of toxic texts where they come from. None without texts of both kinds."""
     rows = [(x, y) for x, y in rows if any(map(str.isalpha, x))]
     label = np.array([y for _, y in rows], np.int64)
     if len(set(label.tolist())) < 2:
@@ -285,6 +301,9 @@ def train(rows: list[tuple[str, int]], epochs: int = 7, per_text: int = 4, batch
             # some windows without a toxic word are cut short, as short texts are windows too
             length = np.where((truth[pick] == 0) & (rng.random(len(pick)) < 0.4), rng.integers(1, SPAN, len(pick)), SPAN)
             mask = mask & (np.arange(SPAN) < length[:, None])
+            # and in some one word is repeated, as in junk
+            junk = (truth[pick] == 0) & (rng.random(len(pick)) < 0.1)
+            at[junk] = at[junk, :1]
             of, bucket = corpus.grams_of(words)
             x = net.inputs(corpus.word[words], [(of, bucket)])
             logit, kept = net.forward(x, at, mask, keep=True)
@@ -295,20 +314,23 @@ def train(rows: list[tuple[str, int]], epochs: int = 7, per_text: int = 4, batch
                 trainer.rows("grams", bucket, GRAM_SCALE * dx[of, WORD_DIM:])
     best = np.full(len(rows), LOWEST)
     np.maximum.at(best, corpus.of, corpus.scores(net).astype(np.float64))
-    net.scale, net.shift = platt(best[held], label[held]) if len(set(label[held].tolist())) == 2 else (1.0, 0.0)
+    net.scale, net.shift = platt(best[held], label[held], label.mean() if base_rate is None else base_rate) if len(set(label[held].tolist())) == 2 else (1.0, 0.0)
     return net
 
 
-def platt(x: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.05) -> tuple[float, float]:
-    """Scale and shift that make sigmoid(scale * x + shift) fit y, with Platt's softened targets."""
+def platt(x: np.ndarray, y: np.ndarray, base_rate: float, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift that make sigmoid(scale * x + shift) fit y, with Platt's softened targets and the kinds weighted as they
+    are found, by Newton's method."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    a, b = 1.0, 0.0
+    weight = np.where(y == 1, base_rate / n1, (1 - base_rate) / n0)
+    design, w = np.stack([x, np.ones_like(x)], 1), np.array([0.3, 0.0])
     for _ in range(steps):
-        d = weight * (_sigmoid(a * x + b) - target)
-        a, b = max(0.05, a - rate * (d * x).sum()), b - rate * d.sum()
-    return float(a), float(b)
+        p = _sigmoid(design @ w)
+        slope = design.T @ (weight * (p - target))
+        bend = design.T @ (design * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]) + 1e-6 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+    return max(0.05, float(w[0])), float(w[1])
 
 
 def scorer(net: Network | None):
@@ -339,8 +361,9 @@ def scorer(net: Network | None):
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> list[tuple[str, int]]:
-    """(text, toxic) of about ``positives`` and ``negatives`` labelled documents outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[tuple[str, int]], float]:
+    """(text, toxic) of about ``positives`` and ``negatives`` labelled documents outside the held-out fold, and the share of
+    toxic ones among all those."""
     labelled = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).select("doc_id", "toxic")
     total = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 30))
@@ -348,13 +371,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     chosen = labelled.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # at most about positives + negatives rows
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text", "toxic").collect()
-    return [(r.text or "", r.toxic) for r in got]
+    return [(r.text or "", r.toxic) for r in got], total.get(1, 0) / max(1, sum(total.values()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
-    net = net or train(training_rows(docs, labels))
-    model = docs.sparkSession.sparkContext.broadcast(net)  # tables of a fixed size, about 18 MB
+    if net is None:
+        rows, base_rate = training_rows(docs, labels)
+        net = train(rows, base_rate=base_rate)
+    model = docs.sparkSession.sparkContext.broadcast(net)  # tables of a fixed size, their rows that training touched
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)

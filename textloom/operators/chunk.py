@@ -62,6 +62,26 @@ def dialogues(turns: DataFrame, least: int = LEAST) -> DataFrame:
     return numbered.groupBy("conv_id", "chunk_index").agg(said.alias("said")).select("conv_id", "chunk_index", F.array_join(F.transform("said", lambda s: F.concat_ws(": ", s["role"], s["text"])), "\n").alias("chunk"), F.size("said").alias("n_turns"))
 
 
+def merge_small(chunks: DataFrame, least: int = 50, budget: int = 750) -> DataFrame:
+    """Neighbouring chunks of fewer than ``least`` words joined while their words fit the budget; chunks (doc_id, chunk_index, chunk)."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    n = F.size(F.filter(F.split("chunk", r"\s+"), lambda x: x != ""))
+    small = F.col("n_words") < least
+    runs = chunks.withColumn("n_words", n).withColumn("starts", (~small | ~F.coalesce(F.lag(small).over(w), F.lit(False))).cast("int"))
+    numbered = runs.withColumn("run", F.sum("starts").over(w))
+    used = F.sum("n_words").over(Window.partitionBy("doc_id", "run").orderBy("chunk_index"))
+    grouped = numbered.withColumn("part", F.floor((used - 1) / budget))
+    lines = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
+    told = grouped.groupBy("doc_id", "run", "part").agg(F.min("chunk_index").alias("first_index"), F.count("*").alias("n_merged"), F.sum("n_words").alias("n_words"), lines.alias("x"))
+    return told.select("doc_id", "first_index", "n_merged", "n_words", F.array_join(F.transform("x", lambda c: c["chunk"]), "\n").alias("chunk"))
+
+
+def valid_documents(chunks: DataFrame, most: int = 1500) -> DataFrame:
+    """(doc_id, valid): whether no chunk of a document has more than ``most`` words."""
+    n = F.size(F.filter(F.split("chunk", r"\s+"), lambda x: x != ""))
+    return chunks.groupBy("doc_id").agg(F.bool_and(n <= most).alias("valid"))
+
+
 # --- packers: text -> (heading, chunk), ... ------------------------------------------------------------------------------
 
 

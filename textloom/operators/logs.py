@@ -80,6 +80,24 @@ def health(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
     return df.withColumns({**signals, "issues": issues.cast("long"), "level": level})
 
 
+def attached_to_latest(queries: DataFrame, results: DataFrame, key: str, order: list, fields: list[str]) -> DataFrame:
+    """Each key's latest query with the fields of its latest result, null where it has none."""
+    from textloom.operators.search import best_per_key
+
+    last = best_per_key(results, key, order).select(key, *fields)
+    return best_per_key(queries, key, order).join(last, key, "left")
+
+
+def retained(df: DataFrame, ts: str, now: str, days: int = 30) -> DataFrame:
+    return window_of_days(df, now, days, ts)
+
+
+def asked(df: DataFrame, group: str, grounded: str, latency: str) -> DataFrame:
+    """Answers by group: how many, mean groundedness, mean latency, and the rank-index 95th percentile of latency."""
+    sums = df.groupBy(group).agg(F.count("*").alias("n_answers"), F.round(F.avg(grounded), 6).alias("avg_grounded"), F.round(F.avg(latency), 6).alias("avg_latency"))
+    return sums.join(rank_percentiles(df, [group], latency, {"p95_latency": 0.95}), group)
+
+
 RUN_FIELDS = {
     "mode": r"mode=(\w+)",
     "max_files": r"max_files=([0-9]+)",

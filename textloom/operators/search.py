@@ -120,6 +120,16 @@ def keyword_search(docs: DataFrame, words: list[str], k: int, key: str = "doc_id
     return top(scored.withColumn("similarity", F.round(F.least(F.col("raw") / len(words), F.lit(1.0)), 6)), "raw", key, k)
 
 
+def keyword_vector_hybrid(docs: DataFrame, word_hits: DataFrame, vector_hits: DataFrame, words: list[str], k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Hits of either list (key, similarity) at their higher similarity, then 0.7 of it and 0.3 of the share of words in the text's head."""
+    both = word_hits.select(key, "similarity").unionByName(vector_hits.select(key, "similarity")).groupBy(key).agg(F.max("similarity").alias("similarity"))
+    head = F.lower(F.substring(text, 1, 200))
+    share = reduce(lambda a, b: a + b, [F.when(head.contains(w.lower()), 1.0).otherwise(0.0) for w in words]) / len(words)
+    # at most as many rows as both lists have
+    scored = docs.join(F.broadcast(both), key).select(key, F.round(0.3 * share + 0.7 * F.col("similarity"), 6).alias("score"))
+    return top(scored, "score", key, k)
+
+
 def occurrences(text: Column | str, word: str) -> Column:
     t = F.lower(F.col(text) if isinstance(text, str) else text)
     return ((F.length(t) - F.length(F.regexp_replace(t, re.escape(word.lower()), ""))) / len(word)).cast("long")

@@ -166,6 +166,27 @@ def chunk_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dialogues(table(spark, sf_dir, "conversations")).select("conv_id", "chunk_index", F.md5("chunk").alias("digest"), "n_turns")
 
 
+_LINES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+ n AS (SELECT *, len(list_filter(string_split_regex(chunk, '\\s+'), lambda x: x <> '')) AS n_words FROM l)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "chunk"))
+
+
+@query(f"""{_LINES}, s AS (SELECT *, CASE WHEN n_words < 50 AND coalesce(lag(n_words) OVER w < 50, FALSE) THEN 0 ELSE 1 END AS st FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s), u AS (SELECT *, floor((sum(n_words) OVER (PARTITION BY doc_id, run ORDER BY i) - 1) / 750.0) AS part FROM r)
+ SELECT doc_id, CAST(min(i) AS INTEGER) AS first_index, count(*) AS n_merged, CAST(sum(n_words) AS BIGINT) AS n_words, md5(string_agg(chunk, chr(10) ORDER BY i)) AS digest FROM u GROUP BY doc_id, run, part""")
+def chunk_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines joined with their neighbours."""
+    return C.merge_small(_lines(spark, sf_dir)).select("doc_id", "first_index", "n_merged", "n_words", F.md5("chunk").alias("digest"))
+
+
+@query(f"{_LINES} SELECT doc_id, bool_and(n_words <= 150) AS valid FROM n GROUP BY 1")
+def chunk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.valid_documents(_lines(spark, sf_dir), 150)
+
+
 @query()
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "markdown")

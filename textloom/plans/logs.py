@@ -164,6 +164,27 @@ def run_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("user_id", "text", "mode", "success", "rss_peak")
 
 
+@query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'view'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'click')
+ SELECT q.user_id, q.event_id, r.value AS result FROM q LEFT JOIN (SELECT * FROM r WHERE k = 1) r USING (user_id) WHERE q.k = 1""")
+def latest_with_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    results = e.where("event_type = 'click'").withColumnRenamed("value", "result")
+    queries = e.where("event_type = 'view'").select("user_id", "event_id", "ts")
+    return L.attached_to_latest(queries, results, "user_id", [F.desc("ts"), F.desc("event_id")], ["result"]).select("user_id", "event_id", "result")
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 3 DAY")
+def metric_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.retained(_events(spark, sf_dir), "ts", NOW, 3).select("event_id", "user_id")
+
+
+@query(f"""WITH e AS (SELECT event_type, value, {_K} / 100.0::DOUBLE AS g FROM events), s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM e),
+ p AS (SELECT event_type, max(CASE WHEN k = floor(n * 0.95) THEN value END) AS p95_latency FROM s GROUP BY 1)
+ SELECT event_type, count(*) AS n_answers, round(avg(g), 6) AS avg_grounded, round(avg(value), 6) AS avg_latency, any_value(p95_latency) AS p95_latency FROM e JOIN p USING (event_type) GROUP BY 1""")
+def ask_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.asked(_events(spark, sf_dir).withColumn("g", _k() / 100.0), "event_type", "g", "value")
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------------
 
 

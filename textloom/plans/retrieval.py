@@ -188,6 +188,20 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keyword_search(table(spark, sf_dir, "documents"), _LOOK, 20)
 
 
+_WHOLE = [w for w in _LOOK if w != "src1"]
+
+
+@query(f"""WITH v AS (SELECT vec_id AS doc_id, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], {_Q})) / 2, 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20),
+ s AS (SELECT doc_id, round({" + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source), '{w}') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(lang), '{w}') THEN 0.3 ELSE 0 END)::DOUBLE" for w in _WHOLE)}, 6) AS raw FROM documents),
+ k AS (SELECT doc_id, round(least(raw / {len(_WHOLE)}, 1.0), 6) AS similarity FROM s WHERE raw > 0 ORDER BY raw DESC, doc_id LIMIT 20),
+ b AS (SELECT doc_id, max(similarity) AS similarity FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY 1)
+ SELECT doc_id, round(0.3 * (({" + ".join(f"CASE WHEN contains(lower(left(text, 200)), '{w}') THEN 1.0 ELSE 0.0 END" for w in _WHOLE)})::DOUBLE / {len(_WHOLE)}) + 0.7 * similarity, 6) AS score FROM documents JOIN b USING (doc_id) ORDER BY 2 DESC, 1 LIMIT {K}""")
+def hybrid_keyword_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vector = _vector_hits(spark, sf_dir).select("doc_id", F.col("score").alias("similarity"))
+    return S.keyword_vector_hybrid(docs, S.keyword_search(docs, _WHOLE, 20), vector, _WHOLE, K)
+
+
 @query(f"""WITH s AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS n FROM documents) SELECT doc_id, CAST(n AS BIGINT) AS n FROM s WHERE n > 0 ORDER BY n DESC, doc_id LIMIT {K}""")
 def occurrence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "documents").select("doc_id", S.occurrences("text", "the").alias("n")).where("n > 0")

@@ -195,7 +195,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_to_end(J.window_counts(J.stream(spark, sf_dir, "events")), "windows")
 
 
-@query()
+@query(f"""{_SESSIONS}, g AS (SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n_events FROM s GROUP BY user_id, session)
+ SELECT user_id, CAST(first_ts AS TIMESTAMPTZ) AS first_ts, CAST(end_ts AS TIMESTAMPTZ) AS end_ts, n_events FROM g WHERE end_ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_to_end(J.user_sessions(J.stream(spark, sf_dir, "events")), "sessions")
 

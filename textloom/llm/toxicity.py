@@ -220,19 +220,21 @@ class _Trainer:
 
 
 class _Corpus:
-    """Training texts as words, grams by word, and windows."""
+    """Training texts as words, grams by word, and windows; 4-byte numbers, as all of it is in one process."""
 
     def __init__(self, texts: list[str]):
-        held = [words_in(texts[i : i + 64]) for i in range(0, len(texts), 64)]
-        base = np.cumsum([0] + [len(h[1]) for h in held])
-        self.text = np.concatenate([h[0] + 64 * i for i, h in enumerate(held)])
-        self.word = np.concatenate([h[1] for h in held])
-        of = np.concatenate([g[0] + b for h, b in zip(held, base) for g in h[2]])
-        bucket = np.concatenate([g[1] for h in held for g in h[2]])
-        order = np.argsort(of, kind="stable")
-        self.gram, size = bucket[order], np.bincount(of, minlength=len(self.word))
-        self.gram_start = np.append(0, size.cumsum())
-        self.at, self.mask, self.of = windows_of(self.text)
+        text, word, gram, size = [], [], [], []
+        for i in range(0, len(texts), 64):
+            t, w, grams = words_in(texts[i : i + 64])
+            of, bucket = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
+            text.append((t + i).astype(np.int32))
+            word.append(w)
+            gram.append(bucket[np.argsort(of, kind="stable")])
+            size.append(np.bincount(of, minlength=len(w)))
+        self.text, self.word, self.gram = (np.concatenate(x) for x in (text, word, gram))
+        self.gram_start = np.append(0, np.concatenate(size).cumsum())
+        at, self.mask, of = windows_of(self.text)
+        self.at, self.of = at.astype(np.int32), of.astype(np.int32)
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Grams of some words: places in ``words``, and buckets."""
@@ -254,16 +256,20 @@ class _Corpus:
 
 def _seed_scores(corpus: _Corpus, label: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Of each window: the highest z-score, over its words' grams, of the gram's share of toxic against other documents."""
-    of = np.repeat(np.arange(len(corpus.word)), np.diff(corpus.gram_start))
-    doc = corpus.text[of]
-    pair = np.unique(doc[used[doc]].astype(np.int64) * GRAM_BUCKETS + corpus.gram[used[doc]])
-    toxic = label[pair // GRAM_BUCKETS] > 0
-    count = [np.bincount(pair[x] % GRAM_BUCKETS, minlength=GRAM_BUCKETS) for x in (toxic, ~toxic)]
+    count = np.zeros((2, GRAM_BUCKETS), np.int32)
+    words = np.flatnonzero(np.append(True, corpus.text[1:] != corpus.text[:-1]))
+    for first, last in zip(words, np.append(words[1:], len(corpus.text))):
+        text = corpus.text[first]
+        if used[text]:
+            count[1 - label[text], np.unique(corpus.gram[corpus.gram_start[first] : corpus.gram_start[last]])] += 1
     size = [max(1, (label[used] == v).sum()) for v in (1, 0)]
     both = (count[0] + count[1]) / (size[0] + size[1])
     z = (count[0] / size[0] - count[1] / size[1]) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / size[0] + 1 / size[1]))
-    word = np.zeros(len(corpus.word))
-    np.maximum.at(word, of, z[corpus.gram])
+    z, word = z.astype(np.float32), np.zeros(len(corpus.word), np.float32)
+    for i in range(0, len(word), 1 << 16):  # every word has a gram
+        start = corpus.gram_start[i : min(i + (1 << 16), len(word))]
+        end = corpus.gram_start[min(i + (1 << 16), len(word))]
+        word[i : i + (1 << 16)] = np.maximum.reduceat(z[corpus.gram[start[0] : end]], start - start[0])
     return np.where(corpus.mask, word[corpus.at], -np.inf).max(1)
 
 

@@ -10,8 +10,10 @@ judged on the input.
   whole anchors, a bounded number of passages at a time; it confirms the windows that recur by comparing their words,
   compiles the recurring passages into an Aho-Corasick automaton over words (one character each), and streams its
   passages through the automaton to locate every occurrence.
-* Anchors with more than ``HOT`` occurrences would make one shard too large. Their windows are counted one by one under
-  two 64-bit hashes by partial aggregation, and the counts are joined back; no occurrence is left out.
+* Anchors with more than ``HOT`` occurrences would make one shard too large. Their passages are counted under two 64-bit
+  hashes, equal ones of a document first, then by partial aggregation. A passage that occurs twice recurs with all its
+  windows; of the others the windows are counted in the same way, with those of all passages, and the counts joined back.
+  No occurrence is left out.
 
 The documents' words travel compressed, and only to find passages' words and to build the kept text; documents without a
 repeated window are told from the first pass alone.
@@ -23,6 +25,7 @@ repeated rows repeat each other's windows; null doc_ids are kept as rows of thei
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,13 +42,13 @@ from textloom.llm.scratch import written
 WINDOW = 35
 GRAM = 8
 #: Occurrences of one anchor that one shard may hold, and passages that it holds at a time.
-HOT = 4096
+HOT = 1024
 PASSAGES = 8192
 #: Words in a task's memory before it starts afresh.
 CACHE = 400_000
 
 SCANNED = "row long, doc_id long, n_words long, sha256 string, words binary, anchors array<struct<h:long,first:int,last:int>>"
-PASSAGE = "anchor long, row long, first int, words binary, w1 long, w2 long"
+PASSAGE = "anchor long, row long, first int, words binary, c1 long, c2 long, firsts array<int>, windows array<struct<a:long,b:long>>"
 RANGE = "row long, start int, stop int"
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -59,6 +62,15 @@ class _Hashes(dict):
         return h
 
 
+class _Letters(dict):
+    """A character for each word."""
+
+    def __missing__(self, word: bytes) -> str:
+        k = len(self) + 1
+        self[word] = letter = chr(k if k < 0xD800 else k + 0x800)  # not the surrogates
+        return letter
+
+
 class _Rolling:
     """Hashes of all runs of ``size`` words, from prefix sums modulo 2**64."""
 
@@ -82,7 +94,14 @@ def anchors(h: np.ndarray, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, n
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
     g = rolling(h, GRAM)
     width = WINDOW - GRAM + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(len(g) - width + 1)
+    # a gram's place in the hash's low bits: the least of these is the leftmost of the least grams; minima of 2, 4, 8, ... grams
+    low = np.uint64((1 << len(g).bit_length()) - 1)
+    least, size = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
+    while 2 * size <= width:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    if size < width:
+        least = np.minimum(least[: size - width], least[width - size :])
+    at = (least & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     return g[at[first]], first, np.append(first[1:], len(at)) - 1
 
@@ -112,7 +131,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     known, rolling = _Hashes(), _Rolling()
     names = [c.split()[0] for c in PASSAGE.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pair))
     out: list[list] = [[] for _ in names]
 
     def ready() -> pa.RecordBatch:
@@ -122,26 +142,38 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for row, pressed, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        lists = batch.column(2)
+        flat = [x.to_pylist() for x in lists.flatten().flatten()]  # hashes, first and last windows, hot
+        bounds = lists.offsets.to_pylist()
+        base = bounds[0]
+        for k, (row, pressed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            mine = slice(bounds[k] - base, bounds[k + 1] - base)
+            found = list(zip(*(x[mine] for x in flat)))
             joined = expand.decompress(pressed)
             words = joined.split()
             ends = (np.fromiter(map(len, words), np.int64, len(words)) + 1).cumsum() - 1
             begins = np.append(0, ends[:-1] + 1).tolist()
             ends = ends.tolist()
             hashed = None
-            if any(x["hot"] for x in found):
+            if any(x[3] for x in found):
                 if len(known) > CACHE:
                     known.clear()
                 hashed = rolling(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), WINDOW).view(np.int64).tolist()
-            for x in found:
-                if x["hot"]:
-                    for i in range(x["first"], x["last"] + 1):
-                        second = xxhash.xxh64_intdigest(joined[begins[i] : ends[i + WINDOW - 1]]) - (1 << 63)
-                        for column, v in zip(out, (None, row, i, None, hashed[i], second)):
-                            column.append(v)
-                else:
-                    for column, v in zip(out, (x["h"], row, x["first"], joined[begins[x["first"]] : ends[x["last"] + WINDOW - 1]], None, None)):
-                        column.append(v)
+            hot: dict[bytes, list[int]] = {}
+            for h, first, last, is_hot in found:
+                passage = joined[begins[first] : ends[last + WINDOW - 1]]
+                if is_hot:
+                    hot.setdefault(passage, []).append(first)
+                    continue
+                for column, v in zip(out, (h, row, first, passage, None, None, None, None)):
+                    column.append(v)
+            for passage, firsts in hot.items():
+                first, count = firsts[0], passage.count(b" ") + 2 - WINDOW
+                second = [xxhash.xxh64_intdigest(joined[begins[i] : ends[i + WINDOW - 1]]) - (1 << 63) for i in range(first, first + count)]
+                windows = [{"a": a, "b": b} for a, b in zip(hashed[first : first + count], second)]
+                c1, c2 = (xxhash.xxh64_intdigest(passage, seed) - (1 << 63) for seed in (1, 2))
+                for column, v in zip(out, (None, row, None, None, c1, c2, firsts, windows)):
+                    column.append(v)
             if len(out[0]) > 20_000:
                 yield ready()
     if out[0]:
@@ -150,29 +182,26 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def locate(passages: list[bytes]) -> list[list[tuple[int, int]]]:
     """For passages that hold whole anchors: the ranges of words, in each, that recurring windows cover."""
-    letters: dict[bytes, str] = {}
-    coded = []
-    for passage in passages:
-        spelt = []
-        for word in passage.split():
-            letter = letters.get(word)
-            if letter is None:
-                k = len(letters) + 1
-                letter = letters[word] = chr(k if k < 0xD800 else k + 0x800)
-            spelt.append(letter)
-        coded.append("".join(spelt))
-    counts = Counter(c[i : i + WINDOW] for c in coded for i in range(len(c) - WINDOW + 1))
+    letters = _Letters()
+    coded = ["".join(map(letters.__getitem__, passage.split())) for passage in passages]
+    windows = [[c[i : i + WINDOW] for i in range(len(c) - WINDOW + 1)] for c in coded]
+    counts = Counter(itertools.chain.from_iterable(windows))
     recurring: set[str] = set()
-    for c in coded:
-        start = None
-        for i in range(len(c) - WINDOW + 2):
-            confirmed = i <= len(c) - WINDOW and counts[c[i : i + WINDOW]] > 1
-            if confirmed and start is None:
-                start = i
-            elif not confirmed and start is not None:
-                recurring.add(c[start : i + WINDOW - 1])
-                start = None
-    del counts
+    holds = []
+    for c, mine in zip(coded, windows):
+        confirmed = [counts[w] > 1 for w in mine]
+        holds.append(any(confirmed))
+        if all(confirmed):
+            recurring.add(c)
+        elif holds[-1]:
+            start = None
+            for i, yes in enumerate([*confirmed, False]):
+                if yes and start is None:
+                    start = i
+                elif not yes and start is not None:
+                    recurring.add(c[start : i + WINDOW - 1])
+                    start = None
+    del counts, windows
     if not recurring:
         return [[] for _ in coded]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -180,9 +209,9 @@ def locate(passages: list[bytes]) -> list[list[tuple[int, int]]]:
         automaton.add_word(phrase, len(phrase))
     automaton.make_automaton()
     found = []
-    for c in coded:
+    for c, some in zip(coded, holds):
         ranges: list[tuple[int, int]] = []
-        for end, size in automaton.iter(c):
+        for end, size in automaton.iter(c) if some else ():
             a, b = end + 1 - size, end + 1
             while ranges and ranges[-1][1] >= a:
                 a = min(a, ranges.pop()[0])
@@ -229,24 +258,37 @@ def scan(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_scan, SCANNED), "substring-scan")
 
 
-def repeated_ranges(scanned: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row, start, stop): ranges of words that repeated windows cover, of every document that has any."""
+def repeated_ranges(scanned: DataFrame, most: int = HOT) -> DataFrame:
+    """(row, ranges): ranges of words that repeated windows cover, of every document that has any, in one or more rows."""
     found = scanned.select("row", F.explode("anchors").alias("x")).select("row", "x.h", "x.first", "x.last")
-    recurring = found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot"))
+    recurring = found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > most).alias("hot"))
+    recurring = written(recurring, "substring-anchors")  # a table of its own, so that a hot anchor's join can be split
     by_row = found.join(recurring, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("found"))
     passages = written(scanned.select("row", "words").join(by_row, "row").select("row", "words", "found").mapInArrow(_passages, PASSAGE), "substring-passages")
     parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharded = passages.where("anchor is not null").select("anchor", "row", "first", "words").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    counted = passages.where("anchor is null").select("row", "first", "w1", "w2")
-    twice = counted.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    hot_ranges = counted.join(twice, ["w1", "w2"]).select("row", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("stop"))
-    return sharded.mapInArrow(_shard, RANGE).unionByName(hot_ranges)
+    counted = passages.where("anchor is null").select("row", "c1", "c2", "firsts", "windows")
+    distinct = counted.groupBy("c1", "c2").agg(F.sum(F.size("firsts")).alias("n"), F.first("windows").alias("windows"))
+    distinct = written(distinct, "substring-hot")
+    windows = distinct.select("c1", "c2", "n", F.posexplode("windows").alias("at", "w")).select("c1", "c2", "n", "at", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
+    some = windows.where("n = 1").join(twice, ["a", "b"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("at").alias("recurring"))
+    whole = distinct.where("n > 1").select("c1", "c2", F.sequence(F.lit(0), F.size("windows") - 1).alias("recurring"))
+    hot = counted.select("row", "c1", "c2", "firsts").join(whole.unionByName(some), ["c1", "c2"])
+    # windows one after another make one range; a document's ranges stay one row
+    ends = F.filter("recurring", lambda x: ~F.array_contains("recurring", x + 1))
+    starts = F.filter("recurring", lambda x: ~F.array_contains("recurring", x - 1))
+    runs = hot.select("row", "firsts", F.arrays_zip(F.array_sort(starts).alias("a"), F.array_sort(ends).alias("b")).alias("runs"))
+    placed = F.transform("firsts", lambda f: F.transform("runs", lambda r: F.struct((f + r["a"]).alias("start"), (f + r["b"] + WINDOW).alias("stop"))))
+    hot_ranges = runs.select("row", F.flatten(placed).alias("ranges"))
+    found = sharded.mapInArrow(_shard, RANGE).select("row", F.array(F.struct("start", "stop")).alias("ranges"))
+    return found.unionByName(hot_ranges)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
     scanned = scan(docs)
-    ranges = written(repeated_ranges(scanned, hot).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "substring-ranges")
+    ranges = written(repeated_ranges(scanned, hot).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "substring-ranges")
     touched = scanned.select("row", "doc_id", "n_words", "words").join(ranges, "row").select("doc_id", "n_words", "words", "ranges").mapInArrow(_remove, REMOVED)
     whole = scanned.select("row", "doc_id", "n_words", "sha256").join(ranges.select("row"), "row", "left_anti")
     return touched.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))

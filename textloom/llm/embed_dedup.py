@@ -189,7 +189,7 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, block: int = BLOCK
     vectors = written(raw.mapInArrow(_read, VECTOR), "vectors")
     can = vectors.where("vector is not null")
     groups = written(can.groupBy("label", "vector").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim")), "vector-groups")
-    sizes = groups.groupBy("label").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*"))) - 4).cast("int").alias("bits")).withColumn("bits", F.least("bits", F.lit(30)))
+    sizes = groups.groupBy("label").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*"))) - 6).cast("int").alias("bits")).withColumn("bits", F.least("bits", F.lit(30)))
     if sizes.count() <= BROADCAST_LABELS:
         sizes = F.broadcast(sizes)
     placed = groups.join(sizes, "label").select("label", "dim", "vector", "rep", "n", "bits")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import written
+from textloom.llm.scratch import ROW, numbered, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bodies in a bucket before it splits, and how many levels deeper than a full, even directory it may grow.
@@ -132,9 +132,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The entries, one for each row of docs, and the chains, one for each body."""
-    entries = build_entries(docs)
+    entries = build_entries(docs, uid)
     bodies = entries.where(F.col("body").isNotNull())
     directory, depth, owners = build_directory(bodies, capacity)
     if (1 << depth) <= BROADCAST_SLOTS:
@@ -145,19 +145,19 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, D
     return entries, owned.mapInArrow(_chains, CHAIN)
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and uid for each row of docs, dropped ones too."""
-    entries, chains = build_index(docs, capacity)
+    entries, chains = build_index(docs, capacity, uid)
     return entries.select("uid", "doc_id", "text_sha256", "rep").join(chains, "rep").select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "uid"
     )
 
 
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """docs without its dropped copies, all columns kept. docs must be a table read from files: it is read a second
-    time, and its rows are told apart by their place in the scan, as whole rows may repeat."""
-    row = F.monotonically_increasing_id()
-    dropped = written(exact_dedup(docs, capacity).where("not kept").select(F.col("uid").alias("__row")), "dedup-dropped")
+    """docs without its dropped copies, all columns kept. Whole rows may repeat, so rows are told apart by numbers; they are
+    written once, as another scan of docs may number them anew."""
+    docs = numbered(docs, "dedup-rows")
+    dropped = written(exact_dedup(docs, capacity, F.col(ROW)).where("not kept").select(F.col("uid").alias(ROW)), "dedup-dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.withColumn("__row", row).join(dropped, "__row", "left_anti").drop("__row")
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The column that numbers a table's rows.
+ROW = "__row"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with its rows numbered, written: Spark splits files by the cores it has when it plans a scan, so the numbers of two
+    scans need not agree."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)

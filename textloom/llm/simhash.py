@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.scratch import written
+from textloom.llm.scratch import ROW, numbered, written
 
 SHINGLE = 3
 SEED = 42
@@ -65,15 +65,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, code) of each document; code holds the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, code) of each document; code holds the fingerprint as a signed long. row numbers the documents; it is
+    computed once here, as the codes are written."""
+    row = F.monotonically_increasing_id() if row is None else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [_signed(fingerprint(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.int64())], names=["row", "doc_id", "code"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long"), "text")
     return written(rows.mapInArrow(run, "row long, doc_id long, code long"), "simhash-fingerprints")
 
 
@@ -254,9 +256,9 @@ def near_links(codes: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").unionByName(apart.unionByName(within).mapInArrow(_between, "a long, b long"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """row, doc_id, fingerprint, component_id and kept (one row of each component) of each document."""
-    prints = fingerprints(docs)
+    prints = fingerprints(docs, row)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     codes = written(prints.groupBy("code").agg(F.min(order).alias("head")), "simhash-codes")
     roots = components(near_links(codes)).select(F.col("node").alias("code"), "root")
@@ -269,9 +271,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, all columns kept. docs must be a table read from files: it is read a
-    second time, and rows are told apart by their place in the scan."""
-    dropped = written(near_dedup(docs).where("not kept").select(F.col("row").alias("__row")), "simhash-dropped")
+    """docs with one document of each component, all columns kept. Rows are told apart by numbers that are written once, as
+    another scan of docs may number them anew."""
+    docs = numbered(docs, "simhash-rows")
+    dropped = written(near_dedup(docs, F.col(ROW)).where("not kept").select(F.col("row").alias(ROW)), "simhash-dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

@@ -113,13 +113,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """Writes the archives of pages (page_id, url, html; read from files) and returns their manifest."""
+    """Writes the archives of pages (page_id, url, html) and returns their manifest."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), "url", "html")
     shape = "row long, page_id long, url string, html string, size long, digest string"
-    # the pass that settles the groups keeps no html
-    digests = written(rows.mapInArrow(_digests, shape).select("row", "page_id", "size", "digest"), "warc-digests")
+    # rows are numbered once, as they are written: another scan of pages may number them anew; the passes that settle the groups read no html
+    rows = written(rows.mapInArrow(_digests, shape), "warc-rows")
+    digests = rows.select("row", "page_id", "size", "digest")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("row"))
     heads = digests.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("head"), F.count("*").alias("copies")).where("copies > 1")
     heads = heads.select("digest", F.col("head.page_id").alias("refers_to"), F.col("head.row").alias("response_row"))

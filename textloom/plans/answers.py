@@ -48,15 +48,26 @@ def tf_idf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tf_idf(index.postings, index.terms, index.corpus)
 
 
-@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events WHERE event_id % 3 = 0)
- SELECT user_id, spec, CAST(regexp_extract(spec, 'view=([0-9]+)', 1) AS DOUBLE) AS view, 0.4::DOUBLE AS chunks, CAST(regexp_extract(spec, 'extra=([0-9]+)', 1) AS DOUBLE) AS extra FROM e""")
-def weights_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weights(events: DataFrame) -> DataFrame:
     spec = F.concat(F.lit("view="), F.floor("value").cast("string"), F.lit(",bad=x,extra="), F.col("event_id").cast("string"))
-    rows = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("user_id", spec.alias("spec"))
+    rows = events.select("user_id", spec.alias("spec"))
     w = A.weights("spec", {"view": 0.5, "chunks": 0.4})
     return rows.select("user_id", "spec", w["view"].alias("view"), w["chunks"].alias("chunks"), F.try_element_at(w, F.lit("extra")).alias("extra"))
 
 
+@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events WHERE event_id % 3 = 0)
+ SELECT user_id, spec, CAST(regexp_extract(spec, 'view=([0-9]+)', 1) AS DOUBLE) AS view, 0.4::DOUBLE AS chunks, CAST(regexp_extract(spec, 'extra=([0-9]+)', 1) AS DOUBLE) AS extra FROM e""")
+def weights_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+
+
+@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events)
+ SELECT user_id, spec, CAST(regexp_extract(spec, 'view=([0-9]+)', 1) AS DOUBLE) AS view, 0.4::DOUBLE AS chunks, CAST(regexp_extract(spec, 'extra=([0-9]+)', 1) AS DOUBLE) AS extra FROM e""")
+def weights_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weights_parse over every event."""
+    return _weights(table(spark, sf_dir, "events"))
+
+
 @query("SELECT event_id, '***' AS token, CAST(user_id AS VARCHAR) AS client, CAST(2 AS BIGINT) AS n_allowed FROM events")
 def audit_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.create_map(F.lit("Token"), F.col("props"), F.lit("client"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
@@ -68,9 +79,19 @@ def audit_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT user_id, coalesce(list_sort(list_filter(n, lambda x: NOT list_contains(coalesce(o, []), x))), []) AS added, coalesce(list_sort(list_filter(o, lambda x: NOT list_contains(coalesce(n, []), x))), []) AS removed FROM a""")
 def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What kinds of event each user took up and gave up."""
+    return _taken_up(table(spark, sf_dir, "events").where("event_id % 5 = 0"))
+
+
+@query("""WITH a AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS o, list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS n FROM events GROUP BY 1)
+ SELECT user_id, coalesce(list_sort(list_filter(n, lambda x: NOT list_contains(coalesce(o, []), x))), []) AS added, coalesce(list_sort(list_filter(o, lambda x: NOT list_contains(coalesce(n, []), x))), []) AS removed FROM a""")
+def version_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version_compare over every event."""
+    return _taken_up(table(spark, sf_dir, "events"))
+
+
+def _taken_up(events: DataFrame) -> DataFrame:
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id")
-    sets = e.agg(F.collect_set(F.when(F.col("ts") < cut, F.col("event_type"))).alias("o"), F.collect_set(F.when(F.col("ts") >= cut, F.col("event_type"))).alias("n"))
+    sets = events.groupBy("user_id").agg(F.collect_set(F.when(F.col("ts") < cut, F.col("event_type"))).alias("o"), F.collect_set(F.when(F.col("ts") >= cut, F.col("event_type"))).alias("n"))
     diff = A.compared(F.col("o"), F.col("n"))
     return sets.select("user_id", diff["added"].alias("added"), diff["removed"].alias("removed"))
 

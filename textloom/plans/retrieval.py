@@ -90,6 +90,13 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
 
 
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def term_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term_statistics of the whole vocabulary."""
+    index = I.build(table(spark, sf_dir, "documents"), X.tokens("text"))
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOKENS})) AS BIGINT) AS n_distinct FROM documents")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens("text").alias("w"))

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from textloom.operators import evaluate as E
 from textloom.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +14,12 @@ def test_all_events_and_terms_count(spark):
     assert QUERIES["weights_parse_all"](spark, SF).count() == one(f"SELECT count(*) FROM {events}")
     assert QUERIES["version_compare_all"](spark, SF).count() == one(f"SELECT count(DISTINCT user_id) FROM {events}")
     assert QUERIES["term_statistics_all"](spark, SF).where("df < 5").count() > 0
+
+
+def test_passages_of_any_length_and_place(spark):
+    eight = " ".join(f"w{i}" for i in range(8))
+    twelve = " ".join(f"w{i}" for i in range(12))
+    passages = [(1, "short one"), (2, "w3"), (3, eight), (4, twelve), (5, "not there"), (6, None)]
+    docs = [(1, f'he said "{twelve}" today'), (2, f"({eight}), and so on"), (3, "a short one."), (4, f"x {twelve} y")]
+    found = E.passages_found(spark.createDataFrame(passages, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.item_id: r.n_docs for r in found.collect()} == {i: sum(p is not None and p in t for _, t in docs) for i, p in passages}

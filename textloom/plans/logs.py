@@ -215,4 +215,4 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.run_to_end(J.rate_limited_stream(J.stream(spark, sf_dir, "events"), most=1, seconds=3600), "limits")
+    return J.rate_limits_to_end(J.stream(spark, sf_dir, "events"), "limits", most=1, seconds=3600)

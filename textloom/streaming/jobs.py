@@ -8,9 +8,9 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -105,22 +105,47 @@ def rate_limited(events: DataFrame, most: int = 3, seconds: float = 60) -> DataF
     return ordered.mapInPandas(lambda it: limited(it, most, seconds), "event_id long, user_id long, micros long, allowed boolean").select("event_id", "user_id", "allowed")
 
 
-def rate_limited_stream(events: DataFrame, most: int = 3, seconds: float = 60) -> DataFrame:
-    """The same rule over a stream, with the accepted times of each client as state."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(pdfs)).sort_values(["micros", "event_id"])
-        verdicts = []
-        for t in rows["micros"]:
+def carried(batches: Iterator[pa.RecordBatch], most: int, seconds: float) -> Iterator[pa.RecordBatch]:
+    """Rows (event_id, user_id, micros, kept) sorted by client, its kept times first, then by time: verdicts as in limited, and after
+    each client the accepted times to keep, numbered in their order."""
+    client, accepted, known = None, deque(), False
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+    names = ["event_id", "user_id", "micros", "allowed", "kept"]
+    told = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+    for batch in batches:
+        out = []
+        for event, user, t, kept in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if not known or user != client:
+                out += [(k, client, x, True, True) for k, x in enumerate(accepted)]
+                client, accepted, known = user, deque(), True
+            if kept:
+                accepted.append(t)
+                continue
             while accepted and t - accepted[0] >= seconds * 1e6:
                 accepted.popleft()
             ok = len(accepted) < most
             if ok:
-                accepted.append(int(t))
-            verdicts.append(ok)
-        state.update((list(accepted),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": verdicts})
+                accepted.append(t)
+            out.append((event, user, t, ok, False))
+        yield told(out)
+    yield told([(k, client, x, True, True) for k, x in enumerate(accepted)])
 
-    rows = events.select("event_id", "user_id", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
+
+def rate_limits_to_end(events: DataFrame, name: str, most: int = 3, seconds: float = 60) -> DataFrame:
+    """The same rule over a stream, run to its end. Each batch is sorted and streams through its tasks behind the times that the
+    batch before kept of each client, so no client's events are held together. A repeated batch writes its version again."""
+    spark = events.sparkSession
+    path = folder(spark, name)
+    shape = "event_id long, user_id long, micros long, allowed boolean, kept boolean"
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.select("event_id", "user_id", F.unix_micros("ts").alias("micros"), F.lit(False).alias("kept"))
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.schema(shape).parquet(f"{path}/v{number - 1}").where("kept").drop("allowed"))
+        place = F.when(F.col("kept"), F.col("event_id")).otherwise(F.col("micros"))
+        ordered = rows.repartition("user_id").sortWithinPartitions("user_id", F.desc("kept"), place, "event_id")
+        ordered.mapInArrow(lambda it: carried(it, most, seconds), shape).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    query = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(shape).parquet(f"{path}/v*").where("not kept").select("event_id", "user_id", "allowed")

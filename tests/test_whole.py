@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from textloom.operators import evaluate as E
 from textloom.registry import QUERIES
+from textloom.sources import tables
 from textloom.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,11 @@ def test_stream_limits_hold_no_client_whole(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = {r.event_id: r.allowed for r in J.rate_limits_to_end(stream, "limits", most=2, seconds=90).collect()}
     assert got == {r.event_id: r.allowed for r in J.rate_limited(table, most=2, seconds=90).collect()} and len(got) == 9
+
+
+def test_gbk_files(spark, tmp_path):
+    texts = {"a.md": ("向量检索与文档" * 20, "utf-8"), "b.md": ("向量检索与文档" * 20, "gbk"), "c.md": ("caf\xe9 " * 20 + "\xff", "latin-1")}
+    for name, (text, coding) in texts.items():
+        (tmp_path / name).write_bytes(text.encode(coding))
+    found = tables.decoded(tables.scan_files(spark, [str(tmp_path)], [".md"]))
+    assert {r.name: r.text for r in found.collect()} == {name: text for name, (text, _) in texts.items()}

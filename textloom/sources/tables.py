@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +39,24 @@ def scan_files(spark: SparkSession, roots: list[str], extensions: list[str], rec
     return files.select("path", X.basename("path").alias("name"), ext.alias("ext"), "length", "modificationTime", "content").dropDuplicates(["path"])
 
 
+def _not_utf8(contents: pd.Series) -> pd.Series:
+    def read(x: bytes | None) -> str | None:
+        if x is None:
+            return None
+        try:
+            return bytes(x).decode("gbk")
+        except UnicodeDecodeError:
+            return bytes(x).decode("latin-1")
+
+    return contents.map(read)
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """files with text: UTF-8 where the bytes are, else as GBK, else byte by byte."""
-    utf8 = F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
-    return files.withColumn("text", F.coalesce(utf8, F.decode("content", "ISO-8859-1"))).withColumn("is_text", F.locate("\x00", F.decode(F.substring("content", 1, 1024), "ISO-8859-1")) == 0)
+    is_utf8 = F.expr("is_valid_utf8(content)")
+    # Python gets only what is not UTF-8
+    other = F.pandas_udf(_not_utf8, "string")(F.when(~is_utf8, F.col("content")))
+    return files.withColumn("text", F.when(is_utf8, F.decode("content", "UTF-8")).otherwise(other)).withColumn("is_text", F.locate("\x00", F.decode(F.substring("content", 1, 1024), "ISO-8859-1")) == 0)
 
 
 def query_log(spark: SparkSession, path: str) -> DataFrame:

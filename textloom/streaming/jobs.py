@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -12,14 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all nodes share: under spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+from textloom.shared import new_folder
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,7 +29,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def run_to_end(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a streaming query has written when all present input is read."""
     spark = out.sparkSession
-    path = folder(spark, name)
+    path = new_folder(spark, name)
     query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
@@ -48,16 +39,18 @@ def merged_to_end(rows: DataFrame, name: str, merge: Callable[[DataFrame | None,
     """A table kept up to date batch by batch: ``merge(old, batch)`` gives its next version, written under the batch's number, so a
     repeated batch writes the same version again."""
     spark = rows.sparkSession
-    path = folder(spark, name)
+    path = new_folder(spark, name)
+
+    done: list[int] = []
 
     def each(batch: DataFrame, number: int) -> None:
         old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else None
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        done.append(number)
 
     query = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(f"{path}/v{last['batchId'] if last['numInputRows'] else last['batchId'] - 1}")
+    return spark.read.parquet(f"{path}/v{done[-1]}") if done else merge(None, spark.createDataFrame([], rows.schema))
 
 
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour", by: str = "event_type", ts: str = "ts") -> DataFrame:
@@ -135,7 +128,7 @@ def rate_limits_to_end(events: DataFrame, name: str, most: int = 3, seconds: flo
     """The same rule over a stream, run to its end. Each batch is sorted and streams through its tasks behind the times that the
     batch before kept of each client, so no client's events are held together. A repeated batch writes its version again."""
     spark = events.sparkSession
-    path = folder(spark, name)
+    path = new_folder(spark, name)
     shape = "event_id long, user_id long, micros long, allowed boolean, kept boolean"
 
     def each(batch: DataFrame, number: int) -> None:

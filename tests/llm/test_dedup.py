@@ -165,18 +165,29 @@ def removed_by_hand(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 4096])
-def test_substring_dedup(spark, tmp_path, hot):
+@pytest.mark.parametrize("limits", [(1, 50, 3), (4, 10_000, 1000), (substring.DISTINCT, substring.SHARD_WORDS, substring.STREAMED)])
+def test_substring_dedup(spark, tmp_path, limits):
     rng = np.random.default_rng(3)
     shared = " ".join(f"s{x}" for x in rng.integers(0, 50, 60))
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9, n))
     texts = [words(int(n)) + " " + shared[int(a) : int(a) + 230] + " " + words(20) for n, a in zip(rng.integers(0, 60, 25), rng.integers(0, 60, 25))]
     texts += [t for _, t, _ in ROWS] + ["a b " * 300, "same " * 34, "same " * 35, "same " * 36]
     docs = table(spark, tmp_path, [(i, t, None) for i, t in enumerate(texts)])
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, hot).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, *limits).collect()}
     assert got == dict(enumerate(removed_by_hand(texts)))
 
 
+def test_substring_dedup_with_a_hot_anchor(spark, tmp_path):
+    """10,500 texts share a gram that is in every window of theirs: a third of them are copies, the others differ around it."""
+    rolling = substring._Rolling()
+    common = min((" ".join(f"c{k}_{i}" for i in range(8)) for k in range(3000)), key=lambda g: int(rolling(substring._Hashes().of(g.encode().split()), 8)[0]))
+    around = lambda i: " ".join(str((i * 7 + j * 13) % 4000) for j in range(30))
+    texts = [f"{around(0 if i % 3 == 0 else i % 3400)} {common} {around(0 if i % 3 == 0 else i + 5)}" for i in range(10_500)]
+    docs = table(spark, tmp_path, [(i, t, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, 256, 5_000, 1_000).collect()}
+    assert got == dict(enumerate(removed_by_hand(texts))) and any(0 < x[1] < x[0] for x in got.values())
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     rows = []

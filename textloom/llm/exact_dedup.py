@@ -12,8 +12,9 @@ Texts are equal when their UTF-8 bytes agree after every character of [\\x20\\x0
   bodies of one hash are compared byte by byte, so that colliding texts stay apart.
 
 Defined cases: null text counts as empty; of equal texts the row with the most code points stays, then the smallest
-doc_id (null last), then the first row read, so of repeated rows exactly one stays; empty tables give empty results;
-columns of any name ride along in ``exact_dedup``'s callers, as only ``doc_id`` and ``text`` are read here.
+doc_id (null last), then the first row read, so of repeated rows exactly one stays; empty tables give empty results; texts of any
+length are one body each, hashed and compared whole; columns of any name ride along in ``drop_copies``, whose row numbers take a
+name that no column has, and only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.scratch import ROW, numbered, written
+from textloom.llm.scratch import numbered, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bodies in a bucket before it splits, and how many levels deeper than a full, even directory it may grow.
@@ -156,8 +157,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None =
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs without its dropped copies, all columns kept. Whole rows may repeat, so rows are told apart by numbers; they are
     written once, as another scan of docs may number them anew."""
-    docs = numbered(docs, "dedup-rows")
-    dropped = written(exact_dedup(docs, capacity, F.col(ROW)).where("not kept").select(F.col("uid").alias(ROW)), "dedup-dropped")
+    docs, row = numbered(docs, "dedup-rows")
+    dropped = written(exact_dedup(docs, capacity, F.col(row)).where("not kept").select(F.col("uid").alias(row)), "dedup-dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    return docs.join(dropped, row, "left_anti").drop(row)

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The column that numbers a table's rows.
-ROW = "__row"
-
+from textloom.shared import new_folder, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["free_name", "new_folder", "numbered", "shared_root", "written"]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it (Spark's names don't differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +26,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with its rows numbered, written: Spark splits files by the cores it has when it plans a scan, so the numbers of two
-    scans need not agree."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with its rows numbered, written, and the name of the numbers' column, which no column of df has. Spark splits files by the
+    cores it has when it plans a scan, so the numbers of two scans need not agree; nothing joins them to another scan."""
+    row = free_name(df, "__row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name), row

@@ -17,7 +17,8 @@ A pair counts where its first equal block leads. Links leave a task as stars of
 code.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; null doc_ids keep their fingerprint
-and component; repeated rows are all returned; an empty table gives no rows.
+and component; repeated rows are all returned; an empty table gives no rows; very long texts are read whole, their shingles' hashes
+counted some thousands at a time; columns of any name ride along in ``drop_near_copies``, and only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.scratch import ROW, numbered, written
+from textloom.llm.scratch import numbered, written
 
 SHINGLE = 3
 SEED = 42
@@ -273,8 +274,8 @@ def near_dedup(docs: DataFrame, row: Column | None = None) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, all columns kept. Rows are told apart by numbers that are written once, as
     another scan of docs may number them anew."""
-    docs = numbered(docs, "simhash-rows")
-    dropped = written(near_dedup(docs, F.col(ROW)).where("not kept").select(F.col("row").alias(ROW)), "simhash-dropped")
+    docs, row = numbered(docs, "simhash-rows")
+    dropped = written(near_dedup(docs, F.col(row)).where("not kept").select(F.col("row").alias(row)), "simhash-dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    return docs.join(dropped, row, "left_anti").drop(row)

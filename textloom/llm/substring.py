@@ -3,23 +3,27 @@
 A word is removed when a window of ``WINDOW`` consecutive words that covers it occurs anywhere else as well. Windows are
 judged on the input.
 
-* Anchors: of the grams (``GRAM`` words) inside a window the one with the smallest hash is the window's anchor; equal
-  windows have equal anchors, and neighbouring windows mostly share theirs, so a document has far fewer anchors than
-  windows, each with a range of windows. Only anchors whose hash occurs twice can lead to a repeated window.
-* Shards: the passages around repeated anchors (the words of the anchor's windows) go to shards by anchor. A shard takes
-  whole anchors, a bounded number of passages at a time; it confirms the windows that recur by comparing their words,
-  compiles the recurring passages into an Aho-Corasick automaton over words (one character each), and streams its
-  passages through the automaton to locate every occurrence.
-* Anchors with more than ``HOT`` occurrences would make one shard too large. Their passages are counted under two 64-bit
-  hashes, equal ones of a document first, then by partial aggregation. A passage that occurs twice recurs with all its
-  windows; of the others the windows are counted in the same way, with those of all passages, and the counts joined back.
-  No occurrence is left out.
-
-The documents' words travel compressed, and only to find passages' words and to build the kept text; documents without a
-repeated window are told from the first pass alone.
+* Anchors: of the grams (``GRAM`` words) inside a window the one with the smallest hash, leftmost if several have it, is the
+  window's anchor. It follows from the window's words alone, so equal windows have equal anchors wherever they stand; neighbouring
+  windows mostly share theirs, so a document has far fewer anchors than windows, each with a range of windows. A *segment* is the
+  words of one anchor's windows. Only anchors whose hash occurs twice can lead to a repeated window.
+* Confirming: the segments of recurring anchors, each distinct one once with its number of occurrences (by partial aggregation, so
+  a passage in a third of all documents is one row a map task), come together by anchor, and windows that recur are told by
+  comparing their words. Runs of recurring windows are the repeated phrases.
+* Automata: the phrases, written to the shared folder, are dealt to shards of a bounded number of words by anchor. A shard's
+  phrases are compiled into an Aho-Corasick automaton over words (one character each).
+* Locating: the segments of all documents are streamed through their shard's automaton, and only what it hits is removed. A shard
+  with many segments is split by document, each part with the automaton of its own.
+* Homes: where one anchor has more than ``DISTINCT`` distinct segments, its windows are dealt to several homes by their hash, and a
+  segment goes to each home that one of its windows belongs to, at most ``WINDOW - GRAM + 1``. Hashes only say where words are
+  compared, never whether they are equal.
+
+The documents' words travel compressed, and only to find segments and to build the kept text; documents without a repeated
+window are told from the first pass alone.
 
 Defined cases: null text has no words; documents shorter than a window keep all; very long documents are read whole;
-repeated rows repeat each other's windows; null doc_ids are kept as rows of their own; an empty table gives no rows.
+repeated rows repeat each other's windows; null doc_ids are kept as rows of their own; an empty table gives no rows; only doc_id
+and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -41,32 +45,54 @@ from textloom.llm.scratch import written
 
 WINDOW = 35
 GRAM = 8
-#: Occurrences of one anchor that one shard may hold, and passages that it holds at a time.
-HOT = 1024
-PASSAGES = 8192
-#: Words in a task's memory before it starts afresh.
-CACHE = 400_000
+#: Distinct segments of one anchor in one home.
+DISTINCT = 512
+#: Words of phrases in one automaton, and segments that one copy of it reads.
+SHARD_WORDS = 400_000
+STREAMED = 100_000
+#: Homes (8 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_HOMES = 1 << 20
+#: Words and characters of words in a task's memory before it starts afresh.
+CACHE, CACHE_BYTES = 400_000, 16 << 20
 
 SCANNED = "row long, doc_id long, n_words long, sha256 string, words binary, anchors array<struct<h:long,first:int,last:int>>"
-PASSAGE = "anchor long, row long, first int, words binary, c1 long, c2 long, firsts array<int>, windows array<struct<a:long,b:long>>"
-RANGE = "row long, start int, stop int"
+SEGMENT = "anchor long, row long, segment binary, firsts array<int>"
+HOMED = "home long, row long, segment binary, firsts array<int>, n long"
+PHRASE = "home long, phrase binary, words int"
+RANGE = "row long, ranges array<struct<start:int,stop:int>>"
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _batch(rows: list[tuple], shape: str, kinds: tuple) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in shape.split(", ")])
+
+
 class _Hashes(dict):
+    def __init__(self):
+        super().__init__()
+        self.held = 0
+
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        self.held += len(word)
         return h
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE or self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 class _Letters(dict):
-    """A character for each word."""
+    """A character for each word, from the second on; the first stands for words that are not here."""
 
     def __missing__(self, word: bytes) -> str:
-        k = len(self) + 1
+        k = len(self) + 2
         self[word] = letter = chr(k if k < 0xD800 else k + 0x800)  # not the surrogates
         return letter
 
@@ -94,14 +120,12 @@ def anchors(h: np.ndarray, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, n
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
     g = rolling(h, GRAM)
     width = WINDOW - GRAM + 1
-    # a gram's place in the hash's low bits: the least of these is the leftmost of the least grams; minima of 2, 4, 8, ... grams
-    low = np.uint64((1 << len(g).bit_length()) - 1)
-    least, size = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
-    while 2 * size <= width:
-        least, size = np.minimum(least[:-size], least[size:]), 2 * size
-    if size < width:
-        least = np.minimum(least[: size - width], least[width - size :])
-    at = (least & low).astype(np.int64)
+    # the leftmost least of 2, 4, 8, ... grams from each place on, and then of a window's
+    at, size = np.arange(len(g)), 1
+    while size < width:
+        step = min(size, width - size)
+        left, right = at[:-step], at[step:]
+        at, size = np.where(g[right] < g[left], right, left), size + step
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     return g[at[first]], first, np.append(first[1:], len(at)) - 1
 
@@ -113,11 +137,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held, offsets = [], [0]
         for text in batch.column(2).to_pylist():
-            if len(known) > CACHE:
-                known.clear()
             words = (text or "").encode().split()
             joined = b" ".join(words)
-            held.append(anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), rolling))
+            held.append(anchors(known.of(words), rolling))
             offsets.append(offsets[-1] + len(held[-1][0]))
             out.append((len(words), hashlib.sha256(joined).hexdigest(), press.compress(joined)))
         h, first, last = (np.concatenate([x[i] for x in held]) for i in range(3))
@@ -126,116 +148,133 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], names=names)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, words, anchors of that row that recur): the words of each anchor's windows; of hot anchors the windows' hashes."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, words, anchors of that row that recur): the words of each anchor's windows; equal ones of a document once, with all
+    their places."""
     expand = zstandard.ZstdDecompressor()
-    known, rolling = _Hashes(), _Rolling()
-    names = [c.split()[0] for c in PASSAGE.split(", ")]
-    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pair))
-    out: list[list] = [[] for _ in names]
-
-    def ready() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
-        for x in out:
-            x.clear()
-        return batch
-
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+    out: list[tuple] = []
     for batch in batches:
         lists = batch.column(2)
-        flat = [x.to_pylist() for x in lists.flatten().flatten()]  # hashes, first and last windows, hot
+        flat = [x.to_pylist() for x in lists.flatten().flatten()]  # hashes, first and last windows
         bounds = lists.offsets.to_pylist()
         base = bounds[0]
         for k, (row, pressed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             mine = slice(bounds[k] - base, bounds[k + 1] - base)
-            found = list(zip(*(x[mine] for x in flat)))
             joined = expand.decompress(pressed)
-            words = joined.split()
-            ends = (np.fromiter(map(len, words), np.int64, len(words)) + 1).cumsum() - 1
-            begins = np.append(0, ends[:-1] + 1).tolist()
-            ends = ends.tolist()
-            hashed = None
-            if any(x[3] for x in found):
-                if len(known) > CACHE:
-                    known.clear()
-                hashed = rolling(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), WINDOW).view(np.int64).tolist()
-            hot: dict[bytes, list[int]] = {}
-            for h, first, last, is_hot in found:
-                passage = joined[begins[first] : ends[last + WINDOW - 1]]
-                if is_hot:
-                    hot.setdefault(passage, []).append(first)
-                    continue
-                for column, v in zip(out, (h, row, first, passage, None, None, None, None)):
-                    column.append(v)
-            for passage, firsts in hot.items():
-                first, count = firsts[0], passage.count(b" ") + 2 - WINDOW
-                second = [xxhash.xxh64_intdigest(joined[begins[i] : ends[i + WINDOW - 1]]) - (1 << 63) for i in range(first, first + count)]
-                windows = [{"a": a, "b": b} for a, b in zip(hashed[first : first + count], second)]
-                c1, c2 = (xxhash.xxh64_intdigest(passage, seed) - (1 << 63) for seed in (1, 2))
-                for column, v in zip(out, (None, row, None, None, c1, c2, firsts, windows)):
-                    column.append(v)
-            if len(out[0]) > 20_000:
-                yield ready()
-    if out[0]:
-        yield ready()
-
-
-def locate(passages: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For passages that hold whole anchors: the ranges of words, in each, that recurring windows cover."""
+            blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            begins, ends = np.append(0, blanks + 1).tolist(), np.append(blanks, len(joined)).tolist()
+            found: dict[tuple[int, bytes], list[int]] = {}
+            for h, first, last in zip(*(x[mine] for x in flat)):
+                found.setdefault((h, joined[begins[first] : ends[last + WINDOW - 1]]), []).append(first)
+            out += [(h, row, segment, firsts) for (h, segment), firsts in found.items()]
+            if len(out) > 20_000:
+                yield _batch(out, SEGMENT, kinds)
+                out = []
+    if out:
+        yield _batch(out, SEGMENT, kinds)
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, homes, row, segment, firsts, n) of anchors with several homes: the segment in each home that a window of it belongs to."""
+    known, rolling = _Hashes(), _Rolling()
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64())
+    for batch in batches:
+        out: list[tuple] = []
+        for anchor, homes, row, segment, firsts, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            out += [(home, row, segment, firsts, n) for home in set(_homes_of(known.of(segment.split()), anchor, homes, rolling))]
+        if out:
+            yield _batch(out, HOMED, kinds)
+
+
+def _homes_of(h: np.ndarray, anchor: int, homes: int, rolling: _Rolling) -> list[int]:
+    """The home of each window of a segment."""
+    return [(anchor + (int(x) % homes + 1) * _BASE & (1 << 64) - 1) - (1 << 63) for x in rolling(h, WINDOW)]
+
+
+def confirmed(segments: list[tuple[bytes, int]]) -> dict[bytes, int]:
+    """For the distinct segments (words, occurrences) of one home: its phrases, runs of windows that recur, and their words."""
     letters = _Letters()
-    coded = ["".join(map(letters.__getitem__, passage.split())) for passage in passages]
-    windows = [[c[i : i + WINDOW] for i in range(len(c) - WINDOW + 1)] for c in coded]
-    counts = Counter(itertools.chain.from_iterable(windows))
-    recurring: set[str] = set()
-    holds = []
-    for c, mine in zip(coded, windows):
-        confirmed = [counts[w] > 1 for w in mine]
-        holds.append(any(confirmed))
-        if all(confirmed):
-            recurring.add(c)
-        elif holds[-1]:
-            start = None
-            for i, yes in enumerate([*confirmed, False]):
-                if yes and start is None:
-                    start = i
-                elif not yes and start is not None:
-                    recurring.add(c[start : i + WINDOW - 1])
-                    start = None
-    del counts, windows
-    if not recurring:
-        return [[] for _ in coded]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for phrase in recurring:
-        automaton.add_word(phrase, len(phrase))
-    automaton.make_automaton()
-    found = []
-    for c, some in zip(coded, holds):
-        ranges: list[tuple[int, int]] = []
-        for end, size in automaton.iter(c) if some else ():
-            a, b = end + 1 - size, end + 1
-            while ranges and ranges[-1][1] >= a:
-                a = min(a, ranges.pop()[0])
-            ranges.append((a, b))
-        found.append(ranges)
+    split = [words.split() for words, _ in segments]
+    coded = ["".join(map(letters.__getitem__, words)) for words in split]
+    counts: dict[str, int] = Counter()
+    for c, (_, n) in zip(coded, segments):
+        for i in range(len(c) - WINDOW + 1):
+            counts[c[i : i + WINDOW]] += n
+    found: dict[bytes, int] = {}
+    for c, words in zip(coded, split):
+        start = None
+        for i in range(len(c) - WINDOW + 2):
+            recurs = i <= len(c) - WINDOW and counts[c[i : i + WINDOW]] > 1
+            if recurs and start is None:
+                start = i
+            elif not recurs and start is not None:
+                found[b" ".join(words[start : i + WINDOW - 1])] = i + WINDOW - 1 - start
+                start = None
     return found
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor: whole anchors are gathered until they hold PASSAGES passages."""
-    held: list[tuple[int, int, int, bytes]] = []
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, segment, n) come sorted by home."""
+    kinds = (pa.int64(), pa.binary(), pa.int32())
+    out: list[tuple] = []
+    rows = itertools.chain.from_iterable(zip(*(batch.column(i).to_pylist() for i in range(3))) for batch in batches)
+    for home, group in itertools.groupby(rows, key=lambda r: r[0]):
+        held = [(words, n) for _, words, n in group]
+        if len(held) == 1 and held[0][1] > 1:  # nothing to compare: all of it recurs
+            out.append((home, held[0][0], held[0][0].count(b" ") + 1))
+        elif len(held) > 1:
+            out += [(home, phrase, n) for phrase, n in confirmed(held).items()]
+        if len(out) > 20_000:
+            yield _batch(out, PHRASE, kinds)
+            out = []
+    if out:
+        yield _batch(out, PHRASE, kinds)
+
+
+class Phrases:
+    """An Aho-Corasick automaton over words, for phrases as words joined by one blank."""
+
+    def __init__(self, phrases: list[bytes]):
+        self.letters = _Letters()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for phrase in phrases:
+            coded = "".join(map(self.letters.__getitem__, phrase.split()))
+            self.automaton.add_word(coded, len(coded))
+        self.automaton.make_automaton()
+
+    def ranges(self, words: bytes) -> list[tuple[int, int]]:
+        """Ranges of words that the phrases' occurrences cover."""
+        found: list[tuple[int, int]] = []
+        for end, size in self.automaton.iter("".join([self.letters.get(w, "\1") for w in words.split()])):
+            a, b = end + 1 - size, end + 1
+            while found and found[-1][1] >= a:
+                a = min(a, found.pop()[0])
+            found.append((a, b))
+        return found
 
-    def ready(rows: list) -> pa.RecordBatch:
-        out = [(row, first + a, first + b) for (_, row, first, _), ranges in zip(rows, locate([r[3] for r in rows])) for a, b in ranges]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row", "start", "stop"])
 
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, part, firsts, row, words) come sorted: the phrases of a shard first, without places, then the segments that go through
+    its automaton."""
+    kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    at, phrases, automaton = None, [], None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if len(held) >= PASSAGES and row[0] != held[-1][0]:
-                yield ready(held)
-                held = []
-            held.append(row)
-    if held:
-        yield ready(held)
+        out: list[tuple] = []
+        for shard, part, firsts, row, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if at != (shard, part):
+                at, phrases, automaton = (shard, part), [], None
+            if firsts is None:
+                phrases.append(words)
+                continue
+            if automaton is None:
+                automaton = Phrases(phrases)
+                phrases = []
+            ranges = automaton.ranges(words)
+            if ranges:
+                out.append((row, [{"start": f + a, "stop": f + b} for f in firsts for a, b in ranges]))
+        if out:
+            yield _batch(out, RANGE, kinds)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,37 +297,60 @@ def scan(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_scan, SCANNED), "substring-scan")
 
 
-def repeated_ranges(scanned: DataFrame, most: int = HOT) -> DataFrame:
+def _homed(segments: DataFrame, several: DataFrame) -> DataFrame:
+    """(home, row, segment, firsts, n) of segments (anchor, row, segment, firsts, n): the home is the anchor, or of anchors in
+    ``several`` there are one or more."""
+    dealt = segments.join(several, "anchor", "left")
+    one = dealt.where("homes is null").select(F.col("anchor").alias("home"), "row", "segment", "firsts", "n")
+    some = dealt.where("homes is not null").select("anchor", "homes", "row", "segment", "firsts", "n")
+    return one.unionByName(some.mapInArrow(_homes, HOMED))
+
+
+def repeated_phrases(segments: DataFrame, most: int = DISTINCT) -> tuple[DataFrame, DataFrame]:
+    """(home, phrase, words): the phrases confirmed in segments; and (anchor, homes) of anchors with several homes."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = written(segments.groupBy("anchor", "segment").agg(F.sum(F.size("firsts")).alias("n")), "substring-distinct")
+    several = distinct.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("long").alias("homes"))
+    several = written(several, "substring-homes")
+    nowhere = distinct.select("anchor", F.lit(None).cast("long").alias("row"), "segment", F.lit(None).cast("array<int>").alias("firsts"), "n")
+    homed = _homed(nowhere, several).select("home", "segment", "n").repartition(parts, "home").sortWithinPartitions("home")
+    return written(homed.mapInArrow(_confirm, PHRASE), "substring-phrases"), several
+
+
+def located(segments: DataFrame, phrases: DataFrame, several: DataFrame, shard_words: int = SHARD_WORDS, streamed: int = STREAMED) -> DataFrame:
+    """(row, ranges) of what the shards' automata hit in segments."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 1 + (phrases.agg(F.sum("words")).first()[0] or 0) // shard_words
+    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).alias("shard")
+    homes = phrases.select("home").distinct()
+    if homes.count() <= BROADCAST_HOMES:
+        homes = F.broadcast(homes)
+    counted = segments.select("anchor", "row", "segment", "firsts", F.lit(1).cast("long").alias("n"))
+    stream = _homed(counted, several).join(homes, "home", "left_semi").select(shard, "firsts", "row", F.col("segment").alias("words"))
+    sizes = written(stream.groupBy("shard").agg(F.ceil(F.count("*") / streamed).cast("long").alias("parts")), "substring-shards")
+    read = stream.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), "firsts", "row", "words")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    built = phrases.select(shard, F.col("phrase").alias("words")).join(sizes, "shard").select("shard", each, F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("long").alias("row"), "words")
+    ordered = read.unionByName(built).repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", F.col("firsts").isNotNull())
+    return ordered.mapInArrow(_locate, RANGE)
+
+
+def repeated_ranges(scanned: DataFrame, most: int = DISTINCT, shard_words: int = SHARD_WORDS, streamed: int = STREAMED) -> DataFrame:
     """(row, ranges): ranges of words that repeated windows cover, of every document that has any, in one or more rows."""
     found = scanned.select("row", F.explode("anchors").alias("x")).select("row", "x.h", "x.first", "x.last")
-    recurring = found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > most).alias("hot"))
-    recurring = written(recurring, "substring-anchors")  # a table of its own, so that a hot anchor's join can be split
-    by_row = found.join(recurring, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("found"))
-    passages = written(scanned.select("row", "words").join(by_row, "row").select("row", "words", "found").mapInArrow(_passages, PASSAGE), "substring-passages")
-    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = passages.where("anchor is not null").select("anchor", "row", "first", "words").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    counted = passages.where("anchor is null").select("row", "c1", "c2", "firsts", "windows")
-    distinct = counted.groupBy("c1", "c2").agg(F.sum(F.size("firsts")).alias("n"), F.first("windows").alias("windows"))
-    distinct = written(distinct, "substring-hot")
-    windows = distinct.select("c1", "c2", "n", F.posexplode("windows").alias("at", "w")).select("c1", "c2", "n", "at", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    some = windows.where("n = 1").join(twice, ["a", "b"], "left_semi").groupBy("c1", "c2").agg(F.collect_list("at").alias("recurring"))
-    whole = distinct.where("n > 1").select("c1", "c2", F.sequence(F.lit(0), F.size("windows") - 1).alias("recurring"))
-    hot = counted.select("row", "c1", "c2", "firsts").join(whole.unionByName(some), ["c1", "c2"])
-    # windows one after another make one range; a document's ranges stay one row
-    ends = F.filter("recurring", lambda x: ~F.array_contains("recurring", x + 1))
-    starts = F.filter("recurring", lambda x: ~F.array_contains("recurring", x - 1))
-    runs = hot.select("row", "firsts", F.arrays_zip(F.array_sort(starts).alias("a"), F.array_sort(ends).alias("b")).alias("runs"))
-    placed = F.transform("firsts", lambda f: F.transform("runs", lambda r: F.struct((f + r["a"]).alias("start"), (f + r["b"] + WINDOW).alias("stop"))))
-    hot_ranges = runs.select("row", F.flatten(placed).alias("ranges"))
-    found = sharded.mapInArrow(_shard, RANGE).select("row", F.array(F.struct("start", "stop")).alias("ranges"))
-    return found.unionByName(hot_ranges)
-
-
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    recurring = written(found.groupBy("h").count().where("count > 1").select("h"), "substring-anchors")  # a table of its own, so that a hot anchor's join can be split
+    by_row = found.join(recurring, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "last")).alias("found"))
+    segments = written(scanned.select("row", "words").join(by_row, "row").select("row", "words", "found").mapInArrow(_segments, SEGMENT), "substring-segments")
+    phrases, several = repeated_phrases(segments, most)
+    return located(segments, phrases, several, shard_words, streamed)
+
+
+def remove_repeats(docs: DataFrame, most: int = DISTINCT, shard_words: int = SHARD_WORDS, streamed: int = STREAMED) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    scanned = scan(docs)
-    ranges = written(repeated_ranges(scanned, hot).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "substring-ranges")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    scanned = written(rows.mapInArrow(_scan, SCANNED), "substring-scan")
+    ranges = repeated_ranges(scanned, most, shard_words, streamed)
+    ranges = written(ranges.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "substring-ranges")
     touched = scanned.select("row", "doc_id", "n_words", "words").join(ranges, "row").select("doc_id", "n_words", "words", "ranges").mapInArrow(_remove, REMOVED)
     whole = scanned.select("row", "doc_id", "n_words", "sha256").join(ranges.select("row"), "row", "left_anti")
     return touched.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))

@@ -180,7 +180,7 @@ def test_substring_dedup(spark, tmp_path, limits):
 def test_substring_dedup_with_a_hot_anchor(spark, tmp_path):
     """10,500 texts share a gram that is in every window of theirs: a third of them are copies, the others differ around it."""
     rolling = substring._Rolling()
-    common = min((" ".join(f"c{k}_{i}" for i in range(8)) for k in range(3000)), key=lambda g: int(rolling(substring._Hashes().of(g.encode().split()), 8)[0]))
+    common = min((" ".join(f"c{k}_{i}" for i in range(8)) for k in range(3000)), key=lambda g: int(rolling(substring.word_hashes(g.encode()), 8)[0]))
     around = lambda i: " ".join(str((i * 7 + j * 13) % 4000) for j in range(30))
     texts = [f"{around(0 if i % 3 == 0 else i % 3400)} {common} {around(0 if i % 3 == 0 else i + 5)}" for i in range(10_500)]
     docs = table(spark, tmp_path, [(i, t, None) for i, t in enumerate(texts)])
@@ -188,7 +188,21 @@ def test_substring_dedup_with_a_hot_anchor(spark, tmp_path):
     assert got == dict(enumerate(removed_by_hand(texts))) and any(0 < x[1] < x[0] for x in got.values())
 
 
-def test_embeddings(spark):
+def links_by_hand(rows):
+    ok = lambda v: v and None not in v and np.isfinite(v).all() and np.any(v)
+    unit = lambda v: np.array(v, float) / np.abs(np.array(v, float)).max() if ok(v) else None
+    units = [unit(v) for v, _ in rows]
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    return [
+        (a, b) for a in range(len(rows)) for b in range(a)
+        if rows[a][1] is not None and rows[a][1] == rows[b][1] and units[a] is not None and units[b] is not None
+        and len(units[a]) == len(units[b]) and cos(units[a], units[b]) >= 0.98
+    ]
+
+
+@pytest.mark.parametrize("blocks", [(3, 4), (embed_dedup.CODE_BLOCK, embed_dedup.BLOCK)])
+def test_embeddings(spark, monkeypatch, blocks):
+    monkeypatch.setattr(embed_dedup, "CELL_SIZE", 2)
     rng = np.random.default_rng(5)
     rows = []
     for c in range(6):
@@ -196,16 +210,34 @@ def test_embeddings(spark):
         for _ in range(15):
             rows.append(((centre + rng.normal(size=16) * 0.08).astype(np.float32).tolist(), c % 2))
     rows += [rows[0], rows[0], (None, 1), ([0.0] * 16, 1), ([float("nan")] * 16, 0), ([1.0, None] * 8, 0), (rows[0][0], None), ([1.0, 2.0], 0), ([2.0, 4.0], 0), ([], 1)]
-    df = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(rows)], "vec_id long, embedding array<float>, label int")
-    ok = lambda v: v and None not in v and np.isfinite(v).all() and np.any(v)
-    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
-    links = [
-        (a, b) for a in range(len(rows)) for b in range(a)
-        if rows[a][1] is not None and rows[a][1] == rows[b][1] and ok(rows[a][0]) and ok(rows[b][0]) and len(rows[a][0]) == len(rows[b][0])
-        and cos(np.array(rows[a][0], float), np.array(rows[b][0], float)) >= 0.98
-    ]
+    rows += [([1e300, 2e300], 0), ([1e-300, 2e-300], 0), ([3.0, -0.0], 0), ([3.0, 0.0], 0)]
+    df = spark.createDataFrame([(i, v, y, 1, "x") for i, (v, y) in enumerate(rows)], "vec_id long, embedding array<double>, label int, row int, vector string")
+    links = links_by_hand(rows)
     label, degree = closure(len(rows), links), Counter(x for link in links for x in link)
-    for block in (4, 1024):
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df, block=block).collect()}
-        assert got == {i: (degree[i], label[i], label[i] == i) for i in range(len(rows))}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df, 0.98, *blocks).collect()}
+    assert got == {i: (degree[i], label[i], label[i] == i) for i in range(len(rows))}
     assert 0 < len(links) < len(rows) ** 2 / 4
+
+
+def test_embeddings_without_ids_and_repeated(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (7, [1.0, 0.001], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, True)], key=str)
+
+
+def test_embeddings_of_768_dimensions(spark, monkeypatch):
+    """All links at the threshold's edge are found, with copies in a few dozen cells whatever the dimension."""
+    monkeypatch.setattr(embed_dedup, "CELL_SIZE", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 768))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.975, 0.985, (600, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * y])
+    df = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    links = sum(r.n_links for r in embed_dedup.near_vectors(df).collect())
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert links == ((unit @ unit.T) >= 0.98).sum() - len(v) and links > 400
+    assert embed_dedup.tables_for(10, 768, 0.98) < 40 and embed_dedup.tables_for(20, 768, 0.98) < 100

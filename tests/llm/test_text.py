@@ -175,6 +175,70 @@ def test_language_id(spark, tmp_path):
     assert langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    got = [r for r in langid.identify(docs).collect() if r.held_out and true[r.doc_id]]
+    assert np.mean([r.lang_pred == true[r.doc_id] for r in got]) > 0.98 and all(fold(r.doc_id) == 0 for r in got)
+
+
+def words_by_hand(text):
+    """Runs of letters, lower-cased; longer ones than CHUNK are several."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return [w[i : i + langid.CHUNK] for w in words for i in range(0, len(w), langid.CHUNK)]
+
+
+def scored_by_hand(model, text):
+    """(language, probability) from the words one after another."""
+    buckets, mask = len(model.weights), (1 << 32) - 1
+
+    def mixed(h, bits=32):
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & (1 << bits) - 1
+        return (h ^ (h >> 13)) % buckets
+
+    ids = []
+    for word in words_by_hand(text):
+        shown = [0, *map(ord, word), 0]
+        for n in range(1, 5):
+            for i in range(len(shown) - n + 1):
+                part = shown[i : i + n]
+                if (part[0] or part[-1]) and all(part[1:-1]) or n == 3 and part[1]:
+                    h = 0
+                    for k, c in enumerate(part):
+                        h = (h * 0x9E3779B1 + c + k + 1) & mask
+                    ids.append(mixed(h))
+        ids.append(mixed(sum(ord(c) * pow(0x01000193, i % 64 + 1, 1 << 32) & mask for i, c in enumerate(word)) ^ 0xA5A5A5A5, 64))
+    if not ids:
+        return "und", 0.0
+    p = langid.softmax((model.weights[ids].mean(0) + model.bias) / model.temperature)
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_language_scores_are_those_of_a_plain_computation(monkeypatch):
+    rows = documents()
+    model = langid.train([(r["text"], r["lang"]) for r in rows[:200]])
+    texts = [r["text"] for r in rows[200:260]] + EDGE + ["\n".join("mot" * (i % 9) + "é" * (i % 5) for i in range(700)), "Straße" * 90 + "\nwort"]
+    for chunk in (1 << 18, 700):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for (lang, score, _), text in zip(langid.scorer(model)(texts), texts):
+            wanted = scored_by_hand(model, text)
+            assert lang == wanted[0] and abs(score - wanted[1]) < 1e-5
+    monkeypatch.setattr(langid, "CHUNK", 1 << 18)
+    long = "un mot après l'autre\n" * 40_000  # over CHUNK, and no blank but line ends near a cut
+    (lang, score, _), one = langid.scorer(model)([long])[0], langid.scorer(model)([long[: 21 * 1000]])[0]
+    assert lang == one[0] and abs(score - one[1]) < 1e-6
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id", F.lit(" word" * 4000)).alias("text"), F.lit("en").alias("lang"))
+    got = langid.training_rows(docs, "lang", 50).collect()
+    assert len(got) == 50 and max(len(r.text) for r in got) <= langid.STRETCHES * (langid.STRETCH + 1)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    rows, rate = toxicity.training_rows(docs, labels, 30, 40)
+    assert sum(y for _, y in rows) <= 30 and 40 < len(rows) <= 70 and max(len(t) for t, _ in rows) <= toxicity.STRETCHES * (toxicity.STRETCH + 1) and 0 < rate < 1
+    assert langid.training_rows(docs.limit(0), "lang").count() == 0 and toxicity.training_rows(docs.limit(0), labels)[0] == []
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = toxicity.Network(3)
@@ -218,6 +282,67 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.score_documents(docs, labels, net).count() == len(EDGE)
 
 
+def test_toxic_scores_are_those_of_a_plain_computation(monkeypatch):
+    """Window by window and word by word, whatever pieces a long text is read in."""
+    net = toxicity.Network(2)
+    rng = np.random.default_rng(2)
+    net.words, net.grams = rng.normal(0, 1, net.words.shape).astype(np.float32), rng.normal(0, 1, net.grams.shape).astype(np.float32)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    mask = (1 << 32) - 1
+
+    def mixed(h, buckets, bits=32):
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & (1 << bits) - 1
+        h = ((h ^ (h >> 12)) * 0x297A2D39) & (1 << bits) - 1
+        return (h ^ (h >> 15)) & (buckets - 1)
+
+    def entered(word):
+        shown, sum_ = [0, *map(ord, word), 0], np.zeros(toxicity.GRAM_DIM)
+        for n in toxicity.GRAMS:
+            for i in range(len(shown) - n + 1):
+                h = n
+                for c in shown[i : i + n]:
+                    h = (h * 0x9E3779B1 + c) & mask
+                sum_ += net.grams[mixed(h, toxicity.GRAM_BUCKETS)]
+        whole = sum(ord(c) * pow(0x01000193, i % 64 + 1, 1 << 32) & mask for i, c in enumerate(word))
+        return np.concatenate([net.words[mixed(whole, toxicity.WORD_BUCKETS, 64)], toxicity.GRAM_SCALE * sum_])
+
+    def read(xs, d):
+        p, h, out = net.dense, np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            a, u, n = x @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"], toxicity.HIDDEN
+            z, r = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    def by_hand(text):
+        words = words_by_hand(text)
+        best = toxicity.LOWEST
+        for start in range(0, max(1, len(words) - toxicity.STRIDE), toxicity.STRIDE) if words else ():
+            xs = [entered(w) for w in words[start : start + toxicity.SPAN]]
+            states = np.array([np.concatenate(s) for s in zip(read(xs, "f"), read(xs[::-1], "b")[::-1])])
+            e = np.tanh(states @ net.dense["Wa"] + net.dense["ba"]) @ net.dense["va"]
+            w = np.exp(e - e.max())
+            best = max(best, float((w / w.sum()) @ states @ net.dense["wo"] + net.dense["bo"][0]))
+        return float(sigmoid(net.scale * best + net.shift))
+
+    texts = [r["text"] for r in documents()[:12]] + EDGE + [" ".join(f"w{chr(97 + i % 26)}{'xyz'[i % 3] * (i % 7)}" for i in range(n)) for n in (8, 9, 16, 17, 24, 25, 300, 411)]
+    texts += ["1234 " * 500 + "end of it", "x" * 900 + " y"]
+    for chunk in (1 << 18, 300):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(toxicity.scorer(net)(texts), [by_hand(t) for t in texts], atol=2e-5)
+
+
+def test_toxic_documents_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, labels).where("held_out").collect()}
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect() if r.doc_id in got}
+    found = [got[i] for i, y in truth.items() if y]
+    clean = [got[i] for i, y in truth.items() if not y]
+    assert np.mean(found) > 0.85 and np.mean(clean) < 0.01
+
+
 def test_windows_overlap_and_cover():
     text = np.array([0] * 3 + [2] * 16 + [3] * 17 + [5] * 40)
     at, mask, of = toxicity.windows_of(text)

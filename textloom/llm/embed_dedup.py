@@ -3,21 +3,27 @@
 Vectors with one label link when their cosine is at least ``least``. Equal vectors become one representative first, so
 copies cost nothing further and a link between representatives counts for all copies behind them.
 
-* Rotation: unit vectors are turned by one random orthogonal matrix (seeded). A code holds the signs of the turned
-  coordinates; stored with it is the correction factor f, the inner product of the code's own unit vector with the vector.
-* Cells: the first ``bits`` signs name a cell (more bits where a label has more vectors). The midpoint of two vectors
-  that link is at most sqrt((1 - least) / 2) from each, so a vector is put into each cell that a point within that distance can
-  be in: its own, and those reached by changing signs of coordinates whose squares sum to no more than (1 - least) / 2. Every
-  linking pair therefore meets in its midpoint's cell, and it counts in that cell only.
-* Estimates: in a cell, inner products are estimated from code and factor; the estimate is free of bias, and its error is at most
-  sqrt(1 - f^2) / f * sqrt(1 - c^2) for a true value c. Pairs whose estimate is below what that bound leaves to a linking
-  pair are dropped with full confidence; the others are computed anew in double precision from the vectors as given.
-* Cells with more than ``block`` vectors are cut into blocks and each pair of blocks is a task of its own. Tasks return, for
-  each vector, how many rows it links with and one star of the links, never the pairs.
+* Codes: unit vectors are turned by random orthogonal matrices (seeded), as many as give ``SIGNS`` coordinates or more; together they
+  keep inner products. A code holds the coordinates' signs; stored with it is the correction factor f, the inner product of the
+  code's own unit vector with the turned vector.
+* Meeting: a sign differs in a pair at angle a with chance a / pi. Each of several tables reads ``bits`` of the signs, chosen at random, and
+  vectors of one label that agree in them meet in a cell. ``bits`` grows with the logarithm of a label's vectors; the number of tables is
+  the least with which a pair at the threshold meets nowhere with a chance of at most ``MISS`` (``tables_for`` sums over how many signs
+  may differ); closer pairs miss less. Tables grow slowly with a label's vectors, whatever
+  their dimension: 12 at 500, 20 at 4,000, 32 at 65,000, 68 at 4 million, 108 at 64 million and beyond (512 signs). A pair counts in the first table in which it meets.
+* Only codes travel to the cells, a few dozen bytes a table. Pairs whose signs differ in more places than a pair at the threshold
+  does (confidence 1 - ``MISS``) are dropped; vectors are fetched for those alone that are left with a pair in a cell.
+* Estimates: with the vectors, inner products are estimated from one side's code and factor; the estimate is free of bias, and its error is
+  at most sqrt(1 - f^2) / f * sqrt(1 - c^2) for a true value c. Pairs whose estimate is below what that bound leaves to a linking pair
+  are dropped with full confidence; the others are computed anew in double precision from the vectors as given.
+* Cells of more than a block are cut into blocks and each pair of blocks is a task of its own. Tasks return, for each vector, how many
+  rows it links with and one star of the links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those without a label, link
-with nothing; vectors of one label but unlike lengths don't link; rows with one vec_id are rows of their own and share the
-component; an empty table gives no rows.
+with nothing; components of any finite size are read (a vector is scaled by a power of two, which changes no cosine); vectors of one
+label but unlike lengths don't link; rows with one vec_id, or with none, are rows of their own, and a null vec_id counts as a
+component's smallest only where there is no other; an empty table gives no rows; only vec_id, embedding and label are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,19 +43,75 @@ from textloom.llm.scratch import written
 from textloom.llm.simhash import stars
 
 LEAST = 0.98
-BLOCK = 1024
+MISS = 1e-8
+SIGNS = 512
+#: Vectors of a label for each cell of a table, at most bits, and the largest blocks with codes and with vectors.
+CELL_SIZE = 64
+MOST_BITS = 20
+CODE_BLOCK, BLOCK = 4096, 1024
 SEED = 20240101
 #: Labels up to this many are broadcast with their counts; more are joined by shuffle.
 BROADCAST_LABELS = 1 << 16
 VECTOR = "row long, vec_id long, label long, dim int, vector binary"
-CELL = "label long, dim int, cell long, bits int, rep long, n long, code binary, factor double, vector binary"
+CODE = "label long, dim int, rep long, n long, bits int, code binary, factor double, vector binary"
+CELL = "label long, dim int, cell long, bits int, rep long, code binary"
+NEEDED = "label long, dim int, cell long, rep long"
 MET = "rep long, weight long, root long"
 
 
 @cache
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED + dim).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Orthogonal matrices side by side, scaled so that inner products are kept."""
+    rng, turns = np.random.default_rng(SEED + dim), -(-SIGNS // dim)
+    found = []
+    for _ in range(turns):
+        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+        found.append(q * np.sign(np.diag(r)))
+    return np.hstack(found) / math.sqrt(turns)
+
+
+@cache
+def tables_for(bits: int, signs: int, least: float, miss: float = MISS) -> int:
+    """The number of tables with which a pair at the threshold fails to meet with chance ``miss`` at most."""
+    chance = math.acos(least) / math.pi
+    odds = [math.exp(math.lgamma(signs + 1) - math.lgamma(d + 1) - math.lgamma(signs - d + 1) + d * math.log(chance) + (signs - d) * math.log1p(-chance)) for d in range(signs + 1)]
+    apart = np.array([1 - math.prod((signs - d - i) / (signs - i) for i in range(bits)) if d + bits <= signs else 1.0 for d in range(signs + 1)])
+    tables = 1
+    while np.dot(odds, apart**tables) > miss and tables < 4096:
+        tables += 1
+    return tables
+
+
+@cache
+def most_differing(signs: int, least: float, miss: float = MISS) -> int:
+    """In no more places the signs of a pair at the threshold differ, but with chance ``miss``."""
+    chance, left, d = math.acos(least) / math.pi, 1.0, -1
+    while left > miss and d < signs:
+        d += 1
+        left -= math.exp(math.lgamma(signs + 1) - math.lgamma(d + 1) - math.lgamma(signs - d + 1) + d * math.log(chance) + (signs - d) * math.log1p(-chance))
+    return d
+
+
+@cache
+def places(bits: int, signs: int, least: float) -> np.ndarray:
+    """For each table, the signs that it reads."""
+    rng = np.random.default_rng(SEED + 64 * signs + bits)
+    return np.stack([rng.permutation(signs)[:bits] for _ in range(tables_for(bits, signs, least))])
+
+
+def keys(code: np.ndarray, bits: int, least: float) -> np.ndarray:
+    """Keys of the codes (rows of 0 and 1) in every table."""
+    at = places(bits, code.shape[1], least)
+    out = np.zeros((len(code), len(at)), np.int64)
+    for i in range(bits):
+        out |= code[:, at[:, i]].astype(np.int64) << i
+    return out
+
+
+def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    named = [c.split() for c in shape.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), named)], names=[n for n, _ in named])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,152 +122,200 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = None
             if label is not None and x and None not in x:
                 v = np.array(x, "<f8")
-                if not np.isfinite(v).all() or not v.any() or not 0 < v @ v < math.inf:
-                    v = None
+                v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) if np.isfinite(v).all() and v.any() else None
             dims.append(0 if v is None else len(v))
-            kept.append(None if v is None else v.tobytes())
+            kept.append(None if v is None else (v + 0.0).tobytes())  # no negative zero
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(dims, pa.int32()), pa.array(kept, pa.binary())], names=["row", "vec_id", "label", "dim", "vector"])
 
 
-def reachable(y: np.ndarray, budget: float) -> list[int]:
-    """Sets of coordinates, as masks, whose squares sum to at most budget."""
-    order = np.argsort(y * y)
-    squares = (y * y)[order].tolist()
-    found, stack = [], [(0, 0, 0.0)]
-    while stack:
-        mask, at, spent = stack.pop()
-        found.append(mask)
-        for i in range(at, len(squares)):
-            if spent + squares[i] > budget:
-                break
-            stack.append((mask | 1 << int(order[i]), i + 1, spent + squares[i]))
-    return found
-
-
 def turned_units(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ rotation(vectors.shape[1])
 
 
-def _cells(least: float):
-    budget = (1 - least) / 2 + 1e-9
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, vector, rep, n, bits): with each vector's code and factor."""
+    for batch in batches:
+        dims = batch.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            mine = batch.filter(pa.array(dims == dim))
+            y = turned_units(np.frombuffer(b"".join(mine.column(2).to_pylist()), "<f8").reshape(-1, dim))
+            code = [x.tobytes() for x in np.packbits(y > 0, axis=1, bitorder="little")]
+            factor = np.abs(y).sum(1) / math.sqrt(y.shape[1])
+            bits = np.minimum(mine.column(5).to_numpy(), y.shape[1]).astype(np.int32)
+            columns = [mine.column(0), mine.column(1), mine.column(3), mine.column(4), pa.array(bits), pa.array(code, pa.binary()), pa.array(factor), mine.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CODE.split(", ")])
+
+
+def _unpacked(codes: list[bytes], signs: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")[:, :signs]
+
 
+def _cells(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in CELL.split(", ")]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
         for batch in batches:
             out: list[tuple] = []
-            for label, dim, raw, rep, n, bits in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                y = turned_units(np.frombuffer(raw, "<f8")[None])[0]
-                bits = min(bits, dim)
-                signs = y > 0
-                own = sum(1 << i for i in range(bits) if signs[i])
-                code = np.packbits(signs, bitorder="little").tobytes()
-                factor = float(np.abs(y).sum() / math.sqrt(dim))
-                out += [(label, dim, own ^ mask, bits, rep, n, code, factor, raw) for mask in reachable(y[:bits], budget)]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                    out = []
+            rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(5))), key=lambda r: (r[1], r[3]))
+            for (dim, bits), group in itertools.groupby(rows, key=lambda r: (r[1], r[3])):
+                held = list(group)
+                for i in range(0, len(held), 512):
+                    some = held[i : i + 512]
+                    key = keys(_unpacked([r[4] for r in some], rotation(dim).shape[1]), bits, least)
+                    for (label, _, rep, _, code), mine in zip(some, (key | np.arange(key.shape[1]) << MOST_BITS).tolist()):
+                        out += [(label, dim, cell, bits, rep, code) for cell in mine]
+                    if len(out) > 20_000:
+                        yield _batch(out, CELL)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                yield _batch(out, CELL)
 
     return run
 
 
-def linked_in_cell(a: dict, b: dict | None, cell: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of pairs that link and whose midpoint is in the cell; without b the pairs inside a."""
+def _first_meeting(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Whether pairs (i of one, j of two), given by their keys, meet in no table before ``table``."""
+    return ~(one[i, :table] == two[j, :table]).any(1)
+
+
+def close_codes(a: np.ndarray, b: np.ndarray | None, table: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of codes that may link and meet first in this table; without b the pairs inside a."""
+    other = a if b is None else b
+    most = most_differing(a.shape[1], least)
+    x, z = a.astype(np.float32) * 2 - 1, other.astype(np.float32) * 2 - 1
+    one = keys(a, bits, least)
+    two = one if b is None else keys(other, bits, least)
+    found_i, found_j = [], []
+    for s in range(0, len(x), 512):
+        i, j = np.nonzero(x[s : s + 512] @ z.T >= a.shape[1] - 2 * most)
+        i += s
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        for t in range(0, len(i), 1 << 16):
+            p, q = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
+            new = _first_meeting(one, two, p, q, table)
+            found_i.append(p[new])
+            found_j.append(q[new])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
+
+
+def linked(a: dict, b: dict | None, table: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of pairs that link and meet first in this table; without b the pairs inside a."""
     other = a if b is None else b
-    dim = a["v"].shape[1]
-    code = np.unpackbits(a["code"], axis=1, bitorder="little")[:, :dim] * (2 / math.sqrt(dim)) - 1 / math.sqrt(dim)
-    y, z = a["y"], other["y"]
-    estimate = (code @ z.T) / a["factor"][:, None]
+    signs = a["code"].shape[1]
+    estimate = ((a["code"] * 2.0 - 1) / math.sqrt(signs) @ other["y"].T) / a["factor"][:, None]
     f = np.minimum(a["factor"], 1.0)
     bound = least - np.sqrt(1 - f * f) / f * math.sqrt(1 - least * least) - 1e-9
     i, j = np.nonzero(estimate >= bound[:, None])
     if b is None:
         i, j = i[i < j], j[i < j]
+    one, two = keys(a["code"], bits, least), keys(other["code"], bits, least)
     v, w = a["v"], other["v"]
+    size_v, size_w = np.linalg.norm(v, axis=1), np.linalg.norm(w, axis=1)
     found_i, found_j = [], []
-    for s in range(0, len(i), 1 << 16):
-        p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-        cosine = np.einsum("ij,ij->i", v[p], w[q]) / (np.linalg.norm(v[p], axis=1) * np.linalg.norm(w[q], axis=1))
-        middle = ((y[p, :bits] + z[q, :bits] > 0) * (1 << np.arange(bits))).sum(1)
-        keep = (cosine >= least) & (middle == cell)
+    for s in range(0, len(i), 1 << 14):
+        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+        new = _first_meeting(one, two, p, q, table)
+        p, q = p[new], q[new]
+        keep = np.einsum("ij,ij->i", v[p], w[q]) / (size_v[p] * size_w[q]) >= least
         found_i.append(p[keep])
         found_j.append(q[keep])
     none = np.zeros(0, np.int64)
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
 
 
+def _by_group(process, shape: str):
+    """Runs process over the rows of each (label, dim, cell, p, q), which come together; p and q are the blocks, and own the row's block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = itertools.chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))) for b in batches)
+        out: list[tuple] = []
+        for (_, _, _, p, q), group in itertools.groupby(rows, key=lambda r: r[:5]):
+            held = list(group)
+            if p == q:
+                out += process(held, None) if len(held) > 1 else []
+            else:
+                one, two = [r for r in held if r[5] == p], [r for r in held if r[5] == q]
+                out += process(one, two) if one and two else []
+            if len(out) > 20_000:
+                yield _batch(out, shape)
+                out = []
+        if out:
+            yield _batch(out, shape)
+
+    return run
+
+
+def _screen(least: float):
+    """Rows (label, dim, cell, p, q, own, bits, rep, code): those with a pair that may link."""
+
+    def process(one: list[tuple], two: list[tuple] | None) -> list[tuple]:
+        label, dim, cell, bits = *one[0][:3], one[0][6]
+        side = lambda rows: _unpacked([r[8] for r in rows], rotation(dim).shape[1])
+        i, j = close_codes(side(one), None if two is None else side(two), cell >> MOST_BITS, bits, least)
+        other = one if two is None else two
+        return [(label, dim, cell, rep) for rep in {one[k][7] for k in np.unique(i).tolist()} | {other[k][7] for k in np.unique(j).tolist()}]
+
+    return _by_group(process, NEEDED)
+
+
 def _meet(least: float):
-    def process(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        _, dim, cell, bits, p, q = rows[0][:6]
-
-        def side(mine: list[tuple]) -> dict:
-            v = np.frombuffer(b"".join(r[10] for r in mine), "<f8").reshape(len(mine), dim)
-            return {"v": v, "y": turned_units(v), "code": np.frombuffer(b"".join(r[8] for r in mine), np.uint8).reshape(len(mine), -1), "factor": np.array([r[9] for r in mine])}
-
-        if p == q:
-            ordered = rows
-            if len(rows) < 2:
-                return []
-            i, j = linked_in_cell(side(rows), None, cell, bits, least)
-        else:
-            one, two = [r for r in rows if r[11] == p], [r for r in rows if r[11] == q]
-            ordered = one + two
-            if not one or not two:
-                return []
-            i, j = linked_in_cell(side(one), side(two), cell, bits, least)
-            j = j + len(one)
+    """Rows (label, dim, cell, p, q, own, bits, rep, n, code, factor, vector): links of each vector, and stars."""
+
+    def process(one: list[tuple], two: list[tuple] | None) -> list[tuple]:
+        _, dim, cell, bits = *one[0][:3], one[0][6]
+
+        def side(rows: list[tuple]) -> dict:
+            v = np.frombuffer(b"".join(r[11] for r in rows), "<f8").reshape(len(rows), dim)
+            return {"v": v, "y": turned_units(v), "code": _unpacked([r[9] for r in rows], rotation(dim).shape[1]), "factor": np.array([r[10] for r in rows])}
+
+        i, j = linked(side(one), None if two is None else side(two), cell >> MOST_BITS, bits, least)
         if not len(i):
             return []
-        n = np.array([r[7] for r in ordered])
+        ordered = one if two is None else one + two
+        j = j if two is None else j + len(one)
+        n = np.array([r[8] for r in ordered])
         weight = np.zeros(len(ordered), np.int64)
         np.add.at(weight, i, n[j])
         np.add.at(weight, j, n[i])
         root = np.arange(len(ordered))
         node, to = stars(len(ordered), i, j)
         root[node] = to
-        return [(ordered[k][6], int(weight[k]), ordered[root[k]][6]) for k in np.flatnonzero(weight)]
+        return [(ordered[k][7], int(weight[k]), ordered[root[k]][7]) for k in np.flatnonzero(weight)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = itertools.chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))) for b in batches)
-        out: list[tuple] = []
-        for _, group in itertools.groupby(rows, key=lambda r: (*r[:3], *r[4:6])):
-            out += process(list(group))
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "weight", "root"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "weight", "root"])
+    return _by_group(process, MET)
 
-    return run
 
+def _dealt(cells: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Rows of each cell together; of cells with more than ``block`` rows each pair of blocks."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["label", "dim", "cell"]
+    large = cells.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = cells.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *columns)
+    return dealt.repartition(parts, *key, "p", "q").sortWithinPartitions(*key, "p", "q")
 
-def near_vectors(embeddings: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+
+def near_vectors(embeddings: DataFrame, least: float = LEAST, code_block: int = CODE_BLOCK, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of embeddings (vec_id, embedding, label)."""
-    spark = embeddings.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = embeddings.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
     vectors = written(raw.mapInArrow(_read, VECTOR), "vectors")
     can = vectors.where("vector is not null")
     groups = written(can.groupBy("label", "vector").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim")), "vector-groups")
-    sizes = groups.groupBy("label").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*"))) - 6).cast("int").alias("bits")).withColumn("bits", F.least("bits", F.lit(30)))
+    bits = F.ceil(F.log2(F.count("*") / CELL_SIZE))
+    sizes = groups.groupBy("label").agg(F.greatest(F.lit(0), F.least(F.lit(MOST_BITS), bits)).cast("int").alias("bits"))
     if sizes.count() <= BROADCAST_LABELS:
         sizes = F.broadcast(sizes)
-    placed = groups.join(sizes, "label").select("label", "dim", "vector", "rep", "n", "bits")
-    cells = written(placed.mapInArrow(_cells(least), CELL), "vector-cells")
-    key = ["label", "dim", "cell"]
-    large = cells.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = cells.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", "cell", "bits", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "n", "code", "factor", "vector", "own")
-    met = dealt.repartition(parts, "label", "dim", "cell", "p", "q").sortWithinPartitions("label", "dim", "cell", "p", "q").mapInArrow(_meet(least), MET)
-    met = written(met, "vector-links")
+    codes = written(groups.join(sizes, "label").select("label", "dim", "vector", "rep", "n", "bits").mapInArrow(_codes, CODE), "vector-codes")
+    cells = written(codes.select("label", "dim", "rep", "bits", "code").mapInArrow(_cells(least), CELL), "vector-cells")
+    needed = written(_dealt(cells, code_block, "bits", "rep", "code").mapInArrow(_screen(least), NEEDED).distinct(), "vector-needed")
+    fetched = needed.join(codes.select("rep", "n", "bits", "code", "factor", "vector"), "rep")
+    met = written(_dealt(fetched, block, "bits", "rep", "n", "code", "factor", "vector").mapInArrow(_meet(least), MET), "vector-links")
     weights = met.groupBy("rep").agg(F.sum("weight").alias("weight"))
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "root")
     told = groups.join(weights, "rep", "left").join(roots, "rep", "left").select("label", "vector", (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    linked = written(can.join(told, ["label", "vector"]).select("vec_id", "n_links", "root"), "vector-members")
-    first = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    linked_rows = written(can.join(told, ["label", "vector"]).select("vec_id", "n_links", "root"), "vector-members")
+    first = linked_rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     alone = vectors.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = linked.join(first, "root").select("vec_id", "n_links", "component_id").unionByName(alone)
+    both = linked_rows.join(first, "root").select("vec_id", "n_links", "component_id").unionByName(alone)
     return both.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -8,11 +8,15 @@ temperature and the rejection threshold: the largest, up to ``ceiling``, that re
 documents which the model gets right.
 
 As the model is linear in the average, a subword's share of the scores is one row of numbers: tasks hash all n-grams of
-some texts at once and add their rows up, over whole texts of any length.
+some texts at once and add their rows up. Very long texts are scored whole, in pieces that part between words, which changes no sum; only
+a word of more than ``CHUNK`` letters counts as several words of that many.
+
+The sample is bounded in rows (an ordered limit, whatever repeats in the table) and in characters: tasks cut an ``excerpt`` out
+of each text, spread over it, before anything reaches the driver.
 
 Defined cases: text that is null, empty or without a letter gives ``und`` with score 0 and is rejected; null doc_ids
-are never learned from and count as not held out; with no labelled row at all every text is ``und``; extra columns are
-passed on by ``keep_identified``.
+are never learned from and count as not held out; with no labelled row at all every text is ``und``; repeated rows each give a row;
+an empty table gives no rows; columns of any name are passed on by ``keep_identified``, and only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Characters that a task scores at once.
 CHUNK = 1 << 18
-#: Labelled documents to learn from, at most.
+#: Labelled documents to learn from, at most, and the characters of each: how many stretches of how many.
 SAMPLE = 4000
+STRETCHES, STRETCH = 4, 300
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -161,7 +166,7 @@ def scorer(model: LanguageModel):
     def score(texts: list[str | None]) -> list[tuple[str, float, bool]]:
         totals, held, size = [], [], 0
         for text in texts:
-            for piece in cut_long(text or ""):
+            for piece in cut_long((text or "").lower()):
                 held.append((len(totals), piece))
                 size += len(piece)
             totals.append(np.zeros(weights.shape[1]))
@@ -187,11 +192,14 @@ def scorer(model: LanguageModel):
 
 
 def cut_long(text: str) -> Iterator[str]:
-    """A text in pieces of at most about CHUNK characters, cut at blanks where there are any: all of it is scored."""
+    """A text in pieces of at most CHUNK characters, each but the last ending behind a character that is no letter. A word of more than
+    CHUNK letters is cut after every CHUNK of them."""
     at = 0
     while len(text) - at > CHUNK:
-        end = text.rfind(" ", at + 1, at + CHUNK)
-        end = end if end > 0 else at + CHUNK
+        end = at + CHUNK
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + CHUNK
         yield text[at:end]
         at = end
     yield text[at:]
@@ -202,12 +210,46 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def excerpt(text: str, stretches: int, stretch: int) -> str:
+    """Stretches of a text, spread evenly over it, whole words where there are blanks, one a line; a text that is not longer is kept whole."""
+    if len(text) <= stretches * stretch:
+        return text
+    found = []
+    for k in range(stretches):
+        at = k * (len(text) - stretch) // max(1, stretches - 1)
+        part = text[at : at + stretch]
+        begin = part.find(" ") + 1 if at else 0
+        end = part.rfind(" ") if at + stretch < len(text) else len(part)
+        found.append(part[begin:end] if end > begin else part)
+    return "\n".join(found)
+
+
+def excerpts(rows: DataFrame, stretches: int, stretch: int) -> DataFrame:
+    """(place, text, label) with each text cut to an excerpt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.array([excerpt(x or "", stretches, stretch) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), short, batch.column(2)], names=["place", "text", "label"])
+
+    return rows.select("place", "text", "label").mapInArrow(run, rows.select("place", "text", "label").schema)
+
+
+def place(*columns: str):
+    """A row's place in a sample, from 0 to 2**30, by hash."""
+    return F.pmod(F.xxhash64(*columns, F.lit("train")), F.lit(1 << 30)).alias("place")
+
+
+def share_of(bound: int, total: int) -> int:
+    """The places that about a tenth more than ``bound`` of ``total`` rows have; an ordered limit takes the rest away."""
+    return int(min(1.0, 1.1 * bound / max(1, total)) * (1 << 30)) + 1
+
+
 def training_rows(docs: DataFrame, label: str, bound: int = SAMPLE) -> DataFrame:
-    """(text, label) of about ``bound`` labelled rows outside the held-out fold, spread evenly over the table by hash."""
-    labelled = docs.where(F.col(label).isNotNull() & (fold() != 0)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
-    total = labelled.count()
-    share = min(1.0, bound / max(1, total))
-    return labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("doc_id", "text", "label").select("text", "label")
+    """(text, label) of at most ``bound`` labelled rows outside the held-out fold, spread evenly over the table by hash."""
+    labelled = docs.where(F.col(label).isNotNull() & (fold() != 0)).select(place("doc_id", "text", label), "text", F.col(label).alias("label"))
+    few = labelled.where(F.col("place") < share_of(bound, labelled.count()))
+    return excerpts(few, STRETCHES, STRETCH).orderBy("place", "text", "label").limit(bound).select("text", "label")
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE, **options) -> LanguageModel:
@@ -217,10 +259,10 @@ def fit(docs: DataFrame, bound: int = SAMPLE, **options) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """A row for each document: doc_id, held_out, lang_pred, score, rejected."""
-    model = model or fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # a table of a fixed size
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(model)
+        score = scorer(sent.value)
         for batch in batches:
             got = score(batch.column(2).to_pylist())
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
@@ -231,11 +273,11 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """docs without the documents whose language is rejected, all columns kept."""
-    model = model or fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(model)
+        score = scorer(sent.value)
         for batch in batches:
             yield batch.filter(pa.array([not rejected for _, _, rejected in score(batch.column(at).to_pylist())], pa.bool_()))
 

@@ -7,9 +7,8 @@ judged on the input.
   window's anchor. It follows from the window's words alone, so equal windows have equal anchors wherever they stand; neighbouring
   windows mostly share theirs, so a document has far fewer anchors than windows, each with a range of windows. A *segment* is the
   words of one anchor's windows. Only anchors whose hash occurs twice can lead to a repeated window.
-* Confirming: the segments of recurring anchors, each distinct one once with its number of occurrences (by partial aggregation, so
-  a passage in a third of all documents is one row a map task), come together by anchor, and windows that recur are told by
-  comparing their words. Runs of recurring windows are the repeated phrases.
+* Confirming: the segments of recurring anchors, equal ones of a batch merged with their number (so a passage in a third of all
+  documents is one row a batch), come together by anchor, and windows that recur are told by comparing their words. Runs of recurring windows are the repeated phrases.
 * Automata: the phrases, written to the shared folder, are dealt to shards of a bounded number of words by anchor. A shard's
   phrases are compiled into an Aho-Corasick automaton over words (one character each).
 * Locating: the segments of all documents are streamed through their shard's automaton, and only what it hits is removed. A shard
@@ -36,7 +35,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +45,25 @@ WINDOW = 35
 GRAM = 8
 #: Distinct segments of one anchor in one home.
 DISTINCT = 512
-#: Words of phrases in one automaton, and segments that one copy of it reads.
-SHARD_WORDS = 400_000
+#: Words of phrases in one automaton (a few megabytes, as its nodes are read at random), and segments that one copy of it reads.
+SHARD_WORDS = 32_000
 STREAMED = 100_000
-#: Homes (8 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_HOMES = 1 << 20
-#: Words and characters of words in a task's memory before it starts afresh.
-CACHE, CACHE_BYTES = 400_000, 16 << 20
+#: Words of documents whose anchors are found at once.
+GROUP_WORDS = 100_000
+#: Bytes of words that are hashed at once.
+PIECE = 1 << 20
 
 SCANNED = "row long, doc_id long, n_words long, sha256 string, words binary, anchors array<struct<h:long,first:int,last:int>>"
 SEGMENT = "anchor long, row long, segment binary, firsts array<int>"
 HOMED = "home long, row long, segment binary, firsts array<int>, n long"
+SEEN = "home long, segment binary, n long"
 PHRASE = "home long, phrase binary, words int"
-RANGE = "row long, ranges array<struct<start:int,stop:int>>"
+RANGE = "row long, start int, stop int"
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS = np.cumprod(np.full(64, 0xA0761D6478BD642F, np.uint64), dtype=np.uint64)
 
 
 def _batch(rows: list[tuple], shape: str, kinds: tuple) -> pa.RecordBatch:
@@ -71,21 +71,23 @@ def _batch(rows: list[tuple], shape: str, kinds: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in shape.split(", ")])
 
 
-class _Hashes(dict):
-    def __init__(self):
-        super().__init__()
-        self.held = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        self.held += len(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE or self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: bytes) -> np.ndarray:
+    """A hash of each of some words, joined by one blank; a piece of the bytes at a time."""
+    found, at = [], 0
+    while at < len(words):
+        end = words.find(b" ", at + PIECE) if len(words) - at > PIECE else -1
+        c = np.frombuffer(words[at:] if end < 0 else words[at:end], np.uint8)
+        at = len(words) if end < 0 else end + 1
+        blank = np.flatnonzero(c == 32)
+        start = np.append(0, blank + 1)
+        size = np.diff(np.append(start, len(c) + 1))  # with the blank behind
+        place = np.arange(len(c)) - np.repeat(start, size)[: len(c)]
+        value = (c.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63]
+        value[blank] = 0
+        h = np.add.reduceat(value, start) + size.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(h ^ (h >> np.uint64(32)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 class _Letters(dict):
@@ -114,38 +116,55 @@ class _Rolling:
         return x ^ (x >> np.uint64(29))
 
 
-def anchors(h: np.ndarray, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors' hashes, and the first and last window of each, from the words' hashes."""
+def anchors(h: np.ndarray, sizes: np.ndarray, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents one after another, h their words' hashes and sizes their lengths: the anchors' hashes, the first and last window of
+    each, counted from its document's start, and how many anchors each document has."""
     if len(h) < WINDOW:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(len(sizes), np.int64))
     g = rolling(h, GRAM)
     width = WINDOW - GRAM + 1
     # the leftmost least of 2, 4, 8, ... grams from each place on, and then of a window's
-    at, size = np.arange(len(g)), 1
+    least, at, size = g, np.arange(len(g), dtype=np.int32), 1
     while size < width:
         step = min(size, width - size)
-        left, right = at[:-step], at[step:]
-        at, size = np.where(g[right] < g[left], right, left), size + step
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return g[at[first]], first, np.append(first[1:], len(at)) - 1
+        right = least[step:] < least[:-step]
+        least, at, size = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step]), size + step
+    ends = sizes.cumsum()
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    whole = np.flatnonzero(np.arange(WINDOW, WINDOW + len(at)) <= ends[of])  # windows inside one document
+    if not len(whole):
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(len(sizes), np.int64))
+    at = at[whole]
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    first, last = whole[new], whole[np.append(new[1:], len(at)) - 1]
+    start = (ends - sizes)[of[first]]
+    return g[at[new]], first - start, last - start, np.bincount(of[first], minlength=len(sizes))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, rolling, press = _Hashes(), _Rolling(), zstandard.ZstdCompressor(level=3)
+    rolling, press = _Rolling(), zstandard.ZstdCompressor(level=3)
     names = [c.split()[0] for c in SCANNED.split(", ")]
+
+    def ready(held: list[tuple]) -> pa.RecordBatch:
+        h, first, last, count = anchors(word_hashes(b" ".join([x[5] for x in held if x[5]])), np.array([x[2] for x in held]), rolling)
+        struct = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "first", "last"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        columns = [pa.array([x[i] for x in held], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.append(0, count.cumsum()), pa.int32()), struct)], names=names)
+
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
-        out: list[tuple] = []
-        held, offsets = [], [0]
-        for text in batch.column(2).to_pylist():
+        for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             words = (text or "").encode().split()
             joined = b" ".join(words)
-            held.append(anchors(known.of(words), rolling))
-            offsets.append(offsets[-1] + len(held[-1][0]))
-            out.append((len(words), hashlib.sha256(joined).hexdigest(), press.compress(joined)))
-        h, first, last = (np.concatenate([x[i] for x in held]) for i in range(3))
-        struct = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "first", "last"])
-        columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], names=names)
+            held.append((row, doc_id, len(words), hashlib.sha256(joined).hexdigest(), press.compress(joined), joined))
+            size += len(words)
+            if size > GROUP_WORDS:
+                yield ready(held)
+                held, size = [], 0
+    if held:
+        yield ready(held)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +196,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, homes, row, segment, firsts, n) of anchors with several homes: the segment in each home that a window of it belongs to."""
-    known, rolling = _Hashes(), _Rolling()
+    rolling = _Rolling()
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64())
     for batch in batches:
         out: list[tuple] = []
         for anchor, homes, row, segment, firsts, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            out += [(home, row, segment, firsts, n) for home in set(_homes_of(known.of(segment.split()), anchor, homes, rolling))]
+            out += [(home, row, segment, firsts, n) for home in set(_homes_of(word_hashes(segment), anchor, homes, rolling))]
         if out:
             yield _batch(out, HOMED, kinds)
 
@@ -192,13 +211,13 @@ def _homes_of(h: np.ndarray, anchor: int, homes: int, rolling: _Rolling) -> list
     return [(anchor + (int(x) % homes + 1) * _BASE & (1 << 64) - 1) - (1 << 63) for x in rolling(h, WINDOW)]
 
 
-def confirmed(segments: list[tuple[bytes, int]]) -> dict[bytes, int]:
-    """For the distinct segments (words, occurrences) of one home: its phrases, runs of windows that recur, and their words."""
+def confirmed(segments: dict[bytes, int]) -> dict[bytes, int]:
+    """For one home's distinct segments and how often they occur: its phrases, runs of windows that recur, and their words."""
     letters = _Letters()
-    split = [words.split() for words, _ in segments]
+    split = [words.split() for words in segments]
     coded = ["".join(map(letters.__getitem__, words)) for words in split]
     counts: dict[str, int] = Counter()
-    for c, (_, n) in zip(coded, segments):
+    for c, n in zip(coded, segments.values()):
         for i in range(len(c) - WINDOW + 1):
             counts[c[i : i + WINDOW]] += n
     found: dict[bytes, int] = {}
@@ -214,17 +233,29 @@ def confirmed(segments: list[tuple[bytes, int]]) -> dict[bytes, int]:
     return found
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal segments (home, segment, n) of a batch as one."""
+    kinds = (pa.int64(), pa.binary(), pa.int64())
+    for batch in batches:
+        seen: dict[tuple[int, bytes], int] = Counter()
+        for home, segment, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            seen[home, segment] += n
+        yield _batch([(*k, n) for k, n in seen.items()], SEEN, kinds)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (home, segment, n) come sorted by home."""
+    """Rows (home, segment, n) come sorted by home; a home's distinct segments are in memory."""
     kinds = (pa.int64(), pa.binary(), pa.int32())
     out: list[tuple] = []
     rows = itertools.chain.from_iterable(zip(*(batch.column(i).to_pylist() for i in range(3))) for batch in batches)
     for home, group in itertools.groupby(rows, key=lambda r: r[0]):
-        held = [(words, n) for _, words, n in group]
-        if len(held) == 1 and held[0][1] > 1:  # nothing to compare: all of it recurs
-            out.append((home, held[0][0], held[0][0].count(b" ") + 1))
-        elif len(held) > 1:
+        held: dict[bytes, int] = {}
+        for _, segment, n in group:
+            held[segment] = held.get(segment, 0) + n
+        if len(held) > 1:
             out += [(home, phrase, n) for phrase, n in confirmed(held).items()]
+        else:  # nothing to compare: all of it recurs, or nothing
+            out += [(home, segment, segment.count(b" ") + 1) for segment, n in held.items() if n > 1]
         if len(out) > 20_000:
             yield _batch(out, PHRASE, kinds)
             out = []
@@ -241,11 +272,14 @@ class Phrases:
         for phrase in phrases:
             coded = "".join(map(self.letters.__getitem__, phrase.split()))
             self.automaton.add_word(coded, len(coded))
-        self.automaton.make_automaton()
+        if phrases:
+            self.automaton.make_automaton()
 
     def ranges(self, words: bytes) -> list[tuple[int, int]]:
         """Ranges of words that the phrases' occurrences cover."""
         found: list[tuple[int, int]] = []
+        if not self.letters:
+            return found
         for end, size in self.automaton.iter("".join([self.letters.get(w, "\1") for w in words.split()])):
             a, b = end + 1 - size, end + 1
             while found and found[-1][1] >= a:
@@ -257,10 +291,10 @@ class Phrases:
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, part, firsts, row, words) come sorted: the phrases of a shard first, without places, then the segments that go through
     its automaton."""
-    kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    names = [c.split()[0] for c in RANGE.split(", ")]
     at, phrases, automaton = None, [], None
     for batch in batches:
-        out: list[tuple] = []
+        rows, starts, stops = [], [], []
         for shard, part, firsts, row, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if at != (shard, part):
                 at, phrases, automaton = (shard, part), [], None
@@ -270,11 +304,13 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if automaton is None:
                 automaton = Phrases(phrases)
                 phrases = []
-            ranges = automaton.ranges(words)
-            if ranges:
-                out.append((row, [{"start": f + a, "stop": f + b} for f in firsts for a, b in ranges]))
-        if out:
-            yield _batch(out, RANGE, kinds)
+            for a, b in automaton.ranges(words):
+                for first in firsts:
+                    rows.append(row)
+                    starts.append(first + a)
+                    stops.append(first + b)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=names)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,24 +345,20 @@ def _homed(segments: DataFrame, several: DataFrame) -> DataFrame:
 def repeated_phrases(segments: DataFrame, most: int = DISTINCT) -> tuple[DataFrame, DataFrame]:
     """(home, phrase, words): the phrases confirmed in segments; and (anchor, homes) of anchors with several homes."""
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = written(segments.groupBy("anchor", "segment").agg(F.sum(F.size("firsts")).alias("n")), "substring-distinct")
-    several = distinct.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("long").alias("homes"))
-    several = written(several, "substring-homes")
-    nowhere = distinct.select("anchor", F.lit(None).cast("long").alias("row"), "segment", F.lit(None).cast("array<int>").alias("firsts"), "n")
-    homed = _homed(nowhere, several).select("home", "segment", "n").repartition(parts, "home").sortWithinPartitions("home")
-    return written(homed.mapInArrow(_confirm, PHRASE), "substring-phrases"), several
+    different = segments.select("anchor", F.xxhash64("segment").alias("h")).distinct().groupBy("anchor").count()
+    several = written(different.where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("long").alias("homes")), "substring-homes")
+    places = segments.select("anchor", F.lit(None).cast("long").alias("row"), "segment", F.lit(None).cast("array<int>").alias("firsts"), F.size("firsts").cast("long").alias("n"))
+    merged = _homed(places, several).select("home", "segment", "n").mapInArrow(_merged, SEEN)
+    return written(merged.repartition(parts, "home").sortWithinPartitions("home").mapInArrow(_confirm, PHRASE), "substring-phrases"), several
 
 
 def located(segments: DataFrame, phrases: DataFrame, several: DataFrame, shard_words: int = SHARD_WORDS, streamed: int = STREAMED) -> DataFrame:
-    """(row, ranges) of what the shards' automata hit in segments."""
+    """(row, start, stop) of what the shards' automata hit in segments."""
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 + (phrases.agg(F.sum("words")).first()[0] or 0) // shard_words
     shard = F.pmod(F.xxhash64("home"), F.lit(shards)).alias("shard")
-    homes = phrases.select("home").distinct()
-    if homes.count() <= BROADCAST_HOMES:
-        homes = F.broadcast(homes)
     counted = segments.select("anchor", "row", "segment", "firsts", F.lit(1).cast("long").alias("n"))
-    stream = _homed(counted, several).join(homes, "home", "left_semi").select(shard, "firsts", "row", F.col("segment").alias("words"))
+    stream = _homed(counted, several).select(shard, "firsts", "row", F.col("segment").alias("words"))
     sizes = written(stream.groupBy("shard").agg(F.ceil(F.count("*") / streamed).cast("long").alias("parts")), "substring-shards")
     read = stream.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("row"), "parts").alias("part"), "firsts", "row", "words")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
@@ -336,7 +368,7 @@ def located(segments: DataFrame, phrases: DataFrame, several: DataFrame, shard_w
 
 
 def repeated_ranges(scanned: DataFrame, most: int = DISTINCT, shard_words: int = SHARD_WORDS, streamed: int = STREAMED) -> DataFrame:
-    """(row, ranges): ranges of words that repeated windows cover, of every document that has any, in one or more rows."""
+    """(row, start, stop): ranges of words that repeated windows cover."""
     found = scanned.select("row", F.explode("anchors").alias("x")).select("row", "x.h", "x.first", "x.last")
     recurring = written(found.groupBy("h").count().where("count > 1").select("h"), "substring-anchors")  # a table of its own, so that a hot anchor's join can be split
     by_row = found.join(recurring, "h").groupBy("row").agg(F.collect_list(F.struct("h", "first", "last")).alias("found"))
@@ -350,7 +382,7 @@ def remove_repeats(docs: DataFrame, most: int = DISTINCT, shard_words: int = SHA
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     scanned = written(rows.mapInArrow(_scan, SCANNED), "substring-scan")
     ranges = repeated_ranges(scanned, most, shard_words, streamed)
-    ranges = written(ranges.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "substring-ranges")
+    ranges = written(ranges.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "substring-ranges")
     touched = scanned.select("row", "doc_id", "n_words", "words").join(ranges, "row").select("doc_id", "n_words", "words", "ranges").mapInArrow(_remove, REMOVED)
     whole = scanned.select("row", "doc_id", "n_words", "sha256").join(ranges.select("row"), "row", "left_anti")
     return touched.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))

@@ -8,11 +8,14 @@ text scores as its highest window, turned into a probability by Platt scaling on
 
 Training sees labels of documents only. Which windows of a toxic document are toxic starts from how much more frequent
 their grams are in toxic documents, and is chosen anew by the network after each epoch. The number of documents to learn from
-is bounded (``positives``, ``negatives``); they are taken evenly over the table by hash of doc_id. Scoring reads every
-window of every whole text, in chunks of bounded size.
+is bounded (``positives``, ``negatives``, by ordered limits), and so are the characters of each, which tasks cut out of the texts before
+anything reaches the driver; they are taken evenly over the table by hash. Scoring reads every window of every whole text: a text of more than
+``langid.CHUNK`` characters goes in pieces of whole strides of words, each beginning with the last stride of the one before, so that its
+windows are those of the uncut text (a word of more than that many letters counts as several).
 
 Defined cases: null, empty and wordless texts have the lowest score; null doc_ids are never learned from and count as not
-held out; without labels of both kinds every text scores 0; repeated rows each give a row.
+held out; without labels of both kinds every text scores 0; repeated rows each give a row; an empty table gives no rows; only doc_id and
+text (and toxic of labels) are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.langid import cut_long, fold, letters_of
+from textloom.llm import langid
+from textloom.llm.langid import cut_long, excerpts, fold, letters_of, place, share_of
 
 SPAN, STRIDE = 16, 8
 GRAMS = (3, 5)
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 17, 1 << 22
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 4, 4, 8, 8
 GRAM_SCALE = 0.3
-#: Documents to learn from, at most.
+#: Documents to learn from, at most, and the characters of each: how many stretches of how many.
 POSITIVES, NEGATIVES = 1500, 2500
+STRETCHES, STRETCH = 4, 4096
 #: Characters that a task scores at once.
 CHUNK = 1 << 16
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -339,6 +344,24 @@ def platt(x: np.ndarray, y: np.ndarray, base_rate: float, steps: int = 50) -> tu
     return max(0.05, float(w[0])), float(w[1])
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces that have its windows, and no others."""
+    if len(text) <= langid.CHUNK:
+        yield text
+        return
+    held: list[str] = []
+    first = True
+    for part in cut_long(text.lower()):
+        c = letters_of(part)
+        held += np.where(c == 0, np.uint32(32), c).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+        whole = len(held) // STRIDE * STRIDE
+        if whole >= 2 * SPAN:
+            yield " ".join(held[:whole])
+            held, first = held[whole - (SPAN - STRIDE) :], False
+    if first or len(held) > SPAN - STRIDE:
+        yield " ".join(held)
+
+
 def scorer(net: Network | None):
     """A function from a list of texts to their scores."""
 
@@ -348,12 +371,12 @@ def scorer(net: Network | None):
             return np.zeros(len(texts))
         held, size = [], 0
         for k, text in enumerate(texts):
-            for piece in cut_long(text or ""):
+            for piece in pieces(text or ""):
                 held.append((k, piece))
                 size += len(piece)
-            if size > CHUNK:
-                run(best, held)
-                held, size = [], 0
+                if size > CHUNK:
+                    run(best, held)
+                    held, size = [], 0
         run(best, held)
         return _sigmoid(net.scale * best + net.shift)
 
@@ -368,16 +391,17 @@ def scorer(net: Network | None):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[tuple[str, int]], float]:
-    """(text, toxic) of about ``positives`` and ``negatives`` labelled documents outside the held-out fold, and the share of
-    toxic ones among all those."""
-    labelled = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).select("doc_id", "toxic")
+    """(text, toxic) of at most ``positives`` and ``negatives`` rows of labelled documents outside the held-out fold, and the share of
+    toxic ones among all labelled documents there."""
+    labelled = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).select("doc_id", "toxic").distinct()
     total = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 30))
-    share = {v: int(min(1.0, bound / max(1, total.get(v, 0))) * (1 << 30)) for v, bound in ((1, positives), (0, negatives))}
-    chosen = labelled.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    # at most about positives + negatives rows
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text", "toxic").collect()
-    return [(r.text or "", r.toxic) for r in got], total.get(1, 0) / max(1, sum(total.values()))
+    found: list[tuple[str, int]] = []
+    for v, bound in ((0, negatives), (1, positives)):
+        ids = labelled.where(F.col("toxic") == v).select("doc_id", place("doc_id"))
+        ids = ids.where(F.col("place") < share_of(bound, total.get(v, 0))).orderBy("place", "doc_id").limit(bound).select("doc_id")
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(place("doc_id", "text"), "text", F.lit(v).alias("label"))
+        found += [(r.text, r.label) for r in excerpts(rows, STRETCHES, STRETCH).orderBy("place", "text").limit(bound).collect()]
+    return found, total.get(1, 0) / max(1, sum(total.values()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, net: Network | None = None) -> DataFrame:

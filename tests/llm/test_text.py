@@ -21,6 +21,19 @@ def written(spark, tmp_path, texts, name="docs"):
     return spark.read.parquet(str(tmp_path / name))
 
 
+def test_automaton_encodes_every_document_as_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    machine, library = bpe.automaton(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [r["text"] or "" for r in documents()]
+    for text, wanted in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        got = machine.encode(text)
+        assert got == wanted.ids and machine.decode(got) == library.decode(wanted.ids, skip_special_tokens=False)
+    ranges = sum(len(row[0]) for row in machine.rows.values())
+    assert ranges == len(machine.cut) and len(machine.place) == len(machine.spelt) and len(machine.sets) > 1000
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_automaton_encodes_as_the_library(name):
     path = public_tokenizers.path(name)
@@ -84,21 +97,29 @@ def test_archive_round_trip(spark, tmp_path):
     pages = spark.read.parquet(str(tmp_path / "pages"))
     manifest = warc.write_archives(pages, per_file=4)
     assert sum(r.records for r in manifest.collect()) == len(rows)
-    got = warc.read_archives(manifest).collect()
-    assert len(got) == len(rows)
+    read = warc.read_archives(manifest).collect()
+    got = [r for r in read if r.record_type != "warcinfo"]
+    assert len(got) == len(rows) and len({r.record_id for r in read}) == len(read) == len(rows) + manifest.count()
+    first = next(r for r in got if r.page_id == 4 and r.record_type == "response")
     for r in got:
         if r.page_id is not None and r.page_id != 4:
             payload = (html[r.page_id] or "").encode()
-            assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha256(payload).hexdigest())
-            assert (r.record_type, r.refers_to) == (("revisit", 4) if r.page_id in (5, 6) else ("response", None))
-            assert r.payload == (None if r.record_type == "revisit" else payload)
-    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id == 4) == [("response", None), ("revisit", 4)]
+            assert (r.record_type, r.refers_to) == (("revisit", first.record_id) if r.page_id in (5, 6) else ("response", None))
+            assert r.payload == (None if r.record_type == "revisit" else payload) and r.digest == hashlib.sha256(payload).hexdigest()
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id == 4) == [("response", None), ("revisit", first.record_id)]
+    told = {(r.page_id, r.record_type): r for r in warc.archive_report(pages).collect()}
+    assert len(told) == len(rows)
+    for (page_id, kind), r in told.items():
+        payload = (html[4 if page_id is None else page_id] or "").encode()
+        assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(payload), hashlib.sha256(payload).hexdigest(), 4 if kind == "revisit" else None)
+    small = warc.write_archives(pages, file_bytes=150)
+    assert small.count() > manifest.count() and sum(r.records for r in small.collect()) == len(rows)
     assert warc.archive_report(pages.where("page_id < 0")).count() == 0
 
 
 def test_archive_frames_stand_alone():
-    records = [warc.record_bytes(i, "u", b"payload %d " % i * 50, "d") for i in range(300)]
-    data = warc.archive_bytes(records)
+    records = [warc.record_bytes(f"<urn:{i}>", i, "u", b"payload %d " % i * 50, "d") for i in range(600)]
+    data = b"".join(warc.archive_frames(iter(records)))
     assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.archive_records(data)) == records
     assert len(data) < sum(map(len, records)) / 2
 

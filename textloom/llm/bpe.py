@@ -8,16 +8,21 @@ produce has a path. It is built by one gadget a merge, in the order of the merge
 * adds state w, a copy of state v as it is at that moment: what may follow v may follow w;
 * adds, beside every arc labelled u whose target had the arc v, an arc labelled w.
 
-Copies are kept as links (``ends`` and ``begins``) with the moment of copying, not as rows of 50,000 arcs, and a row's
-arcs are settled when first asked for and then kept in the transition table. Encoding reads a word's symbols left to
-right through a trie of labels; at each position one token at most has an arc from the state reached before it, so one
-table of states suffices, and walking it back gives the tokens.
+The table of arcs is compiled as differences of rows. Every label has a place in an order in which the labels that were made to
+stand beside one another's arcs lie together, latest first; the arcs that a gadget takes away are then one range of labels, and a state's
+row is the ranges taken away from it, each with its gadget's number, besides those that the row it was copied from had lost by then.
+
+Encoding is table-driven. Read by bytes, several tokens may be under way at a time; the sets of (token read last, label under way) that
+can be reached are numbered as states of a deterministic automaton over bytes, and its transition table is filled in as words ask for
+it. A state also tells which token, if any, ends with the byte just read: at most one has an arc from the state before it, so walking
+back from a word's end gives its tokens.
 
 Pre-splitting follows the tokenizer file: added tokens first, then NFC, lower case and white space where the file asks
 for them, then its pattern. Words recur, so each task keeps the ids and labels of the words it has seen.
 
 Defined cases: null text counts as empty and gives no ids and an empty decoded text; added tokens' strings in a text
-are those tokens, as the library has it; texts of any length are read whole; repeated rows each give a row.
+are those tokens, as the library has it; texts of any length are read whole; repeated rows each give a row; an empty table gives no
+rows; null doc_ids stay null; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,8 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Words in a task's memory before it starts afresh.
-CACHE = 300_000
+#: Words, and characters of words, in a task's memory before it starts afresh; and states of the automaton over bytes.
+CACHE, CACHE_CHARACTERS = 300_000, 8 << 20
+STATES = 300_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 # White space, letters and numbers of Latin-1, by Unicode's properties.
@@ -105,13 +112,14 @@ class Automaton:
             self.spelt[vocab[c]] = (b,)
             if self.word_ends:
                 self.spelt[vocab[c + END]] = (b + 256,)
-        # the gadgets; ends and begins: the token copied, and when the copy was made
+        # the gadgets; ends and begins: the token copied, and when the copy was made; cut: the arcs taken away
         self.ends: dict[int, tuple[int, int]] = {}
         self.begins: dict[int, tuple[int, int]] = {}
-        self.cut: dict[int, int] = {}
+        self.cut: list[tuple[int, int]] = []
         for k, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.gadget(k, vocab[left], vocab[right], vocab[left + right])
+        self.compile_rows()
         self.arcs: dict[int, bool] = {}
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -124,57 +132,117 @@ class Automaton:
                     self.token.append(-1)
                 at = self.trie[at][s]
             self.token[at] = token
+        self.clear()
 
     def gadget(self, k: int, u: int, v: int, w: int) -> None:
-        self.cut[u * self.size + v] = k
+        self.cut.append((u, v))
         self.ends[w], self.begins[w] = (v, k), (u, k)
         self.spelt[w] = self.spelt[u] + self.spelt[v]
 
+    def compile_rows(self) -> None:
+        """rows: of each state the ranges of labels' places taken away: where they begin and end, by which gadget, and the range around."""
+        made: dict[int, list[int]] = {}
+        for w, (u, _) in self.begins.items():  # in the order of the gadgets
+            made.setdefault(u, []).append(w)
+        self.place: dict[int, int] = {}
+        after: dict[int, int] = {}
+        stack = [(t, False) for t in self.spelt if t not in self.begins]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                after[t] = len(self.place)
+                continue
+            self.place[t] = len(self.place)
+            stack.append((t, True))
+            stack += [(w, False) for w in made.get(t, ())]  # the latest is taken first
+        ranges: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (u, v) in enumerate(self.cut):
+            beside = made.get(v, ())
+            first = bisect_left(beside, k, key=lambda w: self.begins[w][1])  # from here on they were made by gadget k or later
+            ranges.setdefault(u, []).append((self.place[v], -(after[beside[first]] if first < len(beside) else self.place[v] + 1), k))
+        self.rows: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
+        for u, found in ranges.items():
+            found.sort()
+            around: list[int] = []
+            open_: list[int] = []
+            for i, (low, high, _) in enumerate(found):
+                while open_ and -found[open_[-1]][1] <= low:
+                    open_.pop()
+                around.append(open_[-1] if open_ else -1)
+                open_.append(i)
+            self.rows[u] = [x[0] for x in found], [-x[1] for x in found], [x[2] for x in found], around
+
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state after ``state`` has an arc labelled ``token``: no gadget took it away from them or from what they were copied from."""
-        u, until = state, len(self.cut)
-        while True:  # u: an end of state, exposed before gadget ``until``
-            v, before = token, len(self.cut)
-            while True:
-                k = self.cut.get(u * self.size + v)
-                if k is not None and k < until and k <= before:
-                    return False
-                if v not in self.begins:
-                    break
-                v, before = self.begins[v]
+        """Whether the state after ``state`` has an arc labelled ``token``, by its row and those that it was copied from."""
+        place, u, until = self.place[token], state, len(self.cut)
+        while True:
+            if u in self.rows:
+                low, high, by, around = self.rows[u]
+                i = bisect_right(low, place) - 1
+                while i >= 0:
+                    if place < high[i] and by[i] < until:
+                        return False
+                    i = around[i]
             if u not in self.ends:
                 return True
             u, until = self.ends[u]
 
+    def clear(self) -> None:
+        """Only the first state: nothing read, all labels under way from here."""
+        first = ((0, -1, 0),)
+        self.known = {first: 0}
+        self.sets = [first]
+        self.ended = [-1]
+        self.table: list[dict[int, int]] = [{}]
+
+    def step(self, state: int, symbol: int) -> int:
+        """Fills in a transition: the labels under way go on, and one of them may end here. Sets hold (symbols read since the label began, token
+        read before it, node of the labels' trie)."""
+        found, ended = [], -1
+        for back, last, node in self.sets[state]:
+            node = self.trie[node].get(symbol)
+            if node is None:
+                continue
+            found.append((back + 1, last, node))
+            token = self.token[node]
+            if token >= 0 and ended < 0:
+                if last >= 0:
+                    key = last * self.size + token
+                    arc = self.arcs.get(key)
+                    if arc is None:
+                        if len(self.arcs) > 4 * CACHE:
+                            self.arcs.clear()
+                        arc = self.arcs[key] = self.has_arc(last, token)
+                    if not arc:
+                        continue
+                ended = token
+        if ended >= 0:
+            found.append((0, ended, 0))
+        reached = tuple(found)
+        to = self.known.get(reached)
+        if to is None:
+            to = self.known[reached] = len(self.sets)
+            self.sets.append(reached)
+            self.ended.append(ended)
+            self.table.append({})
+        self.table[state][symbol] = to
+        return to
+
     def tokens(self, word: str) -> list[int]:
         symbols = list(word.encode())
         if self.word_ends:
             symbols[-1] += 256
-        n, trie, token, arcs, size = len(symbols), self.trie, self.token, self.arcs, self.size
-        state = [-1] * (n + 1)  # the token that the path to each position ends with
-        for i in range(n):
-            at, last = 0, state[i]
-            for j in range(i, n):
-                at = trie[at].get(symbols[j])
-                if at is None:
-                    break
-                t = token[at]
-                if t < 0 or state[j + 1] >= 0:
-                    continue
-                if i:
-                    key = last * size + t
-                    arc = arcs.get(key)
-                    if arc is None:
-                        if len(arcs) > 4 * CACHE:
-                            arcs.clear()
-                        arc = arcs[key] = self.has_arc(last, t)
-                    if not arc:
-                        continue
-                state[j + 1] = t
-        found = []
+        if len(self.sets) > STATES:
+            self.clear()
+        state, ended, table = 0, [], self.table
+        for s in symbols:
+            to = table[state].get(s)
+            state = self.step(state, s) if to is None else to
+            ended.append(self.ended[state])
+        found, n = [], len(symbols)
         while n:
-            found.append(state[n])
-            n -= len(self.spelt[state[n]])
+            found.append(ended[n - 1])
+            n -= len(self.spelt[ended[n - 1]])
         return found[::-1]
 
     def words(self, text: str) -> list[str]:
@@ -213,10 +281,16 @@ class _Words(dict):
 
     def __init__(self, machine: Automaton):
         super().__init__()
-        self.machine = machine
+        self.machine, self.held = machine, 0
+
+    def tidy(self) -> None:
+        if len(self) > CACHE or self.held > CACHE_CHARACTERS:
+            self.clear()
+            self.held = 0
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         m = self.machine
+        self.held += len(word)
         ids = [m.added[word]] if word in m.added else m.tokens(word)
         self[word] = got = (b"".join(i.to_bytes(4, "little") for i in ids), m.decode(ids))
         return got
@@ -243,8 +317,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             for text in batch.column(1).to_pylist():
-                if len(known) > CACHE:
-                    known.clear()
+                known.tidy()
                 got = [known[w] for w in machine.words(text or "")]
                 ids = b"".join([g[0] for g in got])
                 shown = machine.joined_by.join([g[1] for g in got])

@@ -11,7 +11,8 @@
   belongs to one pattern, whose window and offset follow from the rank.
 
 Defined cases: null text counts as empty, which leaves the end id alone; long texts give many whole windows; repeated
-rows are packed each by itself; an empty table gives no rows.
+rows, and rows without a doc_id, are packed each by itself; an empty table gives no rows; only doc_id and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from textloom.llm.scratch import written
 
 WINDOW = 1024
 END_ID = 0
-#: Words in a task's memory before it starts afresh.
-CACHE = 500_000
+#: Words, and characters of words, in a task's memory before it starts afresh.
+CACHE, CACHE_CHARACTERS = 500_000, 16 << 20
 PIECE = "part int, doc_id long, tokens long, crcs array<long>, first long, rest int, place int, rest_ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -46,6 +47,7 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.split = splitter(False)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -59,13 +61,15 @@ class _Ids(dict):
             ids = [self.tokenizer.token_to_id(word)]
         else:
             ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        self.held += len(word)
         self[word] = got = b"".join([i.to_bytes(4, "little") for i in ids])
         return got
 
     def of(self, text: str) -> bytes:
         """The whole text's ids. Words are split as the library's byte-level pattern splits them, and encoded once each."""
-        if len(self) > CACHE:
+        if len(self) > CACHE or self.held > CACHE_CHARACTERS:
             self.clear()
+            self.held = 0
         if not any(x in text for x in self.added):
             return b"".join(map(self.__getitem__, self.split(text)))
         return b"".join(self[x] if k % 2 else b"".join(map(self.__getitem__, self.split(x))) for k, x in enumerate(self.marks.split(text)))

@@ -6,14 +6,21 @@ Ties are broken by key everywhere, so results are the same on any number of exec
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 
 
+#: Query vectors in one broadcast matrix.
+QUERY_BLOCK = 1 << 15
+
+
 def top(df: DataFrame, by: str, key: str, k: int) -> DataFrame:
     return df.orderBy(F.col(by).desc(), F.col(key)).limit(k)
 
@@ -55,12 +62,55 @@ def nearest_per_collection(vectors: DataFrame, query: list[float], weights: dict
     return top(kept.withColumn("weighted", F.round(F.col("similarity") * weight[F.col(collection)], 6)), "weighted", key, k)
 
 
-def nearest_of_many(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", group: str = "label") -> DataFrame:
-    """For each query row its k nearest of the same group, itself left out. queries is a stated, checked set."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(group), V.normalise(vector).alias("q"))
-    v = vectors.select(key, F.col(group), V.normalise(vector).alias("v"))
-    pairs = v.join(q, group).where(F.col(key) != F.col("query_id")).select("query_id", key, F.round(V.dot("q", "v"), 6).alias("score"))
-    return best_per_key(pairs, "query_id", [F.col("score").desc(), F.col(key)], k)
+def nearest_of_many(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", group: str | None = "label", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, key, score): for each query row its k nearest by cosine, itself left out; with ``group`` those of the same group only. Queries are taken in
+    blocks of at most about ``block`` rows, each broadcast as one matrix; a task keeps the best of its rows for each query, and those are merged."""
+    spark = vectors.sparkSession
+    sides = [df.where(V.is_valid(vector)).select(F.col(key).cast("long").alias(key), (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col(vector).cast("array<double>").alias("v")) for df in (queries, vectors)]
+    sides = [df.where(F.col(key).isNotNull() & F.col("g").isNotNull()) for df in sides]
+    blocks = max(1, -(-sides[0].count() // block))
+    found = None
+    for b in range(blocks):
+        rows = sides[0].where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [list(r[2]) for r in rows]))
+        best = sides[1].mapInArrow(partial(_nearest_in_task, held, k, key), f"query_id long, {key} long, score double")
+        found = best if found is None else found.unionByName(best)
+    return best_per_key(found.withColumn("score", F.round("score", 6)), "query_id", [F.col("score").desc(), F.col(key)], k)
+
+
+def _nearest_in_task(held, k: int, key_name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best of a task's rows for each query: k, and those that tie with the last of them once rounded."""
+    ids, groups, raw = held.value
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    by_size = {n: np.flatnonzero([len(v) == n for v in raw]) for n in {len(v) for v in raw}}
+    asked = {n: unit(np.array([raw[i] for i in at])) for n, at in by_size.items()}
+    kept: dict[int, list[tuple[float, int]]] = {}
+    for batch in batches:
+        key, group, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        sizes = np.array([len(v) for v in rows])
+        for n, at in by_size.items():
+            mine = np.flatnonzero(sizes == n)
+            if not len(mine):
+                continue
+            matrix = unit(np.array([rows[i] for i in mine]))
+            for s in range(0, len(at), 256):
+                some = at[s : s + 256]
+                score = np.round(asked[n][s : s + 256] @ matrix.T, 6)
+                score[(groups[some][:, None] != group[mine]) | (ids[some][:, None] == key[mine])] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] if len(mine) > k else np.full(len(some), -np.inf)
+                for i, row in enumerate(score):
+                    near = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+                    best = kept.get(int(some[i]), []) + [(float(row[j]), int(key[mine[j]])) for j in near]
+                    kept[int(some[i])] = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+    out = [(int(ids[q]), key, score) for q, best in kept.items() for score, key in best]
+    for s in range(0, len(out), 50_000):
+        columns = list(zip(*out[s : s + 50_000]))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", key_name, "score"])
+
+
+def ranked_per_query(hits: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(vector_hits: DataFrame, word_hits: DataFrame, key: str, n: int, k: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from textloom.operators import answers as A
 from textloom.operators import index as I
 from textloom.operators import parsers as P
 from textloom.operators import search as S
-from textloom.plans.base import TOKENS, query
+from textloom.plans.base import ORACLES, QUERIES, TOKENS, query
 from textloom.plans.retrieval import query_vector
 from textloom.sources.tables import table
 
@@ -55,17 +55,13 @@ def _weights(events: DataFrame) -> DataFrame:
     return rows.select("user_id", "spec", w["view"].alias("view"), w["chunks"].alias("chunks"), F.try_element_at(w, F.lit("extra")).alias("extra"))
 
 
-@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events WHERE event_id % 3 = 0)
+@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events)
  SELECT user_id, spec, CAST(regexp_extract(spec, 'view=([0-9]+)', 1) AS DOUBLE) AS view, 0.4::DOUBLE AS chunks, CAST(regexp_extract(spec, 'extra=([0-9]+)', 1) AS DOUBLE) AS extra FROM e""")
 def weights_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+    return _weights(table(spark, sf_dir, "events"))
 
 
-@query("""WITH e AS (SELECT user_id, 'view=' || CAST(floor(value) AS BIGINT) || ',bad=x,extra=' || event_id AS spec FROM events)
- SELECT user_id, spec, CAST(regexp_extract(spec, 'view=([0-9]+)', 1) AS DOUBLE) AS view, 0.4::DOUBLE AS chunks, CAST(regexp_extract(spec, 'extra=([0-9]+)', 1) AS DOUBLE) AS extra FROM e""")
-def weights_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """weights_parse over every event."""
-    return _weights(table(spark, sf_dir, "events"))
+QUERIES["weights_parse_all"], ORACLES["weights_parse_all"] = weights_parse, ORACLES["weights_parse"]  # its name while weights_parse read a part
 
 
 @query("SELECT event_id, '***' AS token, CAST(user_id AS VARCHAR) AS client, CAST(2 AS BIGINT) AS n_allowed FROM events")
@@ -75,18 +71,14 @@ def audit_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["client"].alias("client"), F.size(A.allowed("m", ["client", "kind"])).cast("long").alias("n_allowed"))
 
 
-@query("""WITH a AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS o, list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS n FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS o, list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS n FROM events GROUP BY 1)
  SELECT user_id, coalesce(list_sort(list_filter(n, lambda x: NOT list_contains(coalesce(o, []), x))), []) AS added, coalesce(list_sort(list_filter(o, lambda x: NOT list_contains(coalesce(n, []), x))), []) AS removed FROM a""")
 def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What kinds of event each user took up and gave up."""
-    return _taken_up(table(spark, sf_dir, "events").where("event_id % 5 = 0"))
+    return _taken_up(table(spark, sf_dir, "events"))
 
 
-@query("""WITH a AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS o, list(DISTINCT event_type) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS n FROM events GROUP BY 1)
- SELECT user_id, coalesce(list_sort(list_filter(n, lambda x: NOT list_contains(coalesce(o, []), x))), []) AS added, coalesce(list_sort(list_filter(o, lambda x: NOT list_contains(coalesce(n, []), x))), []) AS removed FROM a""")
-def version_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """version_compare over every event."""
-    return _taken_up(table(spark, sf_dir, "events"))
+QUERIES["version_compare_all"], ORACLES["version_compare_all"] = version_compare, ORACLES["version_compare"]
 
 
 def _taken_up(events: DataFrame) -> DataFrame:

@@ -5,36 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import evaluate as E
-from textloom.plans.base import query
+from textloom.operators import index as I
+from textloom.plans.base import TOKENS, query
+from textloom.plans.retrieval import _MANY, _STOP, _TOP, stored_index
 from textloom.sources.tables import table
 
 
-@query(r"WITH b AS (SELECT * FROM benchmark WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 8) SELECT item_id, (SELECT count(*) FROM documents d JOIN b ON contains(d.text, b.text) WHERE b.item_id = o.item_id) AS n_docs FROM benchmark o")
+@query("SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, o.text)) AS n_docs FROM benchmark o")
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each passage stands."""
     return E.passages_found(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
-_HITS = """WITH h AS (SELECT doc_id % 40 AS item_id, list(source ORDER BY doc_id) AS hits, list(left(text, 400) ORDER BY doc_id) AS docs FROM documents GROUP BY 1)"""
+_ASKED = f"""{_MANY}), q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter({TOKENS}, lambda x: NOT list_contains({_STOP}, x))) AS term FROM benchmark) GROUP BY ALL
+), {_TOP}, x AS (SELECT query_id, count(*) FILTER (WHERE contains(d.text, b.text)) AS held, bool_or(contains(lower(d.text), lower(b.text))) AS hit FROM h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10 GROUP BY 1
+)"""
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("item_id"), F.struct("doc_id", "source", F.substring("text", 1, 400).alias("head")).alias("x"))
-    held = docs.groupBy("item_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return held.select("item_id", F.transform("x", lambda s: s["source"]).alias("hits"), F.transform("x", lambda s: s["head"]).alias("docs"))
+def _asked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """(item_id, held, hit): how many of the k documents that BM25 finds for a benchmark passage hold it, and whether any does in any case. Texts
+    are tested whole, document by document, and the tests are summed up."""
+    items = table(spark, sf_dir, "benchmark")
+    terms = items.select(F.col("item_id").alias("query_id"), F.explode(X.tokens("text", fixed.INDEX_STOPWORDS)).alias("term"))
+    hits = I.score_many(stored_index(spark, sf_dir).read(), terms.groupBy("query_id", "term").agg(F.count("*").alias("times")), k)
+    read = hits.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id")
+    held, hit = F.contains("text", F.col("passage")), F.contains(F.lower("text"), F.lower("passage"))
+    return read.groupBy(F.col("query_id").alias("item_id")).agg(F.sum(held.cast("long")).alias("held"), F.bool_or(hit).alias("hit"))
 
 
-@query(f"{_HITS} SELECT item_id, round(len(list_filter(['src1', 'src7', 'none'], lambda e: len(list_filter(hits, lambda s: contains(s, e))) > 0)) / 3.0::DOUBLE, 6) AS recall FROM h")
+@query(f"{_ASKED}, n AS (SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, o.text)) AS n_docs FROM benchmark o) SELECT item_id, round(coalesce(held, 0) / least(n_docs, 10)::DOUBLE, 6) AS recall FROM n LEFT JOIN x ON query_id = item_id WHERE n_docs > 0")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = F.array(F.lit("src1"), F.lit("src7"), F.lit("none"))
-    return _hits(spark, sf_dir).select("item_id", F.round(E.recall(expected, F.col("hits")), 6).alias("recall"))
+    """Of the documents that hold a passage (ten at most), the share among the ten best hits for it."""
+    wanted = E.passages_found(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).where("n_docs > 0")
+    return wanted.join(_asked(spark, sf_dir), "item_id", "left").select("item_id", F.round(F.coalesce("held", F.lit(0)) / F.least("n_docs", F.lit(10)), 6).alias("recall"))
 
 
-@query(f"{_HITS} SELECT item_id, len(list_filter(docs, lambda d: contains(lower(d), 'the and attion'))) > 0 AS hit FROM h")
+@query(f"{_ASKED} SELECT item_id, coalesce(hit, false) AS hit FROM benchmark LEFT JOIN x ON query_id = item_id")
 def chunk_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("item_id", E.chunk_hit(F.lit("The and attion"), F.col("docs")).alias("hit"))
+    """Whether any of the ten best hits for a passage holds it."""
+    return table(spark, sf_dir, "benchmark").select("item_id").join(_asked(spark, sf_dir), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @query("SELECT conv_id, turn, len(list_filter(['the', 'le', 'der', 'zzz'], lambda f: contains(lower(text), f))) >= 2 AS passed FROM conversations")

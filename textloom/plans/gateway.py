@@ -46,17 +46,25 @@ _COLUMNS = f"(SELECT table_name, column_name, ordinal_position AS ordinal, data_
 _FIELDS = ["c_nationkey", "c_custkey", "s_nationkey", "n_nationkey", "n_regionkey", "r_regionkey"]
 
 
-@query(f"SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS matched, count(*) AS n_matched FROM {_COLUMNS} WHERE column_name IN ({', '.join(repr(f) for f in _FIELDS)}) GROUP BY 1 HAVING count(*) >= 1 ORDER BY 3 DESC, 1 LIMIT 30")
-def field_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.tables_with_fields(G.catalog_columns(tables(spark, sf_dir)), _FIELDS)
-
-
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in NAMES))
 def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sizes(tables(spark, sf_dir))
 
 
-@query(f"SELECT table_name, 'table ' || table_name || ': ' || string_agg(column_name, ', ' ORDER BY ordinal) AS description FROM {_COLUMNS} GROUP BY 1")
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in NAMES)
+
+
+@query(f"""WITH m AS (SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS matched, count(*) AS n_matched FROM {_COLUMNS} WHERE column_name IN ({', '.join(repr(f) for f in _FIELDS)}) GROUP BY 1)
+ SELECT table_name, matched, n_matched, n_rows FROM m JOIN ({_COUNTS}) USING (table_name)""")
+def field_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that have some of the fields, and how many rows each has of them."""
+    held = tables(spark, sf_dir)
+    return G.tables_with_fields(G.catalog_columns(held), _FIELDS).join(G.sizes(held), "table_name")
+
+
+@query(f"WITH c AS ({_COUNTS}), d AS (SELECT table_name, 'table ' || table_name || ': ' || string_agg(column_name, ', ' ORDER BY ordinal) AS description FROM {_COLUMNS} GROUP BY 1) SELECT table_name, description || '; rows: ' || n_rows AS description FROM d JOIN c USING (table_name)")
 def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables as texts to search, columns in order (types differ between engines and are left out here)."""
-    return G.described(G.catalog_columns(tables(spark, sf_dir)).withColumn("data_type", F.lit(None).cast("string")))
+    held = tables(spark, sf_dir)
+    texts = G.described(G.catalog_columns(held).withColumn("data_type", F.lit(None).cast("string")))
+    return texts.join(G.sizes(held), "table_name").select("table_name", F.concat("description", F.lit("; rows: "), "n_rows").alias("description"))

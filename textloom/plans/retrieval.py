@@ -9,7 +9,8 @@ from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import index as I
 from textloom.operators import search as S
-from textloom.plans.base import TOKENS, query, sql_list
+from textloom.plans.base import ORACLES, QUERIES, TOKENS, query, sql_list
+from textloom.shared import new_folder
 from textloom.sources.tables import table
 
 #: The query of the retrieval queries; a repeated word counts twice.
@@ -43,8 +44,22 @@ WITH t AS (
 )"""
 
 
+_STORED: dict[tuple[str, ...], I.StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> I.StoredIndex:
+    """The stored index of the documents, built by the first query of a session that needs it; other files make another index."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _STORED:
+        index = I.StoredIndex(spark, new_folder(spark, "bm25"))
+        index.upsert(docs, X.tokens("text", fixed.INDEX_STOPWORDS))
+        _STORED[key] = index
+    return _STORED[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(table(spark, sf_dir, "documents"), X.tokens("text", fixed.INDEX_STOPWORDS))
+    return stored_index(spark, sf_dir).read()
 
 
 def _word_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -76,6 +91,70 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.statistics(_index(spark, sf_dir)).withColumn("avg_len", F.round("avg_len", 6))
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> I.StoredIndex:
+    """An index of all documents, a part of which is put in anew, longer, and another part taken out."""
+    docs, tokens = table(spark, sf_dir, "documents"), X.tokens("text", fixed.INDEX_STOPWORDS)
+    index = I.StoredIndex(spark, new_folder(spark, "bm25"))
+    index.upsert(docs, tokens)
+    index.upsert(docs.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" worthless tion"))), tokens)
+    index.remove(docs.where("lang = 'fr'").select("doc_id"))
+    return index
+
+
+_NOW = _BM25.replace("FROM documents\n", "FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' worthless tion' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr')\n")
+
+
+@query(f"{_NOW} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT {K}")
+def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after updates and removals are those of an index built anew."""
+    scored = I.score(_changed(spark, sf_dir).read(), WORDS).select("doc_id", F.round("score", 6).alias("score")).where("score > 0")
+    return S.top(scored, "score", "doc_id", K)
+
+
+@query(f"{_NOW} SELECT term, df FROM d")
+def bm25_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after updates and removals, and after the segments are merged into one."""
+    index = _changed(spark, sf_dir)
+    index.compact()
+    return index.read().terms
+
+
+_MANY = _BM25[: _BM25.index("), q AS (")]
+_TOP = f"""g AS (SELECT query_id, p.doc_id, round(sum(times * floored * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM p JOIN f USING (term) JOIN q USING (term) JOIN l ON l.doc_id = p.doc_id, c GROUP BY 1, 2
+), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)"""
+_LIKE = f"""{_MANY}), q AS (SELECT doc_id AS query_id, term, 1 AS times FROM p WHERE doc_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 10
+), {_TOP}"""
+
+
+def _like_these(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): every hundredth document, by its ten most frequent terms, against all documents."""
+    index = _index(spark, sf_dir)
+    asked = S.best_per_key(index.postings.where("doc_id % 100 = 0"), "doc_id", [F.col("tf").desc(), F.col("term")], 10)
+    return I.score_many(index, asked.select(F.col("doc_id").alias("query_id"), "term", F.lit(1).alias("times")), k)
+
+
+@query(f"{_LIKE} SELECT query_id, doc_id, score FROM h WHERE rank <= {K}")
+def bm25_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _like_these(spark, sf_dir, K).drop("rank")
+
+
+@query(f"""{_LIKE}, w AS (SELECT * FROM h WHERE rank <= 20),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+ v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20),
+ m AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + w.rank), 0), 6) AS rrf_score FROM v FULL JOIN w USING (query_id, doc_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS k FROM m) SELECT query_id, doc_id, rrf_score FROM r WHERE k <= {K}""")
+def hybrid_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and vectors of every hundredth row against all rows, fused by reciprocal ranks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = S.ranked_per_query(S.nearest_of_many(vectors.where("vec_id % 100 = 0"), vectors, 20, group=None).withColumnRenamed("vec_id", "doc_id"), 20)
+    words = _like_these(spark, sf_dir, 20)
+    both = near.select("query_id", "doc_id", F.col("rank").alias("v")).join(words.select("query_id", "doc_id", F.col("rank").alias("w")), ["query_id", "doc_id"], "full_outer")
+    part = lambda c: F.coalesce(F.lit(1.0) / (60 + F.col(c)), F.lit(0.0))
+    fused = both.select("query_id", "doc_id", F.round(part("v") + part("w"), 6).alias("rrf_score"))
+    return S.best_per_key(fused, "query_id", [F.col("rrf_score").desc(), F.col("doc_id")], K)
+
+
 @query(f"{_BM25}, r AS (SELECT b.*, source, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM b JOIN documents USING (doc_id)) SELECT source, doc_id, score FROM r WHERE k = 1 ORDER BY score DESC, doc_id LIMIT {K}")
 def bm25_first_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = I.score(_index(spark, sf_dir), WORDS).select("doc_id", F.round("score", 6).alias("score")).where("score > 0")
@@ -84,17 +163,13 @@ def bm25_first_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top(best.select("source", "doc_id", "score"), "score", "doc_id", K)
 
 
-@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 5")
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = I.build(table(spark, sf_dir, "documents"), X.tokens("text"))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
-def term_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term_statistics of the whole vocabulary."""
-    index = I.build(table(spark, sf_dir, "documents"), X.tokens("text"))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+QUERIES["term_statistics_all"], ORACLES["term_statistics_all"] = term_statistics, ORACLES["term_statistics"]
 
 
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOKENS})) AS BIGINT) AS n_distinct FROM documents")

@@ -62,6 +62,15 @@ def knn_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nearest_of_many(vectors.where("vec_id % 100 = 0"), vectors, 5)
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings JOIN q ON vec_id <> query_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, score FROM r WHERE k <= 10""")
+def knn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all vectors, whatever their label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.nearest_of_many(vectors.where("vec_id % 100 = 0"), vectors, 10, group=None)
+
+
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
  SELECT vec_id, round(n, 6) AS norm, list_transform(e, lambda x: round(x / n, 6)) AS unit FROM n""")
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

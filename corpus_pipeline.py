@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, sanitising and packing, each over what the one before kept.
 
 Every stage takes (spark, docs, sf_dir), where docs is a table read from Parquet, and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+as Parquet and read again as the next one's docs. All but the last return the columns of docs, whatever their names are; doc_id and text
+(and lang, where a model is learned) are read. Each stage takes tables without rows, which stay empty, and texts of any length, whole.
 """
 
 from __future__ import annotations
@@ -18,27 +19,31 @@ from textloom.llm.simhash import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the model is learned from docs' own labels."""
+    """Documents whose language is identified; the model is learned from docs' own labels. Documents without a letter (null and empty ones too) go, as
+    do those whose best language is too unlikely; repeated rows and rows without doc_id are judged each by its text. Without any label all go."""
     return keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for blanks: the longest, then the smallest doc_id (null last), then the first row, so one of
+    repeated rows stays. Null and empty texts are one group."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link."""
+    """One document of each group whose fingerprints link: the smallest doc_id (null last), then the first row. Null and empty texts have fingerprint
+    zero and link with each other."""
     return drop_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and disclosing terms generalised."""
+    """Documents with personal data generalised and disclosing terms generalised or removed; no row goes, null texts stay null, and n_chars, where
+    there is one, follows the text."""
     return sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; null and empty texts are the end id alone, and rows with one doc_id, or none, are packed each by itself."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -25,11 +25,24 @@ EXCLUDED_PATH_PIECES = (
 ).split()
 EXCLUDED_PATH_PATTERN = r"/lib/python3\.[0-9]+/|/python3\.[0-9]+/"
 
-# Names of Python files of low value, without the extension.
-LOW_VALUE_NAMES = (
-    "test_.+ .+_test .+_test_[0-9]+ bulletproof_.+ standalone_.+ reliable_.+ autonomous_.+ ultra_stable_.+ check_.+ monitor_test_.+ "
-    "read_headers inspect_.+ end_to_end_.+ complete_.+_test_.+ downstream_.+"
-).split()
+# Names of Python files of low value, in any case.
+LOW_VALUE_PATTERNS = (
+    r"^test_.+\.py$",
+    r".+_test\.py$",
+    r".+_test_\d+\.py$",
+    r"^bulletproof_.+\.py$",
+    r"^standalone_.+\.py$",
+    r"^reliable_.+\.py$",
+    r"^autonomous_.+\.py$",
+    r"^ultra_stable_.+\.py$",
+    r"^check_.+\.py$",
+    r"^monitor_test_.+\.py$",
+    r"^read_headers\.py$",
+    r"^inspect_.+\.py$",
+    r"^end_to_end_.+\.py$",
+    r"^complete_.+_test_.+\.py$",
+    r"^downstream_.+\.py$",
+)
 
 # Databases and tables that are never indexed.
 EXCLUDED_DATABASES = r"^_(archive|trash|staging)"

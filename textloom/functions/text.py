@@ -188,7 +188,7 @@ def is_excluded_path(path: Column | str) -> Column:
 
 
 def is_low_value_file(path: Column | str) -> Column:
-    return basename(path).rlike(r"(?i)^(" + "|".join(fixed.LOW_VALUE_NAMES) + r")\.py$")
+    return basename(path).rlike("(?i)" + "|".join(fixed.LOW_VALUE_PATTERNS))
 
 
 def is_excluded_table(database: Column | str, table: Column | str) -> Column:

@@ -9,6 +9,7 @@ from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import chunk as C
 from textloom.operators import state as St
+from textloom.plans import chunk_sql
 from textloom.plans.base import query
 from textloom.sources.tables import table
 
@@ -185,27 +186,27 @@ def chunk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.valid_documents(_lines(spark, sf_dir), 150)
 
 
-@query()
+@query(chunk_sql.MARKDOWN)
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "markdown")
 
 
-@query()
+@query(chunk_sql.FORCE)
 def chunk_force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "force")
 
 
-@query()
+@query(chunk_sql.PARAGRAPHS)
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "paragraphs")
 
 
-@query()
+@query(chunk_sql.SENTENCES)
 def chunk_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sentences")
 
 
-@query()
+@query(chunk_sql.STATEMENTS)
 def chunk_sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sql")
 

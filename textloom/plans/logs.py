@@ -208,11 +208,17 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.merged_to_end(rows, "debounce", lambda old, batch: J.latest_per_key(old, batch, ["user_id", "event_type"], "event_id"))
 
 
-@query()
+_LIMITED = """WITH RECURSIVE o AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ a AS (SELECT event_id, user_id, ts FROM o WHERE k = 1 UNION ALL
+  SELECT o.event_id, o.user_id, o.ts FROM (SELECT o.user_id AS u, min(o.k) AS next FROM a JOIN o ON o.user_id = a.user_id AND o.ts >= a.ts + INTERVAL 1 HOUR GROUP BY 1) n JOIN o ON o.user_id = u AND o.k = next)
+ SELECT event_id, user_id, event_id IN (SELECT event_id FROM a) AS allowed FROM events"""
+
+
+@query(_LIMITED)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rate_limited(_events(spark, sf_dir), most=1, seconds=3600)
 
 
-@query()
+@query(_LIMITED)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rate_limits_to_end(J.stream(spark, sf_dir, "events"), "limits", most=1, seconds=3600)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -179,3 +180,18 @@ def test_guard(spark):
     fixed = G.run_repaired(spark, "SELECT nope FROM numbers", lambda sql, columns: sql.replace("nope", columns["numbers"][0]))
     assert fixed.count() == 5
     assert G.qualified("SELECT * FROM a JOIN dm.b ON x", {"a": "db1", "b": "db2"}, {"dm": "data"}) == "SELECT * FROM db1.a JOIN data.b ON x"
+
+
+@pytest.mark.parametrize("brackets", [2, 64])
+def test_rank_percentiles_with_ties_nulls_and_a_hot_value(spark, brackets):
+    r = random.Random(3)
+    rows = [(g, v) for g in ("a", "b", None) for v in [5.0] * 70 + [r.choice((r.random() * 10, float(r.randrange(9)))) for _ in range(140)]]
+    rows += [("one", 1.5), ("nulls", None), ("a", None)]
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: tuple(x[k] for k in shares) for x in L.rank_percentiles(df, ["g"], "v", shares, brackets).collect()}
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        vs = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = tuple(vs[min(int(len(vs) * s), len(vs) - 1)] for s in shares.values())
+    assert got == want

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Into how many brackets a group's values are parted before those that hold a percentile are sorted.
+BRACKETS = 64
+
 
 def window_of_days(log: DataFrame, now: str, days: int = 7, ts: str = "ts") -> DataFrame:
     return log.where(F.col(ts) >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
@@ -23,18 +29,31 @@ def cold(known: DataFrame, hit: DataFrame, key: str) -> DataFrame:
     return known.select(key).distinct().join(hit.select(key).distinct(), key, "left_anti")
 
 
-def rank_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def rank_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], brackets: int = BRACKETS) -> DataFrame:
     """For each group the zero-based elements floor(n * share) of its sorted values.
 
-    Values are counted first, so a group's task sorts distinct values and not rows; places follow from running counts.
+    Rows are counted by value first. Approximate quantiles part each group's values into brackets; the brackets' exact counts tell
+    where each place lies, and only the brackets that hold one are sorted, so no task sorts a group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*group)
-    upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__total", F.sum("__n").over(w))
+    rows = df.where(F.col(value).isNotNull())
+    keys = [f"__key{k}" for k in range(len(group))]
+    same = lambda a, b: reduce(and_, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)), F.lit(True))
+    edges = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(F.percentile_approx(value, [k / brackets for k in range(1, brackets)], 10 * brackets).alias("__edges"))
+    counted = rows.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    bracket = F.size(F.filter("__edges", lambda e: e < F.col(value)))
+    placed = counted.join(edges, same(group, keys)).select(*group, value, "__n", bracket.alias("__bracket"))
+    # at most as many rows a group as there are brackets
+    sums = placed.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col("__bracket").alias("__of")).agg(F.sum("__n").alias("__in"))
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("__before", F.sum("__in").over(upto) - F.col("__in")).withColumn("__total", F.sum("__in").over(w))
     at = {k: F.least(F.floor(F.col("__total") * s), F.col("__total") - 1) for k, s in shares.items()}
-    picks = [F.min(F.when(F.col("__upto") > at[k], F.col(value))).alias(k) for k in shares]
-    return placed.groupBy(*group).agg(*picks)
+    holds = reduce(or_, ((x >= F.col("__before")) & (x < F.col("__before") + F.col("__in")) for x in at.values()))
+    few = placed.join(sums.where(holds), same([*group, "__bracket"], [*keys, "__of"]))
+    running = F.col("__before") + F.sum("__n").over(Window.partitionBy(*group, "__bracket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = few.withColumn("__upto", running)
+    here = {k: (F.col("__upto") > x) & (F.col("__upto") - F.col("__n") <= x) for k, x in at.items()}
+    return few.groupBy(*group).agg(*[F.min(F.when(c, F.col(value))).alias(k) for k, c in here.items()])
 
 
 def share(condition: Column) -> Column:

@@ -195,3 +195,23 @@ def test_rank_percentiles_with_ties_nulls_and_a_hot_value(spark, brackets):
         vs = sorted(v for k, v in rows if k == g and v is not None)
         want[g] = tuple(vs[min(int(len(vs) * s), len(vs) - 1)] for s in shares.values())
     assert got == want
+
+
+def test_sessions_and_trailing_counts_of_a_busy_client(spark):
+    r = random.Random(5)
+    seconds = sorted([r.randrange(30) * 3600 + r.choice((-1, 0, 1)) + 3600 for _ in range(150)] + [r.randrange(90_000) for _ in range(60)] + [7200] * 20)
+    events = [(k, 1, t) for k, t in enumerate(seconds)] + [(1000 + k, 2, t) for k, t in enumerate((0, 3600, 7201, 7202))] + [(2000, None, 5), (2001, 3, None), (2002, 3, None)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want, last = {}, {}
+    for _, u, t in sorted((e for e in events if e[2] is not None), key=lambda e: (str(e[1]), e[2], e[0])):
+        if u not in last or t - last[u] > 3600:
+            want.setdefault(u, []).append([0, t, t])
+        want[u][-1][0] += 1
+        want[u][-1][2] = last[u] = t
+    got = {}
+    for x in L.sessions(df).orderBy("session").collect():
+        got.setdefault(x.user_id, []).append([x.n_events, x.first_ts and int(x.first_ts.timestamp()), x.last_ts and int(x.last_ts.timestamp())])
+    assert got.pop(3) == [[1, None, None]] * 2
+    assert got == want
+    counts = {x.event_id: x.n for x in L.trailing_count(df, "user_id", "ts", "n", seconds=60, stretches=2).collect()}
+    assert counts == {k: sum(v == u and ((s is None and t is None) or (s is not None and t is not None and t - 60 < s <= t)) for _, v, s in events) for k, u, t in events}

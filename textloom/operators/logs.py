@@ -61,12 +61,20 @@ def share(condition: Column) -> Column:
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "1 hour") -> DataFrame:
-    """Sessions of each user: a gap of more than ``gap`` ends one."""
-    w = Window.partitionBy(user).orderBy(ts, "event_id")
+    """Sessions of each user: a gap of more than ``gap`` ends one.
+
+    Each hour of a user is cut by itself, so a user with very many events is spread; the pieces, as many as hours and gaps allow,
+    are then joined where no gap lies between them.
+    """
+    late = F.expr(f"interval {gap}")
+    w = Window.partitionBy(user, "__hour").orderBy(ts, "event_id")
     before = F.lag(ts).over(w)
-    starts = before.isNull() | (F.col(ts) > before + F.expr(f"interval {gap}"))
-    numbered = events.withColumn("session", F.sum(starts.cast("int")).over(w))
-    return numbered.groupBy(user, "session").agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    cut = events.withColumn("__hour", F.date_trunc("hour", ts)).withColumn("__piece", F.sum((before.isNull() | (F.col(ts) > before + late)).cast("int")).over(w))
+    pieces = cut.groupBy(user, "__hour", "__piece").agg(F.count("*").alias("__n"), F.min(ts).alias("__first"), F.max(ts).alias("__last"))
+    w = Window.partitionBy(user).orderBy("__first", "__piece")
+    before = F.lag("__last").over(w)
+    numbered = pieces.withColumn("session", F.sum((before.isNull() | (F.col("__first") > before + late)).cast("int")).over(w))
+    return numbered.groupBy(user, "session").agg(F.sum("__n").alias("n_events"), F.min("__first").alias("first_ts"), F.max("__last").alias("last_ts"))
 
 
 def last_of_each(events: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -75,10 +83,19 @@ def last_of_each(events: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return best_per_key(events, key, order, n)
 
 
-def trailing_count(client: str, ts: str, seconds: int = 60) -> Column:
-    """How many of a client's events lie in the seconds up to each, the far end left out."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.count("*").over(Window.partitionBy(client).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0))
+def trailing_count(events: DataFrame, client: str, ts: str, name: str, seconds: int = 60, stretches: int = 60) -> DataFrame:
+    """events with how many of the client's events lie in the seconds up to each, the far end left out.
+
+    A client's time is parted into ranges of ``stretches`` times those seconds, so a client with very many events is spread; a
+    range counts the last stretch of the range before it too.
+    """
+    reach = seconds * 1_000_000
+    width = reach * stretches
+    rows = events.withColumn("__micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__range", F.col("__micros") - F.pmod("__micros", F.lit(width)))
+    spills = F.col("__micros") > F.col("__range") + width - reach
+    shared = rows.withColumn("__later", F.explode(F.when(spills, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    w = Window.partitionBy(client, F.col("__range") + F.col("__later") * width).orderBy("__micros").rangeBetween(-reach + 1, 0)
+    return shared.withColumn(name, F.count("*").over(w)).where("__later = 0").select(*events.columns, name)
 
 
 def running_mean(value: str, key: str, order: list[str]) -> Column:

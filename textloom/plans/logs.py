@@ -146,7 +146,7 @@ def last_n_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM events")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", L.trailing_count("user_id", "ts").alias("n"))
+    return L.trailing_count(_events(spark, sf_dir), "user_id", "ts", "n").select("event_id", "n")
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS mean FROM events")

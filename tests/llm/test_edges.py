@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import bpe, embed_dedup, exact_dedup, langid, packing, pii, simhash, substring, toxicity, warc
+from textloom.llm import bpe, embed_dedup, exact_dedup, langid, negatives, packing, pii, quality, resample, simhash, substring, toxicity, warc
 
 #: Names that the operators use inside.
 NAMES = ["__row", "__spans", "__blocks", "row", "uid", "kept", "held_out", "text_sha256", "spans", "code", "place", "label", "value", "words", "size", "digest", "page_id", "html", "url", "vector", "h"]
@@ -22,7 +22,7 @@ def table(spark, tmp_path, rows=ROWS, name="docs"):
 
 
 def labels(spark):
-    return spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int").withColumn("text", F.lit("clash")).withColumn("label", F.lit("clash"))
+    return spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int").withColumn("quality", F.col("toxic")).withColumn("text", F.lit("clash")).withColumn("label", F.lit("clash"))
 
 
 OPERATORS = {
@@ -34,6 +34,8 @@ OPERATORS = {
     "pii": pii.find,
     "packing": lambda docs: packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")),
     "langid": langid.identify,
+    "resample": lambda docs: resample.resample(docs, docs),
+    "quality": lambda docs: quality.score_documents(docs, labels(docs.sparkSession)),
 }
 
 
@@ -71,3 +73,4 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [0.0, 1.0], None)], "vec_id long, embedding array<float>, label int")
     rows = rows.withColumns({n: F.lit(n) for n in ("row", "vector", "rep", "n", "bits", "cell")})
     assert sorted((r.n_links, r.kept) for r in embed_dedup.near_vectors(rows).collect()) == [(0, True), (1, True), (1, True)]
+    assert negatives.hard_negatives(rows, every=1).count() == 0

@@ -253,10 +253,10 @@ def test_language_scores_are_those_of_a_plain_computation(monkeypatch):
 def test_samples_are_bounded(spark):
     docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id", F.lit(" word" * 4000)).alias("text"), F.lit("en").alias("lang"))
     got = langid.training_rows(docs, "lang", 50).collect()
-    assert len(got) == 50 and max(len(r.text) for r in got) <= langid.STRETCHES * (langid.STRETCH + 1)
+    assert len(got) == 50 and min(len(r.text) for r in got) > 20_000  # whole texts
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     rows, rate = toxicity.training_rows(docs, labels, 30, 40)
-    assert sum(y for _, y in rows) <= 30 and 40 < len(rows) <= 70 and max(len(t) for t, _ in rows) <= toxicity.STRETCHES * (toxicity.STRETCH + 1) and 0 < rate < 1
+    assert sum(y for _, y in rows) <= 30 and 40 < len(rows) <= 70 and min(len(t) for t, _ in rows) > 20_000 and 0 < rate < 1
     assert langid.training_rows(docs.limit(0), "lang").count() == 0 and toxicity.training_rows(docs.limit(0), labels)[0] == []
 
 

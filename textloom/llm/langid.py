@@ -11,8 +11,7 @@ As the model is linear in the average, a subword's share of the scores is one ro
 some texts at once and add their rows up. Very long texts are scored whole, in pieces that part between words, which changes no sum; only
 a word of more than ``CHUNK`` letters counts as several words of that many.
 
-The sample is bounded in rows (an ordered limit, whatever repeats in the table) and in characters: tasks cut an ``excerpt`` out
-of each text, spread over it, before anything reaches the driver.
+The sample is bounded in rows (an ordered limit, whatever repeats in the table); its texts are learned whole.
 
 Defined cases: text that is null, empty or without a letter gives ``und`` with score 0 and is rejected; null doc_ids
 are never learned from and count as not held out; with no labelled row at all every text is ``und``; repeated rows each give a row;
@@ -33,9 +32,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Characters that a task scores at once.
 CHUNK = 1 << 18
-#: Labelled documents to learn from, at most, and the characters of each: how many stretches of how many.
-SAMPLE = 4000
-STRETCHES, STRETCH = 4, 300
+#: Labelled documents to learn from, at most; each is learned whole.
+SAMPLE = 2000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -91,20 +89,23 @@ def subwords(c: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield start, _mixed(np.add.reduceat(c[place] * powers[(place - of) & 63], np.append(0, (end - start).cumsum()[:-1])) ^ np.uint32(0xA5A5A5A5), buckets)
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 3, rate: float = 2.0, piece: int = 40, pieces: int = 4, ceiling: float = 0.4, loss: float = 0.001, seed: int = 1) -> LanguageModel:
-    """rows: (text, language). Long texts are cut into pieces of words, so that short texts are learned too."""
+def learned_pieces(text: str, buckets: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A whole text in pieces of so many words: the buckets of each piece's subwords, and how often each occurs."""
+    words = text.split()
+    for s in range(0, len(words), piece):
+        ids = [x for _, x in subwords(letters_of(" ".join(words[s : s + piece])), buckets)]
+        if ids and len(ids[0]):
+            yield np.unique(np.concatenate(ids), return_counts=True)
+
+
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 3, rate: float = 2.0, piece: int = 40, ceiling: float = 0.4, loss: float = 0.001, seed: int = 1) -> LanguageModel:
+    """rows: (text, language). Texts are learned whole, in pieces of words, so that short texts are learned too."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    examples: list[tuple[np.ndarray, int]] = []
-    held: list[tuple[np.ndarray, int]] = []
+    examples: list[tuple[np.ndarray, np.ndarray, int]] = []
+    held: list[tuple[np.ndarray, np.ndarray, int]] = []
     for k, (text, lang) in enumerate(rows):
-        words = text.split()
-        starts = list(range(0, len(words), piece))
-        rng.shuffle(starts)
-        for s in starts[:pieces]:
-            ids = [x for _, x in subwords(letters_of(" ".join(words[s : s + piece])), buckets)]
-            if ids and len(ids[0]):
-                (held if k % 5 == 4 else examples).append((np.concatenate(ids), langs.index(lang)))
+        (held if k % 5 == 4 else examples).extend((ids.astype(np.int32), n.astype(np.float32), langs.index(lang)) for ids, n in learned_pieces(text, buckets, piece))
     table = rng.normal(0, 0.1, (buckets, dim))
     layer = np.zeros((dim, len(langs)))
     bias = np.zeros(len(langs))
@@ -113,22 +114,21 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, ep
         for at in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // 16)):
             if not len(at):
                 continue
-            ids = np.concatenate([examples[i][0] for i in at])
-            sizes = np.array([len(examples[i][0]) for i in at])
-            of = np.repeat(np.arange(len(at)), sizes)
-            share = 1 / sizes[of]
-            hidden = np.add.reduceat(table[ids], np.concatenate([[0], sizes.cumsum()[:-1]])) / sizes[:, None]
+            ids, back_to = np.unique(np.concatenate([examples[i][0] for i in at]), return_inverse=True)
+            share = np.zeros((len(at), len(ids)))  # of each subword in each piece
+            share[np.repeat(np.arange(len(at)), [len(examples[i][0]) for i in at]), back_to] = np.concatenate([examples[i][1] / examples[i][1].sum() for i in at])
+            hidden = share @ table[ids]
             p = softmax(hidden @ layer + bias)
-            p[np.arange(len(at)), [examples[i][1] for i in at]] -= 1
+            p[np.arange(len(at)), [examples[i][2] for i in at]] -= 1
             p /= len(at)
             back = p @ layer.T
             layer -= step * hidden.T @ p
             bias -= step * p.sum(0)
-            np.subtract.at(table, ids, step * back[of] * share[:, None])
+            table[ids] -= step * share.T @ back
     model = LanguageModel(langs, table @ layer, bias)
     if held:
-        raw = np.array([model.weights[i].mean(0) + bias for i, _ in held])
-        true = np.array([y for _, y in held])
+        raw = np.array([n @ model.weights[i] / n.sum() + bias for i, n, _ in held])
+        true = np.array([y for _, _, y in held])
         fits = {t: -np.log(softmax(raw / t)[np.arange(len(true)), true] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
         model.temperature = float(min(fits, key=fits.get))
         p = softmax(raw / model.temperature)
@@ -210,31 +210,6 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def excerpt(text: str, stretches: int, stretch: int) -> str:
-    """Stretches of a text, spread evenly over it, whole words where there are blanks, one a line; a text that is not longer is kept whole."""
-    if len(text) <= stretches * stretch:
-        return text
-    found = []
-    for k in range(stretches):
-        at = k * (len(text) - stretch) // max(1, stretches - 1)
-        part = text[at : at + stretch]
-        begin = part.find(" ") + 1 if at else 0
-        end = part.rfind(" ") if at + stretch < len(text) else len(part)
-        found.append(part[begin:end] if end > begin else part)
-    return "\n".join(found)
-
-
-def excerpts(rows: DataFrame, stretches: int, stretch: int) -> DataFrame:
-    """(place, text, label) with each text cut to an excerpt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = pa.array([excerpt(x or "", stretches, stretch) for x in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), short, batch.column(2)], names=["place", "text", "label"])
-
-    return rows.select("place", "text", "label").mapInArrow(run, rows.select("place", "text", "label").schema)
-
-
 def place(*columns: str):
     """A row's place in a sample, from 0 to 2**30, by hash."""
     return F.pmod(F.xxhash64(*columns, F.lit("train")), F.lit(1 << 30)).alias("place")
@@ -247,9 +222,9 @@ def share_of(bound: int, total: int) -> int:
 
 def training_rows(docs: DataFrame, label: str, bound: int = SAMPLE) -> DataFrame:
     """(text, label) of at most ``bound`` labelled rows outside the held-out fold, spread evenly over the table by hash."""
-    labelled = docs.where(F.col(label).isNotNull() & (fold() != 0)).select(place("doc_id", "text", label), "text", F.col(label).alias("label"))
+    labelled = docs.where(F.col(label).isNotNull() & (fold() != 0)).select(place("doc_id", "text", label), F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
     few = labelled.where(F.col("place") < share_of(bound, labelled.count()))
-    return excerpts(few, STRETCHES, STRETCH).orderBy("place", "text", "label").limit(bound).select("text", "label")
+    return few.orderBy("place", "text", "label").limit(bound).select("text", "label")
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE, **options) -> LanguageModel:
@@ -274,7 +249,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """docs without the documents whose language is rejected, all columns kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    at = docs.columns.index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(sent.value)

@@ -58,8 +58,9 @@ class Network:
         self.p["embedding"][PAD] = 0
         self.scale, self.shift = 1.0, 0.0
 
-    def pooled(self, data: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest output of each filter in each block of data (whole blocks of bytes, then WIDTH places more), and where it lies."""
+    def pooled(self, data: np.ndarray, ends: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest output of each filter in each block of data (whole blocks of bytes, then WIDTH places more), and where it lies. ``ends``
+        are the numbers of blocks up to each text's end, over which no filter reads."""
         blocks = (len(data) - WIDTH) // BLOCK
         x = self.p["embedding"][data]
         step = BLOCK // WIDTH
@@ -67,6 +68,8 @@ class Network:
         for r in range(WIDTH):
             out = x[r : r + blocks * BLOCK].reshape(blocks * step, WIDTH * DIM) @ self.p["filters"]
             out = out.reshape(blocks, step, FILTERS)
+            if r:
+                out[ends - 1, -1] = -np.inf
             top = out.max(1)
             if places:
                 where = out.argmax(1) * WIDTH + r
@@ -117,7 +120,7 @@ def loss_gradient(net: Network, parts: list[np.ndarray], truth: np.ndarray) -> t
     """Gradient of the mean logistic loss over some texts (padded), and their logits."""
     p, data = net.p, joined(parts)
     blocks = np.array([len(x) // BLOCK for x in parts])
-    h, at = net.pooled(data, places=True)
+    h, at = net.pooled(data, blocks.cumsum(), places=True)
     one, two, of = chunk_ends(blocks)
     later = h[two] > h[one]
     pooled = np.where(later, h[two], h[one])
@@ -194,8 +197,9 @@ def logits(net: Network, texts: list[str | None]) -> np.ndarray:
     size = 0
 
     def told() -> None:
-        one, two, of = chunk_ends(np.array([len(x) // BLOCK for x in parts]))
-        h, _ = net.pooled(joined(parts))
+        blocks = np.array([len(x) // BLOCK for x in parts])
+        one, two, of = chunk_ends(blocks)
+        h, _ = net.pooled(joined(parts), blocks.cumsum())
         owner = np.array(owners)[of]
         u = net.chunks(np.maximum(h[one], h[two]))
         np.add.at(total, owner, u)
@@ -206,9 +210,9 @@ def logits(net: Network, texts: list[str | None]) -> np.ndarray:
         raw = (text or "").encode("utf-8", "surrogatepass")
         at = 0
         while len(raw) - at > PIECE + BLOCK:
-            # filters at the end of a piece read on into the next: a block more is laid behind, and left out of the pooling
+            # filters at the end of a piece read on into the next
             data = np.frombuffer(raw, np.uint8, PIECE + WIDTH, at).astype(np.int16)
-            h, _ = net.pooled(data)
+            h, _ = net.pooled(data, np.zeros(0, np.int64))
             u = net.chunks(np.maximum(h[:-1], h[1:]))
             total[k] += u.sum(0, dtype=np.float64)
             top[k] = np.maximum(top[k], u.max(0))

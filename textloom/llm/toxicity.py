@@ -8,8 +8,7 @@ text scores as its highest window, turned into a probability by Platt scaling on
 
 Training sees labels of documents only. Which windows of a toxic document are toxic starts from how much more frequent
 their grams are in toxic documents, and is chosen anew by the network after each epoch. The number of documents to learn from
-is bounded (``positives``, ``negatives``, by ordered limits), and so are the characters of each, which tasks cut out of the texts before
-anything reaches the driver; they are taken evenly over the table by hash. Scoring reads every window of every whole text: a text of more than
+is bounded (``positives``, ``negatives``, by ordered limits, taken evenly over the table by hash); their texts are learned whole. Scoring reads every window of every whole text: a text of more than
 ``langid.CHUNK`` characters goes in pieces of whole strides of words, each beginning with the last stride of the one before, so that its
 windows are those of the uncut text (a word of more than that many letters counts as several).
 
@@ -28,16 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import langid
-from textloom.llm.langid import cut_long, excerpts, fold, letters_of, place, share_of
+from textloom.llm.langid import cut_long, fold, letters_of, place, share_of
 
 SPAN, STRIDE = 16, 8
 GRAMS = (3, 5)
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 17, 1 << 22
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 4, 4, 8, 8
 GRAM_SCALE = 0.3
-#: Documents to learn from, at most, and the characters of each: how many stretches of how many.
+#: Documents to learn from, at most; each is learned whole.
 POSITIVES, NEGATIVES = 1500, 2500
-STRETCHES, STRETCH = 4, 4096
 #: Characters that a task scores at once.
 CHUNK = 1 << 16
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -399,8 +397,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     for v, bound in ((0, negatives), (1, positives)):
         ids = labelled.where(F.col("toxic") == v).select("doc_id", place("doc_id"))
         ids = ids.where(F.col("place") < share_of(bound, total.get(v, 0))).orderBy("place", "doc_id").limit(bound).select("doc_id")
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(place("doc_id", "text"), "text", F.lit(v).alias("label"))
-        found += [(r.text, r.label) for r in excerpts(rows, STRETCHES, STRETCH).orderBy("place", "text").limit(bound).collect()]
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(place("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text"))
+        found += [(r.text, v) for r in rows.orderBy("place", "text").limit(bound).collect()]
     return found, total.get(1, 0) / max(1, sum(total.values()))
 
 

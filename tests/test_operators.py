@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -15,6 +16,7 @@ from textloom.operators import logs as L
 from textloom.operators import search as S
 from textloom.operators import state as St
 from textloom.sources import store, tables
+from textloom.sources.snapshot import SnapshotTable
 
 
 def rows(df):
@@ -127,7 +129,7 @@ def test_state(spark):
 
 
 def test_versioned_table(spark, tmp_path):
-    t = store.VersionedTable(spark, f"file://{tmp_path}/t", ["id"])
+    t = SnapshotTable(spark, f"file://{tmp_path}/t", ["id"])
     row = lambda *x: spark.createDataFrame(list(x), "id int, v string")
     assert t.read() is None
     t.upsert(row((1, "a"), (2, "b")))
@@ -137,6 +139,22 @@ def test_versioned_table(spark, tmp_path):
     assert rows(t.read()) == [(2, "c"), (3, "d")] and t.versions() == [0, 1, 2]
 
 
+@pytest.mark.parametrize("width,stride", [(2000, 1850), (10, 3), (7, 7), (5, 9)])
+def test_fixed_windows_are_the_text_s_substrings(spark, width, stride):
+    texts = ["", "a", "é🙂\n" * 40, "x" * 1850, "y" * 1851, "0123456789" * 700, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = [(i, k, t[s : s + width]) for i, t in enumerate(texts) for k, s in enumerate(range(0, len(t or ""), stride))]
+    assert sorted(map(tuple, C.fixed_windows(docs, width, stride, 1).collect())) == wanted
+
+
+def test_windows_of_a_long_text_take_linear_time(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 400_000).alias("text"))
+    C.fixed_windows(docs.limit(0)).count()
+    began = time.perf_counter()
+    assert C.fixed_windows(docs).agg(F.sum(F.length("chunk"))).first()[0] > 4_000_000
+    assert time.perf_counter() - began < 5
+
+
 def test_sources(spark, tmp_path):
     for name, text in {"a.md": "x" * 60, "b.txt": "y" * 10, "test_c.py": "z" * 99, "node_modules/d.md": "q" * 99, "sub/e.md": "é" * 60}.items():
         p = tmp_path / "files" / name

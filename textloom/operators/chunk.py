@@ -15,10 +15,16 @@ SIZE, LEAST, OVERLAP = 2000, 200, 150
 
 
 def fixed_windows(docs: DataFrame, width: int = SIZE, stride: int = SIZE - OVERLAP, least: int = LEAST) -> DataFrame:
-    """Windows of width characters every stride characters; short ones are dropped."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(stride))
-    windows = docs.where(F.length("text") > 0).select("doc_id", "text", F.posexplode(starts).alias("chunk_index", "start"))
-    return windows.select("doc_id", "chunk_index", F.substring("text", F.col("start") + 1, F.lit(width)).alias("chunk")).where(F.length("chunk") >= least)
+    """Windows of width characters every stride characters; short ones are dropped. A text is cut once into blocks of a stride, and a window
+    is its own block and what it needs of those behind it, so the work is linear in the text."""
+    blocks = docs.where(F.length("text") > 0).select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), 0).alias("blocks"))
+    behind = range(1, -(-width // stride))
+
+    def window(block, i):
+        return F.substring(F.concat(block, *[F.coalesce(F.get("blocks", i + n), F.lit("")) for n in behind]), 1, width)
+
+    windows = blocks.select("doc_id", F.posexplode(F.transform("blocks", window)).alias("chunk_index", "chunk"))
+    return windows.where(F.length("chunk") >= least)
 
 
 def word_windows(docs: DataFrame, width: int = 750, stride: int = 638) -> DataFrame:

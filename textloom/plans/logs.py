@@ -205,7 +205,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and kind, kept up to date batch by batch."""
     rows = J.stream(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return J.merged_to_end(rows, "debounce", lambda old, batch: J.latest_per_key(old, batch, ["user_id", "event_type"], "event_id"))
+    return J.merged_to_end(rows, "debounce", ["user_id", "event_type"], lambda old, batch: J.latest_per_key(old, batch, ["user_id", "event_type"], "event_id"))
 
 
 _LIMITED = """WITH RECURSIVE o AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

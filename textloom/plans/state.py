@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import state as St
 from textloom.plans.base import query
+from textloom.shared import new_folder
+from textloom.sources.snapshot import SnapshotTable
 from textloom.sources.store import upserted, without
 from textloom.sources.tables import table
 
@@ -46,6 +48,35 @@ def delete_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without(old, new, ["path"])
 
 
+def _committed(spark: SparkSession, sf_dir: str) -> SnapshotTable:
+    """The old snapshot, then the new one's documents put in, then every ninth path taken out: three commits."""
+    old, new = _snapshots(spark, sf_dir)
+    kept = SnapshotTable(spark, new_folder(spark, "snapshot"), ["path"])
+    kept.append(old)
+    kept.upsert(new)
+    kept.delete(new.where("path % 9 = 0"))
+    return kept
+
+
+@query(f"{_SNAPSHOTS} SELECT path, coalesce(n.fp, o.fp) AS fp FROM o FULL JOIN n USING (path) WHERE n.fp IS NULL OR path % 9 <> 0")
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _committed(spark, sf_dir).read()
+
+
+@query(f"""{_SNAPSHOTS} SELECT 0 AS version, 'append' AS did, (SELECT count(*) FROM o) AS grown_by UNION ALL SELECT 1, 'upsert', (SELECT count(*) FROM n WHERE path NOT IN (SELECT path FROM o))
+ UNION ALL SELECT 2, 'delete', -(SELECT count(*) FROM n WHERE path % 9 = 0)""")
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit log: what each version did and by how many rows the table grew."""
+    rows = [(h["version"], h["did"], h["rows_added"] - h["rows_removed"]) for h in _committed(spark, sf_dir).history()]
+    return spark.createDataFrame(rows, "version int, did string, grown_by long")
+
+
+@query(f"{_SNAPSHOTS} SELECT path, fp FROM o WHERE path % 2 = 0")
+def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier version, after later commits."""
+    return _committed(spark, sf_dir).read(0).where("path % 2 = 0")
+
+
 @query(f"{_SNAPSHOTS}, c AS (SELECT fp || format('_chunk_{{:03d}}', i) AS chunk_id, fp FROM o, (SELECT unnest(range(3)) AS i)) SELECT chunk_id, fp FROM c WHERE fp NOT IN (SELECT fp FROM n)")
 def orphan_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _snapshots(spark, sf_dir)

@@ -1,8 +1,8 @@
-"""Tables that grow: append, upsert and delete over Parquet folders of numbered versions."""
+"""Upserts and deletes as plans, backups and exports; ``snapshot`` has the tables that keep versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,39 +15,6 @@ def without(old: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return old.join(gone.select(*key).distinct(), key, "left_anti")
 
 
-class VersionedTable:
-    """A table in a folder: each write is a new version, readers take the last that is complete (it has Spark's _SUCCESS)."""
-
-    def __init__(self, spark: SparkSession, folder: str, key: list[str]):
-        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
-
-    def versions(self) -> list[int]:
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
-            return []
-        names = [s.getPath().getName() for s in store.listStatus(path)]
-        done = lambda n: store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and done(n))
-
-    def read(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/v{found[-1]}") if found else None
-
-    def _write(self, df: DataFrame, partition_by: list[str]) -> None:
-        found = self.versions()
-        df.write.partitionBy(*partition_by).parquet(f"{self.folder}/v{found[-1] + 1 if found else 0}")
-
-    def upsert(self, rows: DataFrame, partition_by: list[str] = ()) -> None:
-        old = self.read()
-        self._write(rows if old is None else upserted(old, rows, self.key), list(partition_by))
-
-    def delete(self, rows: DataFrame, partition_by: list[str] = ()) -> None:
-        old = self.read()
-        if old is not None:
-            self._write(without(old, rows, self.key), list(partition_by))
-
-
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
     """Backups and reports: JSON lines, CSV with a header, or Parquet."""
     writer = df.write.mode("overwrite")

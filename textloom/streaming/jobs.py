@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.shared import new_folder
+from textloom.sources.snapshot import SnapshotTable
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,22 +36,20 @@ def run_to_end(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
-def merged_to_end(rows: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """A table kept up to date batch by batch: ``merge(old, batch)`` gives its next version, written under the batch's number, so a
-    repeated batch writes the same version again."""
+def merged_to_end(rows: DataFrame, name: str, key: list[str], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A snapshot table kept up to date batch by batch: of the rows with a batch's keys ``combine(old, batch)`` stays, and only files that hold
+    such keys are written anew. Each batch is committed under its number, so one that is repeated after a restart changes nothing."""
     spark = rows.sparkSession
     path = new_folder(spark, name)
 
-    done: list[int] = []
-
     def each(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        done.append(number)
+        SnapshotTable(batch.sparkSession, f"{path}/table", key).merge(batch, combine, txn=(name, number))
 
     query = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/v{done[-1]}") if done else merge(None, spark.createDataFrame([], rows.schema))
+    found = SnapshotTable(spark, f"{path}/table", key).read()
+    none = spark.createDataFrame([], rows.schema)
+    return combine(none, none) if found is None else found
 
 
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour", by: str = "event_type", ts: str = "ts") -> DataFrame:
@@ -64,9 +63,9 @@ def user_sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour",
     return found.select(user, F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("end_ts"), "n_events")
 
 
-def latest_per_key(old: DataFrame | None, batch: DataFrame, key: list[str], order: str) -> DataFrame:
+def latest_per_key(old: DataFrame, batch: DataFrame, key: list[str], order: str) -> DataFrame:
     """Debounce: of events with one key the last stays."""
-    rows = batch if old is None else old.unionByName(batch.select(*old.columns))
+    rows = old.unionByName(batch)
     others = [c for c in rows.columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(order)).alias("x"))
     return last.select(*key, *[F.col(f"x.{c}").alias(c) for c in others])

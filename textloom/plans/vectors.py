@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.operators import search as S
-from textloom.plans.base import query
+from textloom.operators.vector_index import VectorIndex
+from textloom.plans.base import query, stored
 from textloom.plans.retrieval import query_vector
+from textloom.shared import new_folder
 from textloom.sources.tables import table
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -71,6 +73,50 @@ def knn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nearest_of_many(vectors.where("vec_id % 100 = 0"), vectors, 10, group=None)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of the vectors, built by the first query of a session that needs it."""
+    return stored(spark, sf_dir, "embeddings", "vectors", lambda folder, rows: VectorIndex(spark, folder).build(rows))
+
+
+@query(_nearest(_COS))
+def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the index, exact: cells are read while they could hold a nearer row."""
+    return vector_index(spark, sf_dir).search(query_vector(spark, sf_dir), 10)
+
+
+@query(_nearest(_COS, "label IN (1, 3)"))
+def ann_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index(spark, sf_dir).search(query_vector(spark, sf_dir), 10, where=S.matches({"label": [1, 3]}))
+
+
+_EVERY = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM {rows} JOIN q ON vec_id <> query_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, score FROM r WHERE k <= 10"""
+
+
+@query(_EVERY.format(rows="embeddings"))
+def ann_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all, through the index, exact."""
+    return vector_index(spark, sf_dir).search_many(table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), 10)
+
+
+@query()
+def ann_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against the cells that hold nine tenths of the nearest rows."""
+    index = vector_index(spark, sf_dir)
+    return index.search_many(table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), 10, index.probes_for(0.95))
+
+
+@query(_EVERY.format(rows="(SELECT CASE WHEN vec_id % 6 = 0 THEN vec_id + 1000000 ELSE vec_id END AS vec_id, embedding FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 6 = 0)"))
+def ann_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after each fifth vector is deleted and each sixth is put in under another key."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, new_folder(spark, "vectors")).build(vectors)
+    index.delete(vectors.where("vec_id % 5 = 0 OR vec_id % 6 = 0").select("vec_id"))
+    index.upsert(vectors.where("vec_id % 6 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    return index.search_many(vectors.where("vec_id % 100 = 0"), 10)
+
+
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
  SELECT vec_id, round(n, 6) AS norm, list_transform(e, lambda x: round(x / n, 6)) AS unit FROM n""")
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

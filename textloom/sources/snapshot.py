@@ -148,12 +148,20 @@ class SnapshotTable:
             out.txn |= entry["txn"]
         return out
 
-    def read(self, version: int | None = None, ranges: dict[str, tuple] | None = None) -> DataFrame | None:
-        """The rows of a version, None before the first commit; with ``ranges`` (column: least, greatest) only files that may hold such rows."""
-        return self._read(self.snapshot(version), ranges)
+    def read(self, version: int | None = None, ranges: dict[str, tuple] | None = None, values: dict[str, list] | None = None) -> DataFrame | None:
+        """The rows of a version, None before the first commit; with ``ranges`` (column: least, greatest) or ``values`` (column: some values) only
+        files that may hold such rows."""
+        snapshot = self.snapshot(version)
+        return self._read(snapshot, names=self.pruned(snapshot, ranges, values))
 
-    def pruned(self, snapshot: Snapshot, ranges: dict[str, tuple] | None) -> list[str]:
-        return [n for n, f in sorted(snapshot.files.items()) if all(_meets(f["range"].get(c, [None]), list(r)) for c, r in (ranges or {}).items())]
+    def pruned(self, snapshot: Snapshot, ranges: dict[str, tuple] | None = None, values: dict[str, list] | None = None) -> list[str]:
+        """The files that may hold rows in the ranges and with one of the values."""
+
+        def may(f: dict) -> bool:
+            held = f["range"]
+            return all(_meets(held.get(c, [None]), list(r)) for c, r in (ranges or {}).items()) and all(any(_meets(held.get(c, [None]), [v, v]) for v in some) for c, some in (values or {}).items())
+
+        return [n for n, f in sorted(snapshot.files.items()) if may(f)]
 
     def _read(self, snapshot: Snapshot, ranges: dict[str, tuple] | None = None, names: list[str] | None = None) -> DataFrame | None:
         if snapshot.schema is None:

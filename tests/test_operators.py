@@ -56,6 +56,74 @@ def test_bm25(spark, floor):
     assert {r.doc_id for r in only} == {0, 1} and I.score(index, []).count() == 0
 
 
+def zipf_texts(n, seed=0):
+    rnd = random.Random(seed)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    return {i: " ".join(words[min(79, int(rnd.paretovariate(0.7)) - 1)] for _ in range(rnd.choice([0, 3, 12, 50]))) for i in range(n)}
+
+
+def best(docs, query, k, floor=True):
+    got = {i: round(s, 6) for i, s in okapi(docs, query, floor).items()}
+    return sorted(got.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_stored_bm25_skips_blocks_and_loses_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "GROUP", 8)
+    monkeypatch.setattr(I, "FIRST_GROUPS", 3)
+    texts = zipf_texts(600)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = I.StoredIndex(spark, f"file://{tmp_path}/i")
+    index.upsert(docs, X.tokens("text"))
+    split = {i: t.split() for i, t in texts.items()}
+    queries = (["wza"], ["waa", "wfa", "wbc", "wfa"], ["wab"], ["none"], [])
+    for query in queries:
+        for floor, k in ((True, 5), (False, 3), (True, 1000)):
+            got = [tuple(r) for r in index.search(query, k, floor=floor).collect()]
+            assert got == best(split, query, k, floor)
+    opened, total = index.blocks_read(["wza"], 1)
+    assert opened < total
+    only = [r.doc_id for r in index.search(["waa"], 4, where=docs.where("doc_id % 3 = 0")).collect()]
+    assert only == [i for i, _ in best(split, ["waa"], 600) if i % 3 == 0][:4]
+    monkeypatch.setattr(I, "NAMED_GROUPS", 1)
+    assert [tuple(r) for r in index.search(["waa", "wfa"], 5).collect()] == best(split, ["waa", "wfa"], 5)
+
+
+def test_stored_bm25_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "MOST_SEGMENTS", 2)
+    now = dict(zipf_texts(60))
+    index = I.StoredIndex(spark, f"file://{tmp_path}/i")
+    table = lambda some: spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    index.upsert(table(now), X.tokens("text"))
+    for step in range(2):
+        new = {i: zipf_texts(90, step + 1)[i] for i in range(step * 10, step * 10 + 35)}
+        index.upsert(table(new), X.tokens("text"))
+        now |= new
+        gone = [step * 7, step * 7 + 1, 10_000]
+        index.remove(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        now = {i: t for i, t in now.items() if i not in gone}
+        for query in (["waa", "wcb"], ["wza"]):
+            assert [tuple(r) for r in index.search(query, 10).collect()] == best({i: t.split() for i, t in now.items()}, query, 10)
+    assert index.segments <= 2
+    index.upsert(spark.createDataFrame([(None, "wza wza wzz")], "doc_id long, text string"), X.tokens("text"))
+    index.upsert(spark.createDataFrame([(None, "wzz")], "doc_id long, text string"), X.tokens("text"))
+    assert index.search(["wzz"], 9).count() == 1
+    index.remove(spark.createDataFrame([(None,)], "doc_id long"))
+    assert index.search(["wzz"], 9).count() == 0
+
+
+def test_replaced_files_make_a_new_index(spark, tmp_path):
+    from textloom.plans import retrieval
+
+    docs = lambda text: spark.createDataFrame([(1, text), (2, "plain words"), (3, "some other words")], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    docs("worthless erin")
+    assert [r.doc_id for r in retrieval.bm25_search(spark, str(tmp_path)).collect()] == [1]
+    name = next(p for p in (tmp_path / "documents.parquet").iterdir() if p.suffix == ".parquet")
+    spark.createDataFrame([(1, "nothing of it"), (2, "worthless words"), (3, "some other words")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/new")
+    next(p for p in (tmp_path / "new").iterdir() if p.suffix == ".parquet").replace(name)
+    (tmp_path / "documents.parquet" / f".{name.name}.crc").unlink(missing_ok=True)
+    assert [r.doc_id for r in retrieval.bm25_search(spark, str(tmp_path)).collect()] == [2]
+
+
 def hits(spark, pairs, name="score"):
     return spark.createDataFrame(pairs, f"k string, {name} double")
 

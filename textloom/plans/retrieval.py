@@ -9,7 +9,7 @@ from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import index as I
 from textloom.operators import search as S
-from textloom.plans.base import ORACLES, QUERIES, TOKENS, query, sql_list
+from textloom.plans.base import ORACLES, QUERIES, TOKENS, query, sql_list, stored
 from textloom.shared import new_folder
 from textloom.sources.tables import table
 
@@ -44,18 +44,15 @@ WITH t AS (
 )"""
 
 
-_STORED: dict[tuple[str, ...], I.StoredIndex] = {}
-
-
 def stored_index(spark: SparkSession, sf_dir: str) -> I.StoredIndex:
-    """The stored index of the documents, built by the first query of a session that needs it; other files make another index."""
-    docs = table(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
-    if key not in _STORED:
-        index = I.StoredIndex(spark, new_folder(spark, "bm25"))
+    """The stored index of the documents, built by the first query of a session that needs it."""
+
+    def build(folder: str, docs: DataFrame) -> I.StoredIndex:
+        index = I.StoredIndex(spark, folder)
         index.upsert(docs, X.tokens("text", fixed.INDEX_STOPWORDS))
-        _STORED[key] = index
-    return _STORED[key]
+        return index
+
+    return stored(spark, sf_dir, "documents", "bm25", build)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
@@ -63,8 +60,7 @@ def _index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 def _word_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    scored = I.score(_index(spark, sf_dir), WORDS).select("doc_id", F.round("score", 6).alias("score")).where("score > 0")
-    return S.ranked(scored, "score", "doc_id", k)
+    return S.ranked(stored_index(spark, sf_dir).search(WORDS, k, least=0), "score", "doc_id", k)
 
 
 @query(f"{_BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT {K}")
@@ -74,16 +70,20 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BM25} SELECT doc_id, round(raw_score, 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT {K}")
 def bm25_raw_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = I.score(_index(spark, sf_dir), WORDS, floor=False)
-    return S.top(scored.select("doc_id", F.round("score", 6).alias("score")), "score", "doc_id", K)
+    return stored_index(spark, sf_dir).search(WORDS, K, floor=False)
 
 
 @query(f"{_BM25} SELECT doc_id, score FROM b JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND n_chars >= 500 ORDER BY score DESC, doc_id LIMIT {K}")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chosen = docs.where(S.matches({"lang": ["en", "de"], "n_chars": {"$gte": 500}}))
-    scored = I.score(_index(spark, sf_dir), WORDS, where=chosen).select("doc_id", F.round("score", 6).alias("score"))
-    return S.top(scored.where("score > 0"), "score", "doc_id", K)
+    return stored_index(spark, sf_dir).search(WORDS, K, where=chosen, least=0)
+
+
+@query(f"{_BM25}, r AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 1) SELECT * FROM r")
+def bm25_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document alone: most groups of documents lie below its score and stay unread."""
+    return stored_index(spark, sf_dir).search(WORDS, 1, least=0)
 
 
 @query(f"{_BM25} SELECT (SELECT count(*) FROM l) AS n_docs, (SELECT round(avg(dl), 6) FROM l) AS avg_len, (SELECT min(dl) FROM l) AS min_len, (SELECT max(dl) FROM l) AS max_len, (SELECT count(*) FROM d) AS vocabulary")
@@ -107,8 +107,7 @@ _NOW = _BM25.replace("FROM documents\n", "FROM (SELECT doc_id, CASE WHEN lang =
 @query(f"{_NOW} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT {K}")
 def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores after updates and removals are those of an index built anew."""
-    scored = I.score(_changed(spark, sf_dir).read(), WORDS).select("doc_id", F.round("score", 6).alias("score")).where("score > 0")
-    return S.top(scored, "score", "doc_id", K)
+    return _changed(spark, sf_dir).search(WORDS, K, least=0)
 
 
 @query(f"{_NOW} SELECT term, df FROM d")

@@ -10,14 +10,16 @@ from textloom.functions import text as X
 from textloom.operators import evaluate as E
 from textloom.operators import index as I
 from textloom.plans.base import TOKENS, query
-from textloom.plans.retrieval import _MANY, _STOP, _TOP, stored_index
+from textloom.plans.retrieval import _MANY, _STOP, _TOP, gram_index, stored_index
 from textloom.sources.tables import table
 
 
 @query("SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, o.text)) AS n_docs FROM benchmark o")
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each passage stands."""
-    return E.passages_found(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    """In how many documents each passage stands, by the passages' rarest grams."""
+    passages = table(spark, sf_dir, "benchmark")
+    held = gram_index(spark, sf_dir).held(passages, table(spark, sf_dir, "documents"))
+    return passages.select("item_id").join(held.groupBy("item_id").agg(F.count("*").alias("n_docs")), "item_id", "left").fillna(0, ["n_docs"])
 
 
 _ASKED = f"""{_MANY}), q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter({TOKENS}, lambda x: NOT list_contains({_STOP}, x))) AS term FROM benchmark) GROUP BY ALL

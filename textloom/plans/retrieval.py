@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import fixed
 from textloom.functions import text as X
+from textloom.operators import grams as G
 from textloom.operators import index as I
 from textloom.operators import search as S
 from textloom.plans.base import ORACLES, QUERIES, TOKENS, query, sql_list, stored
@@ -55,6 +56,11 @@ def stored_index(spark: SparkSession, sf_dir: str) -> I.StoredIndex:
     return stored(spark, sf_dir, "documents", "bm25", build)
 
 
+def gram_index(spark: SparkSession, sf_dir: str) -> G.GramIndex:
+    """The stored gram index of the documents."""
+    return stored(spark, sf_dir, "documents", "grams", lambda folder, docs: G.GramIndex(spark, folder).add(docs))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
     return stored_index(spark, sf_dir).read()
 
@@ -266,7 +272,7 @@ _LOOK = ["pathetic", "src1", "fr"]
 @query(f"""WITH s AS (SELECT doc_id, round({" + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(source), '{w}') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(lang), '{w}') THEN 0.3 ELSE 0 END)::DOUBLE" for w in _LOOK)}, 6) AS raw FROM documents)
  SELECT doc_id, raw, round(least(raw / 3, 1.0), 6) AS similarity FROM s WHERE raw > 0 ORDER BY raw DESC, doc_id LIMIT 20""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.keyword_search(table(spark, sf_dir, "documents"), _LOOK, 20)
+    return G.keyword_search(gram_index(spark, sf_dir), table(spark, sf_dir, "documents"), _LOOK, 20)
 
 
 _WHOLE = [w for w in _LOOK if w != "src1"]
@@ -295,6 +301,17 @@ def contains_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.contains_rank(table(spark, sf_dir, "documents"), "that the", K)
 
 
+_NEEDLES = ["pathetic", "THE ", "st. w", "ñ", "qz", "é", "erin thonea", "&&", "no such thing"]
+
+
+@query("SELECT needle, count(*) AS n_docs, CAST(min(doc_id) AS BIGINT) AS first_id, CAST(max(doc_id) AS BIGINT) AS last_id FROM documents JOIN (SELECT unnest(" + sql_list(_NEEDLES) + ") AS needle) ON contains(lower(text), lower(needle)) GROUP BY needle")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each of some needles, long and short, in any case."""
+    needles = spark.createDataFrame([(w, w) for w in _NEEDLES], "needle string, text string")
+    held = gram_index(spark, sf_dir).held(needles, table(spark, sf_dir, "documents"), "needle", any_case=True)
+    return held.groupBy("needle").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
 @query("SELECT doc_id, source, 1.0::DOUBLE AS score FROM documents WHERE source = 'src3'")
 def search_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", "source", F.lit(1.0).alias("score"))
@@ -303,7 +320,7 @@ def search_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT doc_id, text, left(text, 50) AS head FROM documents WHERE contains(lower(text), 'pathetic')), r AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY doc_id) AS k FROM m)
  SELECT doc_id, head FROM r WHERE k = 1 ORDER BY doc_id LIMIT 10""")
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "documents").where(F.lower("text").contains("pathetic")).select("doc_id", F.substring("text", 1, 50).alias("head"))
+    held = gram_index(spark, sf_dir).search("pathetic", table(spark, sf_dir, "documents")).select("doc_id", F.substring("text", 1, 50).alias("head"))
     return S.best_per_key(held, "head", [F.col("doc_id")]).orderBy("doc_id").limit(10)
 
 

@@ -219,6 +219,60 @@ def test_embeddings(spark, monkeypatch, blocks):
     assert 0 < len(links) < len(rows) ** 2 / 4
 
 
+@pytest.mark.parametrize("dim", [64, 768])
+def test_the_estimate_decides_which_vectors_are_read(dim):
+    """Pairs with cosines spread over 0.5 to 1: meeting leaves some, the estimate fewer, the vectors fewer still, and no link is lost."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cos = rng.uniform(0.5, 1.0, 2000)
+    y = cos[:, None] * x + np.sqrt(1 - cos**2)[:, None] * z
+    turned = [u @ embed_dedup.rotation(dim) for u in (x, y)]
+    codes = [(t > 0).astype(np.uint8) for t in turned]
+    bits = 6
+    a, b = (embed_dedup.keys(c, bits, 0.98) for c in codes)
+    meet = (a == b).any(1)
+    sides = []
+    for u, t, c in zip((x, y), turned, codes):
+        short, scale, loss = embed_dedup.shortened(u)
+        packed = [r.tobytes() for r in np.packbits(c, axis=1, bitorder="little")]
+        sides.append(embed_dedup.side(packed, np.abs(t).sum(1) / np.sqrt(t.shape[1]), [r.tobytes() for r in short], scale, loss, dim) | {"v": u})
+    met = left = held = 0
+    errors = []
+    for i in np.flatnonzero(meet):
+        one, two = ({k: v if k == "dim" else v[i : i + 1] for k, v in s.items()} for s in sides)
+        table = int(np.flatnonzero(a[i] == b[i])[0])
+        may = sum(len(p) for p, _ in embed_dedup.open_pairs(one, two, table, bits, 0.98))
+        link = len(embed_dedup.linked(one, two, table, bits, 0.98)[0])
+        met, left, held = met + 1, left + may, held + link
+        assert link == int(x[i] @ y[i] >= 0.98) or abs(x[i] @ y[i] - 0.98) < 1e-9
+        errors.append(float((one["code"][0] * 2.0 - 1) @ two["y"][0] / np.sqrt(turned[0].shape[1]) / one["factor"][0] - x[i] @ y[i]))
+    assert held == (cos[meet] >= 0.98).sum() == (cos >= 0.98).sum()
+    assert held < left < 0.35 * met  # the estimate alone drops most pairs that met
+    assert abs(np.mean(errors)) < 4 * np.std(errors) / np.sqrt(len(errors)) + 1e-3  # free of bias
+
+
+def test_the_bound_holds(spark):
+    """Pairs at the threshold itself, over many turns: none falls under its bound at a chance of one in a hundred more often than that."""
+    rng = np.random.default_rng(3)
+    for dim in (2, 16, 64):
+        x = rng.normal(size=(3000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
+        t = x @ embed_dedup.rotation(dim)
+        factor = np.abs(t).sum(1) / np.sqrt(t.shape[1])
+        short, scale, loss = embed_dedup.shortened(y)
+        estimate = (np.sign(t) * ((short * scale[:, None]) @ embed_dedup.rotation(dim))).sum(1) / np.sqrt(t.shape[1]) / factor
+        bound = np.array([embed_dedup.least_estimate(factor[i : i + 1], loss[i : i + 1], dim, 0.98, 0.01)[0, 0] for i in range(len(x))])
+        assert (estimate < bound).mean() <= 0.01
+
+
 def test_embeddings_without_ids_and_repeated(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (7, [1.0, 0.001], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df).collect()), key=str)

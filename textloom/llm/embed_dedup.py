@@ -11,11 +11,14 @@ copies cost nothing further and a link between representatives counts for all co
   the least with which a pair at the threshold meets nowhere with a chance of at most ``MISS`` (``tables_for`` sums over how many signs
   may differ); closer pairs miss less. Tables grow slowly with a label's vectors, whatever
   their dimension: 12 at 500, 20 at 4,000, 32 at 65,000, 68 at 4 million, 108 at 64 million and beyond (512 signs). A pair counts in the first table in which it meets.
-* Only codes travel to the cells, a few dozen bytes a table. Pairs whose signs differ in more places than a pair at the threshold
-  does (confidence 1 - ``MISS``) are dropped; vectors are fetched for those alone that are left with a pair in a cell.
-* Estimates: with the vectors, inner products are estimated from one side's code and factor; the estimate is free of bias, and its error is
-  at most sqrt(1 - f^2) / f * sqrt(1 - c^2) for a true value c. Pairs whose estimate is below what that bound leaves to a linking pair
-  are dropped with full confidence; the others are computed anew in double precision from the vectors as given.
+* Only codes, factors and vectors in one byte a component travel to the cells. Of the pairs that meet, an estimate decides which need
+  their vectors: the inner product of one side's code with the other side's turned byte vector, over the code's factor. It is free of bias over the
+  turns. For a true value c its error is sqrt(1 - c^2) / f times the code's inner product with a unit direction across the vector, of which,
+  given f, every turn makes one of dim - 1 coordinates of a random direction: below -t * sqrt(1 - f^2) / sqrt(turns * (dim - 1)) with a chance of at
+  most exp(-t^2 / 2). What the bytes lose adds at most their error's length over f. Pairs whose estimate lies below what a pair at the threshold
+  falls under with chance ``DOUBT`` are dropped; for the others alone the vectors are fetched.
+* The same estimate picks the pairs again beside the vectors, and those are computed anew in double precision from the vectors as given. So a
+  linking pair is lost with a chance of at most MISS + 2 * DOUBT (either side can be the code's), and no other pair links.
 * Cells of more than a block are cut into blocks and each pair of blocks is a task of its own. Tasks return, for each vector, how many
   rows it links with and one star of the links, never the pairs.
 
@@ -43,7 +46,7 @@ from textloom.llm.scratch import written
 from textloom.llm.simhash import stars
 
 LEAST = 0.98
-MISS = 1e-8
+MISS, DOUBT = 1e-8, 1e-9
 SIGNS = 512
 #: Vectors of a label for each cell of a table, at most bits, and the largest blocks with codes and with vectors.
 CELL_SIZE = 64
@@ -53,8 +56,8 @@ SEED = 20240101
 #: Labels up to this many are broadcast with their counts; more are joined by shuffle.
 BROADCAST_LABELS = 1 << 16
 VECTOR = "row long, vec_id long, label long, dim int, vector binary"
-CODE = "label long, dim int, rep long, n long, bits int, code binary, factor double, vector binary"
-CELL = "label long, dim int, cell long, bits int, rep long, code binary"
+CODE = "label long, dim int, rep long, n long, bits int, code binary, factor double, short binary, scale double, loss double, vector binary"
+CELL = "label long, dim int, cell long, bits int, rep long, code binary, factor double, short binary, scale double, loss double"
 NEEDED = "label long, dim int, cell long, rep long"
 MET = "rep long, weight long, root long"
 
@@ -62,12 +65,12 @@ MET = "rep long, weight long, root long"
 @cache
 def rotation(dim: int) -> np.ndarray:
     """Orthogonal matrices side by side, scaled so that inner products are kept."""
-    rng, turns = np.random.default_rng(SEED + dim), -(-SIGNS // dim)
+    rng = np.random.default_rng(SEED + dim)
     found = []
-    for _ in range(turns):
+    for _ in range(turns(dim)):
         q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
         found.append(q * np.sign(np.diag(r)))
-    return np.hstack(found) / math.sqrt(turns)
+    return np.hstack(found) / math.sqrt(turns(dim))
 
 
 @cache
@@ -82,14 +85,23 @@ def tables_for(bits: int, signs: int, least: float, miss: float = MISS) -> int:
     return tables
 
 
-@cache
-def most_differing(signs: int, least: float, miss: float = MISS) -> int:
-    """In no more places the signs of a pair at the threshold differ, but with chance ``miss``."""
-    chance, left, d = math.acos(least) / math.pi, 1.0, -1
-    while left > miss and d < signs:
-        d += 1
-        left -= math.exp(math.lgamma(signs + 1) - math.lgamma(d + 1) - math.lgamma(signs - d + 1) + d * math.log(chance) + (signs - d) * math.log1p(-chance))
-    return d
+def turns(dim: int) -> int:
+    return -(-SIGNS // dim)
+
+
+def least_estimate(factor: np.ndarray, loss: np.ndarray, dim: int, least: float, doubt: float = DOUBT) -> np.ndarray:
+    """For each code (factor) and each byte vector (loss), the estimate under which a pair at the threshold falls with chance ``doubt`` at most."""
+    f = np.minimum(factor, 1.0)
+    free = turns(dim) * (dim - 1)
+    spread = np.sqrt(1 - f * f) / f * math.sqrt(max(0.0, 1 - least * least)) * (math.sqrt(2 * math.log(1 / doubt) / free) if free else np.inf)
+    return least - np.nan_to_num(spread, nan=np.inf)[:, None] - loss[None, :] / f[:, None] - 1e-9
+
+
+def shortened(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors in one byte a component: bytes, scales, and the lengths of what is lost."""
+    scale = np.abs(units).max(1) / 127
+    short = np.rint(units / scale[:, None]).astype(np.int8)
+    return short, scale, np.linalg.norm(units - short * scale[:, None], axis=1)
 
 
 @cache
@@ -128,21 +140,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(dims, pa.int32()), pa.array(kept, pa.binary())], names=["row", "vec_id", "label", "dim", "vector"])
 
 
-def turned_units(vectors: np.ndarray) -> np.ndarray:
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ rotation(vectors.shape[1])
-
-
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, dim, vector, rep, n, bits): with each vector's code and factor."""
+    """(label, dim, vector, rep, n, bits): with each vector's code and factor, and itself in bytes."""
     for batch in batches:
         dims = batch.column(1).to_numpy()
         for dim in np.unique(dims).tolist():
             mine = batch.filter(pa.array(dims == dim))
-            y = turned_units(np.frombuffer(b"".join(mine.column(2).to_pylist()), "<f8").reshape(-1, dim))
+            unit = np.frombuffer(b"".join(mine.column(2).to_pylist()), "<f8").reshape(-1, dim)
+            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            y = unit @ rotation(dim)
             code = [x.tobytes() for x in np.packbits(y > 0, axis=1, bitorder="little")]
             factor = np.abs(y).sum(1) / math.sqrt(y.shape[1])
+            short, scale, loss = shortened(unit)
             bits = np.minimum(mine.column(5).to_numpy(), y.shape[1]).astype(np.int32)
-            columns = [mine.column(0), mine.column(1), mine.column(3), mine.column(4), pa.array(bits), pa.array(code, pa.binary()), pa.array(factor), mine.column(2)]
+            columns = [mine.column(0), mine.column(1), mine.column(3), mine.column(4), pa.array(bits), pa.array(code, pa.binary()), pa.array(factor), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(scale), pa.array(loss), mine.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CODE.split(", ")])
 
 
@@ -154,14 +165,14 @@ def _cells(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(5))), key=lambda r: (r[1], r[3]))
+            rows = sorted(zip(*(batch.column(i).to_pylist() for i in range(9))), key=lambda r: (r[1], r[3]))
             for (dim, bits), group in itertools.groupby(rows, key=lambda r: (r[1], r[3])):
                 held = list(group)
                 for i in range(0, len(held), 512):
                     some = held[i : i + 512]
                     key = keys(_unpacked([r[4] for r in some], rotation(dim).shape[1]), bits, least)
-                    for (label, _, rep, _, code), mine in zip(some, (key | np.arange(key.shape[1]) << MOST_BITS).tolist()):
-                        out += [(label, dim, cell, bits, rep, code) for cell in mine]
+                    for (label, _, rep, _, *rest), mine in zip(some, (key | np.arange(key.shape[1]) << MOST_BITS).tolist()):
+                        out += [(label, dim, cell, bits, rep, *rest) for cell in mine]
                     if len(out) > 20_000:
                         yield _batch(out, CELL)
                         out = []
@@ -176,51 +187,44 @@ def _first_meeting(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarra
     return ~(one[i, :table] == two[j, :table]).any(1)
 
 
-def close_codes(a: np.ndarray, b: np.ndarray | None, table: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of codes that may link and meet first in this table; without b the pairs inside a."""
+def side(codes: list[bytes], factors: list[float], shorts: list[bytes], scales: list[float], losses: list[float], dim: int) -> dict:
+    """What the estimate needs of some vectors: codes as rows of 0 and 1, factors, byte vectors turned, and their losses."""
+    short = np.frombuffer(b"".join(shorts), np.int8).reshape(len(codes), dim)
+    return {"dim": dim, "code": _unpacked(codes, rotation(dim).shape[1]), "factor": np.array(factors), "y": (short * np.array(scales)[:, None]) @ rotation(dim), "loss": np.array(losses)}
+
+
+def open_pairs(a: dict, b: dict | None, table: int, bits: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of pairs that meet first in this table and whose estimate doesn't rule out a link; without b the pairs inside a."""
     other = a if b is None else b
-    most = most_differing(a.shape[1], least)
-    x, z = a.astype(np.float32) * 2 - 1, other.astype(np.float32) * 2 - 1
-    one = keys(a, bits, least)
-    two = one if b is None else keys(other, bits, least)
-    found_i, found_j = [], []
-    for s in range(0, len(x), 512):
-        i, j = np.nonzero(x[s : s + 512] @ z.T >= a.shape[1] - 2 * most)
+    signs = a["code"].shape[1]
+    one = keys(a["code"], bits, least)
+    two = one if b is None else keys(other["code"], bits, least)
+    y = other["y"].T.astype(np.float32)
+    for s in range(0, len(one), 512):
+        some = slice(s, s + 512)
+        estimate = ((a["code"][some].astype(np.float32) * 2 - 1) @ y) / (math.sqrt(signs) * a["factor"][some, None])
+        i, j = np.nonzero(estimate >= least_estimate(a["factor"][some], other["loss"], a["dim"], least) - 1e-5)
         i += s
         if b is None:
             i, j = i[i < j], j[i < j]
         for t in range(0, len(i), 1 << 16):
             p, q = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
             new = _first_meeting(one, two, p, q, table)
-            found_i.append(p[new])
-            found_j.append(q[new])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
+            yield p[new], q[new]
 
 
 def linked(a: dict, b: dict | None, table: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of pairs that link and meet first in this table; without b the pairs inside a."""
-    other = a if b is None else b
-    signs = a["code"].shape[1]
-    estimate = ((a["code"] * 2.0 - 1) / math.sqrt(signs) @ other["y"].T) / a["factor"][:, None]
-    f = np.minimum(a["factor"], 1.0)
-    bound = least - np.sqrt(1 - f * f) / f * math.sqrt(1 - least * least) - 1e-9
-    i, j = np.nonzero(estimate >= bound[:, None])
-    if b is None:
-        i, j = i[i < j], j[i < j]
-    one, two = keys(a["code"], bits, least), keys(other["code"], bits, least)
-    v, w = a["v"], other["v"]
+    """Places (in a, in b) of pairs that link and meet first in this table, by the vectors of those that the estimate leaves open."""
+    v, w = a["v"], (a if b is None else b)["v"]
     size_v, size_w = np.linalg.norm(v, axis=1), np.linalg.norm(w, axis=1)
-    found_i, found_j = [], []
-    for s in range(0, len(i), 1 << 14):
-        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-        new = _first_meeting(one, two, p, q, table)
-        p, q = p[new], q[new]
-        keep = np.einsum("ij,ij->i", v[p], w[q]) / (size_v[p] * size_w[q]) >= least
-        found_i.append(p[keep])
-        found_j.append(q[keep])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in open_pairs(a, b, table, bits, least):
+        for s in range(0, len(i), 1 << 14):
+            p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+            keep = np.einsum("ij,ij->i", v[p], w[q]) / (size_v[p] * size_w[q]) >= least
+            found_i.append(p[keep])
+            found_j.append(q[keep])
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _by_group(process, shape: str):
@@ -245,30 +249,32 @@ def _by_group(process, shape: str):
     return run
 
 
+def _side(rows: list[tuple], at: int) -> dict:
+    """Of rows whose columns from ``at`` on are code, factor, short, scale and loss."""
+    return side(*([r[at + k] for r in rows] for k in range(5)), rows[0][1])
+
+
 def _screen(least: float):
-    """Rows (label, dim, cell, p, q, own, bits, rep, code): those with a pair that may link."""
+    """Rows (label, dim, cell, p, q, own, bits, rep, code, factor, short, scale, loss): those with a pair that may link."""
 
     def process(one: list[tuple], two: list[tuple] | None) -> list[tuple]:
         label, dim, cell, bits = *one[0][:3], one[0][6]
-        side = lambda rows: _unpacked([r[8] for r in rows], rotation(dim).shape[1])
-        i, j = close_codes(side(one), None if two is None else side(two), cell >> MOST_BITS, bits, least)
         other = one if two is None else two
-        return [(label, dim, cell, rep) for rep in {one[k][7] for k in np.unique(i).tolist()} | {other[k][7] for k in np.unique(j).tolist()}]
+        wanted = set()
+        for i, j in open_pairs(_side(one, 8), None if two is None else _side(two, 8), cell >> MOST_BITS, bits, least):
+            wanted |= {one[k][7] for k in np.unique(i).tolist()} | {other[k][7] for k in np.unique(j).tolist()}
+        return [(label, dim, cell, rep) for rep in wanted]
 
     return _by_group(process, NEEDED)
 
 
 def _meet(least: float):
-    """Rows (label, dim, cell, p, q, own, bits, rep, n, code, factor, vector): links of each vector, and stars."""
+    """Rows (label, dim, cell, p, q, own, bits, rep, n, code, factor, short, scale, loss, vector): links of each vector, and stars."""
 
     def process(one: list[tuple], two: list[tuple] | None) -> list[tuple]:
         _, dim, cell, bits = *one[0][:3], one[0][6]
-
-        def side(rows: list[tuple]) -> dict:
-            v = np.frombuffer(b"".join(r[11] for r in rows), "<f8").reshape(len(rows), dim)
-            return {"v": v, "y": turned_units(v), "code": _unpacked([r[9] for r in rows], rotation(dim).shape[1]), "factor": np.array([r[10] for r in rows])}
-
-        i, j = linked(side(one), None if two is None else side(two), cell >> MOST_BITS, bits, least)
+        whole = lambda rows: _side(rows, 9) | {"v": np.frombuffer(b"".join(r[14] for r in rows), "<f8").reshape(len(rows), dim)}
+        i, j = linked(whole(one), None if two is None else whole(two), cell >> MOST_BITS, bits, least)
         if not len(i):
             return []
         ordered = one if two is None else one + two
@@ -307,10 +313,11 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, code_block: int =
     if sizes.count() <= BROADCAST_LABELS:
         sizes = F.broadcast(sizes)
     codes = written(groups.join(sizes, "label").select("label", "dim", "vector", "rep", "n", "bits").mapInArrow(_codes, CODE), "vector-codes")
-    cells = written(codes.select("label", "dim", "rep", "bits", "code").mapInArrow(_cells(least), CELL), "vector-cells")
-    needed = written(_dealt(cells, code_block, "bits", "rep", "code").mapInArrow(_screen(least), NEEDED).distinct(), "vector-needed")
-    fetched = needed.join(codes.select("rep", "n", "bits", "code", "factor", "vector"), "rep")
-    met = written(_dealt(fetched, block, "bits", "rep", "n", "code", "factor", "vector").mapInArrow(_meet(least), MET), "vector-links")
+    told = ["code", "factor", "short", "scale", "loss"]
+    cells = written(codes.select("label", "dim", "rep", "bits", *told).mapInArrow(_cells(least), CELL), "vector-cells")
+    needed = written(_dealt(cells, code_block, "bits", "rep", *told).mapInArrow(_screen(least), NEEDED).distinct(), "vector-needed")
+    fetched = needed.join(codes.select("rep", "n", "bits", *told, "vector"), "rep")
+    met = written(_dealt(fetched, block, "bits", "rep", "n", *told, "vector").mapInArrow(_meet(least), MET), "vector-links")
     weights = met.groupBy("rep").agg(F.sum("weight").alias("weight"))
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "root")
     told = groups.join(weights, "rep", "left").join(roots, "rep", "left").select("label", "vector", (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))

@@ -157,6 +157,69 @@ def test_pii(spark, tmp_path):
     assert pii.find(written(spark, tmp_path, [], "none")).count() == 0
 
 
+def disclosed_by_hand(texts, alpha=pii.ALPHA, beta=pii.BETA, support=pii.SUPPORT):
+    """Spans term and cut of each text, from counts over all texts, text by text and entity by entity."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    holds, beside, around, standing, anywhere = {}, {}, {}, [], {}
+    for row, text in enumerate(texts):
+        for t in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+            anywhere[t] = anywhere.get(t, 0) + 1
+        blank = email.sub(lambda m: " " * len(m[0]), text)
+        for span in filter(None, spans_by_hand(text).split(",")):
+            kind, a, b = span.split(":")
+            value = kind + ":" + (text[int(a) : int(b)].lower() if kind == "email" else text[int(a) : int(b)] if kind == "ip" else re.sub("[^0-9]", "", text[int(a) : int(b)]))
+            holds.setdefault(value, set()).add(row)
+            begin, end = max(0, int(a) - pii.REACH), min(len(text), int(b) + pii.REACH)
+            for m in re.finditer(r"[^\W\d_]{4,}", blank[begin:end]):
+                if (m.start() == 0 and begin > 0) or (m.end() == end - begin and end < len(text)):
+                    continue
+                term = m[0].lower()
+                beside.setdefault((value, term), set()).add(row)
+                around.setdefault((value, term), set()).add(blank[begin:end])
+                standing.append((row, value, term, begin + m.start(), begin + m.end()))
+    kinds = {}
+    for (value, term), rows in beside.items():
+        if len(around[value, term]) < support:
+            continue
+        told = np.log2(len(texts) * len(rows) / (anywhere[term] * len(holds[value])))
+        content = np.log2(len(texts) / len(holds[value]))
+        if told > 0 and told >= alpha * content:
+            kinds[value, term] = "cut" if told >= beta * content - 1e-9 else "term"
+    found = [set() for _ in texts]
+    for row, value, term, a, b in standing:
+        if (value, term) in kinds:
+            found[row].add((a, b, kinds[value, term]))
+    return [{(a, b, min(k for x, y, k in f if (x, y) == (a, b))) for a, b, _ in f} for f in found]
+
+
+@pytest.mark.parametrize("alpha,beta,support", [(0.9, 1.0, 2), (0.5, 0.8, 2), (0.3, 0.9, 1)])
+def test_disclosing_terms_against_counts_by_hand(spark, tmp_path, alpha, beta, support):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(3, 9))) for _ in range(70)]
+    people = [(f"p{i}@mail.example.org" if i % 3 else f"+49 30 55512{i:02d}", f"Clue{chr(97 + i)}rian") for i in range(9)]
+    texts = []
+    for i in range(160):
+        body = [rnd.choice(words) for _ in range(rnd.randint(2, 30))]
+        if i % 2:
+            who, clue = people[rnd.randrange(len(people))]
+            at = rnd.randint(0, len(body))
+            body[at:at] = [clue] * (rnd.random() < 0.8) + [who] + [clue] * (rnd.random() < 0.3)
+        if i % 17 == 0:
+            body.append(rnd.choice(people)[1])
+        texts.append(" ".join(body))
+    texts += texts[:4]
+    wanted = disclosed_by_hand(texts, alpha, beta, support)
+    got = [set() for _ in texts]
+    for r in pii.find(written(spark, tmp_path, texts), alpha, beta, support).collect():
+        got[r.doc_id] = {(int(a), int(b), k) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k in ("term", "cut")}
+    assert got == wanted and sum(map(len, wanted)) > 20
+
+
+def test_column_names_with_backticks(spark, tmp_path):
+    docs = written(spark, tmp_path, ["mail a@b.org"]).withColumn("odd`name", F.lit(1))
+    assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).first()["text"] == "mail [EMAIL]"
+
+
 def test_copies_are_no_evidence(spark, tmp_path):
     body = " ".join(f"w{i}" for i in range(40))
     texts = [f"{body} {i} " + "padding here and there to part it " * 3 + "Quixotania mona@example.org Barataria" for i in range(20)] + ["quite another text"] * 50

@@ -9,6 +9,7 @@ from textloom.operators import logs as L
 from textloom.plans.base import query
 from textloom.sources.tables import table
 from textloom.streaming import jobs as J
+from textloom.streaming.sessions import rocks_state, session_log
 
 NOW = "2024-01-25 12:00:00"
 _WEEK = f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY)"
@@ -201,6 +202,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_to_end(J.user_sessions(J.stream(spark, sf_dir, "events")), "sessions")
 
 
+@query(f"""{_SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts DESC, event_id DESC) AS k FROM s),
+ g AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, string_agg(event_id, ',' ORDER BY ts, event_id) FILTER (WHERE k <= 50) AS recent FROM r GROUP BY user_id, session)
+ SELECT user_id, CAST(first_ts AS TIMESTAMPTZ) AS first_ts, CAST(last_ts AS TIMESTAMPTZ) AS last_ts, n_events, recent FROM g WHERE last_ts + INTERVAL 2 HOUR < (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+def stream_session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that have ended, with their last 50 events, from keyed state with timers."""
+    with rocks_state(spark):
+        return J.run_to_end(session_log(J.stream(spark, sf_dir, "events")), "session-log")
+
+
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, value FROM r WHERE k = 1")
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and kind, kept up to date batch by batch."""

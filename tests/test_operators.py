@@ -223,6 +223,45 @@ def test_windows_of_a_long_text_take_linear_time(spark):
     assert time.perf_counter() - began < 5
 
 
+@pytest.mark.parametrize(
+    "sql,wanted",
+    [
+        ("SELECT * FROM orders o JOIN nation ON x = y", "SELECT * FROM shop.orders o JOIN geo.nation ON x = y"),
+        ("WITH orders AS (SELECT * FROM orders) SELECT * FROM orders", "WITH orders AS (SELECT * FROM shop.orders) SELECT * FROM orders"),
+        ("WITH a AS (SELECT 1), b AS (SELECT * FROM a, nation) SELECT * FROM b JOIN a JOIN orders", "WITH a AS (SELECT 1), b AS (SELECT * FROM a, geo.nation) SELECT * FROM b JOIN a JOIN shop.orders"),
+        ("SELECT 'FROM orders' AS x /* JOIN nation */ FROM nation -- FROM orders", "SELECT 'FROM orders' AS x /* JOIN nation */ FROM geo.nation -- FROM orders"),
+        ("SELECT (SELECT max(k) FROM orders) m FROM nation WHERE EXISTS (SELECT 1 FROM orders WHERE nation.k = 1) AND k IN (SELECT k FROM `nation`)", "SELECT (SELECT max(k) FROM shop.orders) m FROM geo.nation WHERE EXISTS (SELECT 1 FROM shop.orders WHERE nation.k = 1) AND k IN (SELECT k FROM geo.`nation`)"),
+        ("SELECT * FROM dm.orders UNION SELECT * FROM `dm`.nation UNION SELECT * FROM other.orders", "SELECT * FROM data.orders UNION SELECT * FROM data.nation UNION SELECT * FROM other.orders"),
+        ("SELECT '😀', extract(year FROM d) FROM orders, (WITH nation AS (SELECT 1) SELECT * FROM nation) s, nation", "SELECT '😀', extract(year FROM d) FROM shop.orders, (WITH nation AS (SELECT 1) SELECT * FROM nation) s, geo.nation"),
+        ("SELECT orders.k FROM elsewhere AS orders", "SELECT orders.k FROM elsewhere AS orders"),
+    ],
+)
+def test_tables_are_qualified_where_the_parser_finds_them(spark, sql, wanted):
+    assert G.qualified(sql, {"orders": "shop", "nation": "geo"}, {"dm": "data"}) == wanted
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab 据。.!?！\n", max_size=400), st.integers(1, 6), st.integers(0, 3))
+def test_cascade_covers_the_text_within_its_bounds(text, budget, times):
+    text = text * (1 + times)
+    most = 2 * budget
+    got = list(C.separator_cascade(text, budget, most))
+    bare = lambda s: "".join(c for c in s if c not in " \n.!?。！？")
+    assert bare("".join(got)) == bare(text)
+    assert all(C.weight(c) <= most or len(c) <= 4 * budget for c in got) and all(c.strip() for c in got)
+
+
+def test_cascade():
+    assert list(C.separator_cascade("  a  b\n")) == ["a b"] and list(C.separator_cascade(" \n")) == []
+    sentence = "one two three four. "
+    assert list(C.separator_cascade(sentence * 5, budget=8, most=16)) == ["one two three four。one two three four"] * 2 + ["one two three four"]  # one part too heavy, so sentences
+    assert list(C.separator_cascade(sentence * 3, budget=8, most=16)) == [(sentence * 3).strip()]  # within most: stays whole
+    assert list(C.separator_cascade("数据" * 10, budget=4, most=8)) == ["数据" * 8, "数据" * 2]
+    began = time.perf_counter()
+    assert sum(map(len, C.separator_cascade("some words of a sentence. " * 80_000))) > 1_900_000
+    assert time.perf_counter() - began < 20
+
+
 def test_sources(spark, tmp_path):
     for name, text in {"a.md": "x" * 60, "b.txt": "y" * 10, "test_c.py": "z" * 99, "node_modules/d.md": "q" * 99, "sub/e.md": "é" * 60}.items():
         p = tmp_path / "files" / name

@@ -68,3 +68,6 @@ CATEGORIES = {
 OTHER_CATEGORY = "其他"
 
 CODE_EXTENSIONS = [".py", ".sh", ".yaml", ".yml", ".sql"]
+
+#: The separators that the cascade tries, in this order.
+CASCADE_SEPARATORS = ["\n\n", "\n", ". ", "。", "! ", "！", "? ", "？"]

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import fixed
+
 CHUNK = "doc_id long, chunk_index int, heading string, chunk string"
 SIZE, LEAST, OVERLAP = 2000, 200, 150
 
@@ -158,6 +160,49 @@ def sentence_pack(text: str, budget: int = 750, most: int = 1500) -> Iterator[st
         yield " ".join(held)
 
 
+def weight(text: str) -> int:
+    """A text's size for the cascade: words parted by blanks, and Han characters."""
+    return len(text.split()) + sum("\u4e00" <= c <= "\u9fff" for c in text)
+
+
+def filled(pieces: Iterator[str], joint: str, budget: int, most: int, finer: Callable[[str], Iterator[str]]) -> Iterator[str]:
+    """Pieces put together up to a budget; one that is heavier than ``most`` by itself is cut by ``finer``."""
+    held: list[str] = []
+    used = 0
+    for piece in pieces:
+        size = weight(piece)
+        if used + size > budget:
+            if held:
+                yield joint.join(held)
+            held, used = [], 0
+            if size > most:
+                yield from finer(piece)
+                continue
+        held.append(piece)
+        used += size
+    if held:
+        yield joint.join(held)
+
+
+def separator_cascade(text: str, budget: int = 750, most: int = 1500, separators: list[str] = fixed.CASCADE_SEPARATORS) -> Iterator[str]:
+    """Chunks of a text, blanks run together: whole if it fits the budget, else parted by the first of the separators that leaves no chunk heavier than
+    ``most``. A part that is too heavy is cut into sentences, and such a sentence into stretches of characters (four for each unit of the budget),
+    which is also what is left where no separator will do. Each separator is one pass over the text."""
+    text = " ".join(text.split())
+    stretch = 4 * budget
+    by_characters = lambda t: filter(str.strip, (t[i : i + stretch] for i in range(0, len(t), stretch)))
+    sentences = lambda t: filled(filter(None, map(str.strip, re.split("[.!?。！？]", t))), "。", budget, most, by_characters)
+    if weight(text) <= budget:
+        return iter([text] if text else [])
+    for separator in separators:
+        parts = text.split(separator)
+        marked = [p.strip() + (separator if i < len(parts) - 1 else "") for i, p in enumerate(parts) if p.strip()]
+        found = list(filled(iter(marked), "", budget, most, lambda t, s=separator: sentences(t.removesuffix(s))))
+        if found and all(weight(c) <= most for c in found):
+            return iter(found)
+    return by_characters(text)
+
+
 def sentence_windows(text: str, size: int = 1000, overlap: int = 200, least: int = 100) -> Iterator[str]:
     """Windows that end at a sentence where one ends in their second half, each beginning overlap characters back."""
     at = 0
@@ -195,6 +240,7 @@ PACKERS: dict[str, Callable[[str], Iterator]] = {
     "force": force_split,
     "paragraphs": lambda text: merged_paragraphs(re.split(r"\n\s*\n|\n", text)),
     "sentences": sentence_pack,
+    "cascade": separator_cascade,
     "sentence_windows": sentence_windows,
     "sql": sql_statements,
 }

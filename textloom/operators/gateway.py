@@ -64,16 +64,57 @@ def run_repaired(spark: SparkSession, sql: str, repair, most: int = MOST_ROWS) -
     except Refused:
         raise
     except Exception:
-        tables = re.findall(r"(?i)(?:FROM|JOIN)\s+(?:\w+\.)?(\w+)", sql)
+        tables = [parts[-1] for _, parts in named(spark, sql)]
         columns = {t: [c.name for c in spark.catalog.listColumns(t)] for t in dict.fromkeys(tables) if spark.catalog.tableExists(t)}
         return run(spark, repair(sql, columns), most)
 
 
+def _spelt(sql: str, at: int) -> str:
+    """The identifier that begins at a place, as it is written."""
+    found = re.compile(r"`(?:[^`]|``)*`|[\w$]+").match(sql, at)
+    return found[0] if found else ""
+
+
+def named(spark: SparkSession, sql: str) -> list[tuple[int, list[str]]]:
+    """(place, parts of the name) of each table that a statement reads, where it is named. Names of common table expressions are no tables inside
+    their statement, and those that an inner one hides are themselves again outside it."""
+    found: list[tuple[int, list[str]]] = []
+    scala = lambda seq: [seq.apply(i) for i in range(seq.size())]
+
+    def visit(node, hidden: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            for pair in scala(node.cteRelations()):
+                name = pair._1().lower()
+                visit(pair._2(), hidden | {name} if node.allowRecursion() else hidden)
+                hidden = hidden | {name}
+            visit(node.child(), hidden)
+            return
+        if kind == "UnresolvedRelation":
+            parts = [str(p) for p in scala(node.multipartIdentifier())]
+            start = node.origin().startIndex()
+            if start.isDefined() and (len(parts) > 1 or parts[0].lower() not in hidden):
+                found.append((start.get(), parts))
+        for group in (node.children(), node.innerChildren()):
+            for child in scala(group):
+                if hasattr(child, "innerChildren"):
+                    visit(child, hidden)
+
+    visit(parsed(spark, sql), frozenset())
+    return sorted(set((at, tuple(parts)) for at, parts in found))
+
+
 def qualified(sql: str, places: dict[str, str], aliases: dict[str, str] | None = None) -> str:
-    """Tables without a database get the one that ``places`` names; aliases of databases are put right first."""
-    for alias, name in (aliases or {}).items():
-        sql = re.sub(rf"\b{re.escape(alias)}\.", f"{name}.", sql)
-    return re.sub(r"(?i)\b(FROM|JOIN)\s+(\w+)\b(?!\s*\.)", lambda m: f"{m[1]} {places[m[2]]}.{m[2]}" if m[2] in places else m[0], sql)
+    """Tables without a database get the one that ``places`` names; databases under an alias get their name. The statement is changed where the
+    parser found the tables, so strings, comments, column names and the names of common table expressions stay as they are."""
+    spark = SparkSession.getActiveSession()
+    for at, parts in reversed(named(spark, sql)):
+        first = _spelt(sql, at)
+        if len(parts) == 1 and parts[0] in places:
+            sql = f"{sql[:at]}{places[parts[0]]}.{sql[at:]}"
+        elif len(parts) > 1 and parts[0] in (aliases or {}) and first:
+            sql = sql[:at] + aliases[parts[0]] + sql[at + len(first) :]
+    return sql
 
 
 def catalog_columns(tables: dict[str, DataFrame]) -> DataFrame:

@@ -206,6 +206,12 @@ def chunk_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sentences")
 
 
+@query()
+def chunk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the first separator that leaves none too heavy."""
+    return C.packed(_docs(spark, sf_dir), "cascade").select("doc_id", "chunk_index", F.md5("chunk").alias("digest"), F.length("chunk").alias("n_chars"))
+
+
 @query(chunk_sql.STATEMENTS)
 def chunk_sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sql")

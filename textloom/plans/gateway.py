@@ -41,6 +41,22 @@ _passed("sql_setops", "SELECT p_partkey FROM part WHERE p_size < 10 INTERSECT SE
 _passed("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 _passed("sql_full_join", "SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, count(DISTINCT c_custkey) AS n_customers, count(DISTINCT s_suppkey) AS n_suppliers FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
 
+_CROSS = """WITH nation AS (SELECT n_nationkey AS k, n_name AS name, r_name /* FROM region */ FROM nation JOIN region ON n_regionkey = r_regionkey)
+ SELECT name, r_name, 'FROM orders' AS said, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey = k JOIN orders ON o_custkey = c_custkey
+ WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) GROUP BY name, r_name -- JOIN supplier"""
+
+
+@query(_CROSS)
+def sql_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement without databases, over tables that only a database has: the parser's places of tables get it."""
+    for name, df in tables(spark, sf_dir).items():
+        df.createOrReplaceGlobalTempView(f"shop_{name}")
+    places = {n: "global_temp" for n in NAMES}
+    sql = G.qualified(_CROSS, places).replace("global_temp.", "global_temp.shop_")
+    G.check(spark, sql)
+    return spark.sql(sql)
+
+
 _VIEWS = ", ".join(f"'{n}'" for n in NAMES)
 _COLUMNS = f"(SELECT table_name, column_name, ordinal_position AS ordinal, data_type FROM information_schema.columns WHERE table_name IN ({_VIEWS}))"
 _FIELDS = ["c_nationkey", "c_custkey", "s_nationkey", "n_nationkey", "n_regionkey", "r_regionkey"]

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import fixed
+from textloom.functions import text as X
 from textloom.functions import vectors as V
+from textloom.operators import embed
 from textloom.operators import search as S
 from textloom.operators.vector_index import VectorIndex
 from textloom.plans.base import query, stored
@@ -139,6 +142,15 @@ def vector_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", V.is_valid("embedding").alias("valid"))
 
 
+@query()
+def svd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as TF-IDF of their most frequent terms, reduced to 32 numbers."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = X.tokens("text", fixed.INDEX_STOPWORDS)
+    vectors = embed.embedded(docs, tokens, embed.fitted(docs, tokens, components=32))
+    return vectors.select("doc_id", F.transform("embedding", lambda x: F.round(x, 3)).alias("embedding"))
+
+
 _HEX = "[('0x' || substr(%s, CAST(i * 2 + 1 AS INTEGER), 2))::INTEGER for i in range(%d)]"
 
 

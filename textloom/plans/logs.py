@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import logs as L
+from textloom.operators.rollup import RollUps
 from textloom.plans.base import query
+from textloom.shared import new_folder
 from textloom.sources.tables import table
 from textloom.streaming import jobs as J
 from textloom.streaming.sessions import rocks_state, session_log
@@ -186,6 +188,36 @@ def ask_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.asked(_events(spark, sf_dir).withColumn("g", _k() / 100.0), "event_type", "g", "value")
 
 
+# --- roll-ups ------------------------------------------------------------------------------------------------------------
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str) -> RollUps:
+    """Days without their clicks first, then each day anew with all its events."""
+    ups = RollUps(spark, new_folder(spark, "rollups"))
+    ups.put(_events(spark, sf_dir).where("event_type <> 'click'"))
+    ups.put(_events(spark, sf_dir))
+    return ups
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def rollup_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks from stored days."""
+    return _rolled_up(spark, sf_dir).weekly().select("week", "kind", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS total FROM events GROUP BY 1)
+ SELECT day, n, round(total, 4) AS total, n - lag(n) OVER (ORDER BY day) AS n_delta, round(total - lag(total) OVER (ORDER BY day), 4) AS total_delta FROM d""")
+def rollup_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day beside the day before, from stored days."""
+    return _rolled_up(spark, sf_dir).deltas().withColumns({c: F.round(c, 4) for c in ("total", "total_delta")})
+
+
+@query()
+def rollup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users and percentiles of each week, from the days' sketches."""
+    return _rolled_up(spark, sf_dir).weekly().select("week", "kind", "n_users", "p50", "p95")
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import chunk as C
+from textloom.operators import code as Code
 from textloom.operators import state as St
 from textloom.plans import chunk_sql
 from textloom.plans.base import query
@@ -206,6 +207,16 @@ def chunk_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sentences")
 
 
+@query("""WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+ SELECT doc_id, 'class' AS kind, 'C' || doc_id AS symbol, 1 AS first_line, CAST(4 * n + 2 AS INTEGER) AS last_line, 0 AS depth FROM d
+ UNION ALL SELECT doc_id, 'function', 'f' || i, CAST(4 * i + 2 AS INTEGER), CAST(4 * i + 5 AS INTEGER), 1 FROM (SELECT doc_id, unnest(range(n)) AS i FROM d)""")
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of sources written from the documents: a class with a function for each line, the line as its comment, and braces in strings."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("function f"), i.cast("string"), F.lit("() {\n  // { "), line, F.lit("\n  var s = '}' + \"{\";\n}\n")))
+    source = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(" {\n"), F.array_join(lines, ""), F.lit("}\n"))
+    return Code.code_blocks(_docs(spark, sf_dir).select("doc_id", source.alias("text")), "javascript")
+
+
 @query()
 def chunk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by the first separator that leaves none too heavy."""

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from textloom.functions import vectors as V
 
 
-#: Query vectors in one broadcast matrix.
-QUERY_BLOCK = 1 << 15
+#: Query vectors in one broadcast matrix, and its bytes.
+QUERY_BLOCK, QUERY_BYTES = 1 << 15, 64 << 20
 
 
 def top(df: DataFrame, by: str, key: str, k: int) -> DataFrame:
@@ -64,15 +64,16 @@ def nearest_per_collection(vectors: DataFrame, query: list[float], weights: dict
 
 def nearest_of_many(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", group: str | None = "label", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score): for each query row its k nearest by cosine, itself left out; with ``group`` those of the same group only. Queries are taken in
-    blocks of at most about ``block`` rows, each broadcast as one matrix; a task keeps the best of its rows for each query, and those are merged."""
+    blocks of at most about ``block`` rows and QUERY_BYTES, each broadcast as one matrix; a task keeps the best of its rows for each query, and those are merged."""
     spark = vectors.sparkSession
     sides = [df.where(V.is_valid(vector)).select(F.col(key).cast("long").alias(key), (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col(vector).cast("array<double>").alias("v")) for df in (queries, vectors)]
     sides = [df.where(F.col(key).isNotNull() & F.col("g").isNotNull()) for df in sides]
-    blocks = max(1, -(-sides[0].count() // block))
+    size = sides[0].agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-size.rows // block), -(-8 * size.numbers // QUERY_BYTES))
     found = None
     for b in range(blocks):
         rows = sides[0].where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [list(r[2]) for r in rows]))
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.array(r[2]) for r in rows]))
         best = sides[1].mapInArrow(partial(_nearest_in_task, held, k, key), f"query_id long, {key} long, score double")
         found = best if found is None else found.unionByName(best)
     return best_per_key(found.withColumn("score", F.round("score", 6)), "query_id", [F.col("score").desc(), F.col(key)], k)

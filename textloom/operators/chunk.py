@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fixed
@@ -165,7 +166,16 @@ def weight(text: str) -> int:
     return len(text.split()) + sum("\u4e00" <= c <= "\u9fff" for c in text)
 
 
-def filled(pieces: Iterator[str], joint: str, budget: int, most: int, finer: Callable[[str], Iterator[str]]) -> Iterator[str]:
+def n_words(text: str) -> int:
+    return len(text.split())
+
+
+def stretches(text: str, size: int) -> Iterator[str]:
+    """A text in stretches of characters, blank ones left out."""
+    return filter(str.strip, (text[i : i + size] for i in range(0, len(text), size)))
+
+
+def filled(pieces: Iterator[str], joint: str, budget: int, most: int, finer: Callable[[str], Iterator[str]], weight: Callable[[str], int] = weight) -> Iterator[str]:
     """Pieces put together up to a budget; one that is heavier than ``most`` by itself is cut by ``finer``."""
     held: list[str] = []
     used = 0
@@ -190,7 +200,7 @@ def separator_cascade(text: str, budget: int = 750, most: int = 1500, separators
     which is also what is left where no separator will do. Each separator is one pass over the text."""
     text = " ".join(text.split())
     stretch = 4 * budget
-    by_characters = lambda t: filter(str.strip, (t[i : i + stretch] for i in range(0, len(t), stretch)))
+    by_characters = partial(stretches, size=stretch)
     sentences = lambda t: filled(filter(None, map(str.strip, re.split("[.!?。！？]", t))), "。", budget, most, by_characters)
     if weight(text) <= budget:
         return iter([text] if text else [])
@@ -203,6 +213,16 @@ def separator_cascade(text: str, budget: int = 750, most: int = 1500, separators
     return by_characters(text)
 
 
+def slide_pieces(text: str, most: int = 800) -> Iterator[str]:
+    """A slide whole if it has at most ``most`` words; else its paragraphs put together up to that, a longer paragraph by its sentences, and a
+    longer sentence by its characters (three for two words of the bound)."""
+    if n_words(text) <= most:
+        return iter([text] if text.strip() else [])
+    by_characters = partial(stretches, size=most * 3 // 2)
+    sentences = lambda t: filled(filter(None, map(str.strip, re.split("[。！？；.!?;]", t))), "。", most, most, by_characters, n_words)
+    return filled(iter(text.split("\n")), "\n", most, most, sentences, n_words)
+
+
 def sentence_windows(text: str, size: int = 1000, overlap: int = 200, least: int = 100) -> Iterator[str]:
     """Windows that end at a sentence where one ends in their second half, each beginning overlap characters back."""
     at = 0
@@ -246,26 +266,54 @@ PACKERS: dict[str, Callable[[str], Iterator]] = {
 }
 
 
-def packed(docs: DataFrame, packer: str) -> DataFrame:
-    """doc_id, chunk_index, heading and chunk by one of the PACKERS; texts are cut one by one, in Arrow batches."""
+def packed(docs: DataFrame, packer: str | Column) -> DataFrame:
+    """doc_id, chunk_index, heading and chunk by one of the PACKERS, or by the one that a column names; texts are cut one by one, in Arrow
+    batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = PACKERS[packer]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, got in enumerate(cut(text or "")):
+            for doc_id, text, cut in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for k, got in enumerate(PACKERS[cut](text or "")):
                     heading, chunk = got if isinstance(got, tuple) else (None, got)
                     out.append((doc_id, k, heading, chunk))
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["doc_id", "chunk_index", "heading", "chunk"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNK)
+    name = F.lit(packer) if isinstance(packer, str) else packer
+    return docs.select(F.col("doc_id").cast("long"), "text", name.alias("packer")).mapInArrow(run, CHUNK)
 
 
-def routed(docs: DataFrame, name: str = "path") -> DataFrame:
-    """Documents with the packer that their extension asks for."""
+def packer_of(name: str = "path") -> Column:
+    """The packer that a file's extension asks for."""
     from textloom.functions.text import extension
 
     ext = extension(name)
-    return docs.withColumn("packer", F.when(ext == ".md", "markdown").when(ext == ".sql", "sql").when(ext.isin(".docx", ".txt"), "paragraphs").otherwise("force"))
+    return F.when(ext == ".md", "markdown").when(ext == ".sql", "sql").when(ext.isin(".docx", ".txt"), "paragraphs").otherwise("force")
+
+
+def routed(docs: DataFrame, name: str = "path") -> DataFrame:
+    """Documents with the packer that their extension asks for."""
+    return docs.withColumn("packer", packer_of(name))
+
+
+def routed_chunks(docs: DataFrame, name: str = "path", marked: str = "cursor") -> DataFrame:
+    """Chunks of documents, each by its own packer, in one pass; type is ``marked`` for files whose names begin with it and an underscore, else
+    narrative. docs has one row a doc_id."""
+    from textloom.functions.text import basename
+
+    types = docs.select(F.col("doc_id").cast("long"), F.when(basename(name).startswith(marked + "_"), marked).otherwise("narrative").alias("type"))
+    return packed(docs, packer_of(name)).join(types, "doc_id")
+
+
+def slide_chunks(slides: DataFrame, most: int = 800) -> DataFrame:
+    """Slides (deck, slide, title, has_notes, text) in chunks: deck, slide, title, has_notes, chunk_index, chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(slide_pieces(t or "", most)) for t in batch.column(4).to_pylist()]
+            rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            places, chunks = pa.array([k for x in found for k in range(len(x))], pa.int32()), pa.array([c for x in found for c in x], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(4)), places, chunks], names=["deck", "slide", "title", "has_notes", "chunk_index", "chunk"])
+
+    return slides.select(F.col("deck").cast("long"), F.col("slide").cast("int"), "title", "has_notes", "text").mapInArrow(run, "deck long, slide int, title string, has_notes boolean, chunk_index int, chunk string")

@@ -98,10 +98,6 @@ def trailing_count(events: DataFrame, client: str, ts: str, name: str, seconds:
     return shared.withColumn(name, F.count("*").over(w)).where("__later = 0").select(*events.columns, name)
 
 
-def running_mean(value: str, key: str, order: list[str]) -> Column:
-    return F.avg(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
 def daily_delta(df: DataFrame, ts: str, value: Column, name: str) -> DataFrame:
     """A value for each day, and its difference to the day before."""
     days = df.groupBy(F.to_date(ts).alias("day")).agg(value.alias(name))

@@ -9,9 +9,14 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.running import running_sums
+
+#: Row numbers of a sheet that one task counts together.
+STRETCH = 1 << 14
+
 SYMBOL = "doc_id long, symbol string, kind string, first_line int, last_line int, description string"
 
 #: Symbol patterns by language: (kind, pattern with the name in its first group); the first that matches a line counts.
@@ -85,12 +90,14 @@ def python_symbols(files: DataFrame) -> DataFrame:
 def row_blocks(rows: DataFrame, headers: list[str], sheet: str = "sheet", order: str = "row", block: int = 50, primary: tuple[str, ...] = ("id", "编号", "name", "名称"), drop_first: bool = True) -> DataFrame:
     """Rows of a sheet in blocks as texts: each row says its number and its filled cells; with the rows' bounds and the first value
     of the primary column, the first header that holds one of the ``primary`` pieces. Empty rows are dropped before blocks are
-    counted, or after where ``drop_first`` is false."""
+    counted, or after where ``drop_first`` is false. Row numbers are unique in a sheet; its rows are counted by stretches of them, so that
+    no task sorts a sheet."""
     filled = [F.when(F.coalesce(F.col(h).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{h}="), F.col(h).cast("string"))) for h in headers]
     cells = F.array_compact(F.array(*filled))
     said = rows.withColumn("__cells", cells)
-    said = said.where(F.size("__cells") > 0) if drop_first else said
-    place = F.row_number().over(Window.partitionBy(sheet).orderBy(order)) - 1 if drop_first else F.col(order)
+    if drop_first:
+        said = running_sums(said.where(F.size("__cells") > 0), sheet, [order], F.floor(F.col(order) / STRETCH), {"__place": F.lit(1)})
+    place = F.col("__place") - 1 if drop_first else F.col(order)
     text = F.concat(F.lit("row "), F.col(order).cast("string"), F.lit(": "), F.array_join("__cells", ", "))
     key = next((h for h in headers if any(p.lower() in h.lower() for p in primary)), None)
     numbered = said.withColumns({"block": F.floor(place / block).cast("int"), "__text": text, "__key": F.col(key).cast("string") if key else F.lit(None).cast("string")})
@@ -100,6 +107,23 @@ def row_blocks(rows: DataFrame, headers: list[str], sheet: str = "sheet", order:
     return told.select(sheet, "block", F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("chunk"), "first_row", "last_row", "primary_value")
 
 
+# What stands before a slide's title and its notes.
+TITLE_MARK, NOTES_MARK = "标题: ", "备注: "
+
+
+def slides(shapes: DataFrame, marks: tuple[str, str] = (TITLE_MARK, NOTES_MARK)) -> DataFrame:
+    """(deck, slide, title, has_notes, text) from a deck's shapes (deck, slide, shape, kind, text): the title, then text and tables in their order, then
+    notes, each trimmed, a line each. Blank shapes are left out, slides without any too; of several titles the first counts. A slide is
+    gathered by itself, never a deck."""
+    said = shapes.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.col("text") != "")
+    place = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "notes", 2).otherwise(1)
+    mark = F.when(F.col("kind") == "title", marks[0]).when(F.col("kind") == "notes", marks[1]).otherwise("")
+    lines = F.array_sort(F.collect_list(F.struct(place.alias("place"), "shape", F.concat(mark, "text").alias("line"))))
+    title = F.min_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("shape")))
+    told = said.groupBy("deck", "slide").agg(title.alias("title"), F.bool_or(F.col("kind") == "notes").alias("has_notes"), lines.alias("x"))
+    return told.select("deck", "slide", "title", "has_notes", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
+
+
 def plain_tables(text: Column | str) -> Column:
     """Markdown tables without their separator rows, cells parted by blanks."""
     t = F.col(text) if isinstance(text, str) else text

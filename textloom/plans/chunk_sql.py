@@ -56,3 +56,34 @@ SENTENCES = rf"""WITH RECURSIVE a AS (SELECT doc_id, string_split(regexp_replace
 
 STATEMENTS = rf"""WITH a AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?:[^;''"`]|''[^'']*(?:''|$)|"[^"]*(?:"|$)|`[^`]*(?:`|$))+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS a FROM documents)
  SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS chunk_index, {_NONE}, unnest(a) AS chunk FROM a"""
+
+
+def _of(sql: str, where: str) -> str:
+    return sql.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {where})")
+
+
+#: Files whose extensions and names go by their number.
+ROUTED = f"""WITH c AS (SELECT * FROM ({_of(MARKDOWN, 'doc_id % 4 = 0')}) UNION ALL SELECT * FROM ({_of(STATEMENTS, 'doc_id % 4 = 1')})
+ UNION ALL SELECT * FROM ({_of(PARAGRAPHS, 'doc_id % 4 = 2')}) UNION ALL SELECT * FROM ({_of(FORCE, 'doc_id % 4 = 3')}))
+ SELECT doc_id, chunk_index, heading, md5(chunk) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'cursor' ELSE 'narrative' END AS type FROM c"""
+
+_WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
+
+#: Documents as decks, five lines a slide: title, three shapes, notes; slides of more than 40 words are cut.
+SLIDES = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+ c AS (SELECT doc_id, pos // 5 AS slide, pos % 5 AS shape, {_STRIP.format('line')} AS t FROM l),
+ d AS (SELECT doc_id, slide, max(t) FILTER (WHERE shape = 0) AS title, bool_or(shape = 4) AS has_notes, string_agg(CASE shape WHEN 0 THEN '标题: ' WHEN 4 THEN '备注: ' ELSE '' END || t, chr(10) ORDER BY shape) AS text FROM c WHERE t <> '' GROUP BY doc_id, slide),
+ a AS (SELECT doc_id, slide, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d WHERE {_WORDS.format('text')} > 40),
+ b AS (SELECT *, {_WORDS.format('part')} AS n FROM a),
+ e AS (SELECT doc_id, slide, k, 0 AS j, 0 AS mode, part AS piece FROM b WHERE n <= 40
+  UNION ALL SELECT doc_id, slide, k, generate_subscripts(string_split_regex(part, '[。！？；.!?;]'), 1), k, {_STRIP.format("unnest(string_split_regex(part, '[。！？；.!?;]'))")} FROM b WHERE n > 40),
+ p AS MATERIALIZED (SELECT doc_id, slide, mode, piece, {_WORDS.format('piece')} AS n, row_number() OVER (PARTITION BY doc_id, slide ORDER BY k, j) AS i FROM e WHERE piece <> ''),
+ s AS (SELECT doc_id, slide, i, 0 AS g, n AS used, mode FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.slide, p.i, CASE WHEN p.mode <> s.mode OR s.used + p.n > 40 THEN g + 1 ELSE g END, CASE WHEN p.mode <> s.mode OR s.used + p.n > 40 THEN p.n ELSE s.used + p.n END, p.mode
+  FROM s JOIN p ON p.doc_id = s.doc_id AND p.slide = s.slide AND p.i = s.i + 1),
+ f AS (SELECT doc_id, slide, g, CASE WHEN mode = 0 THEN string_agg(piece, chr(10) ORDER BY i) ELSE string_agg(piece, '。' ORDER BY i) END AS t, max(n) > 40 AS heavy FROM s JOIN p USING (doc_id, slide, i, mode) GROUP BY doc_id, slide, g, mode),
+ h AS (SELECT doc_id, slide, g, 0 AS place, t AS chunk FROM f WHERE NOT heavy
+  UNION ALL SELECT doc_id, slide, g, place, substr(t, place + 1, 60) FROM (SELECT *, unnest(range(0, length(t), 60)) AS place FROM f WHERE heavy)
+  UNION ALL SELECT doc_id, slide, 0, 0, text FROM d WHERE {_WORDS.format('text')} <= 40)
+ SELECT doc_id AS deck, CAST(slide AS INTEGER) AS slide, title, has_notes, CAST(row_number() OVER (PARTITION BY doc_id, slide ORDER BY g, place) - 1 AS INTEGER) AS chunk_index, md5(chunk) AS digest
+ FROM h JOIN d USING (doc_id, slide) WHERE regexp_matches(chunk, '\S')"""

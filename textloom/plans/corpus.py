@@ -9,6 +9,7 @@ from textloom.functions import fixed
 from textloom.functions import text as X
 from textloom.operators import chunk as C
 from textloom.operators import code as Code
+from textloom.operators import parsers as P
 from textloom.operators import state as St
 from textloom.plans import chunk_sql
 from textloom.plans.base import query
@@ -228,6 +229,24 @@ def chunk_sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.packed(_docs(spark, sf_dir), "sql")
 
 
+@query(chunk_sql.ROUTED)
+def chunk_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the packer of its extension."""
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".sql", ".txt", ".log"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/files/"), F.when(F.col("doc_id") % 3 == 0, "cursor_").otherwise("note_"), F.col("doc_id").cast("string"), ext)
+    chunks = C.routed_chunks(_docs(spark, sf_dir).withColumn("path", path))
+    return chunks.select("doc_id", "chunk_index", "heading", F.md5("chunk").alias("digest"), "type")
+
+
+@query(chunk_sql.SLIDES)
+def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as decks of slides, five lines each: a title, three shapes, notes."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    kind = F.when(F.col("pos") % 5 == 0, "title").when(F.col("pos") % 5 == 4, "notes").otherwise("text")
+    shapes = lines.select(F.col("doc_id").alias("deck"), F.floor(F.col("pos") / 5).cast("int").alias("slide"), (F.col("pos") % 5).alias("shape"), kind.alias("kind"), "text")
+    return C.slide_chunks(P.slides(shapes), 40).select("deck", "slide", "title", "has_notes", "chunk_index", F.md5("chunk").alias("digest"))
+
+
 # --- duplicates ------------------------------------------------------------------------------------------------------------
 
 

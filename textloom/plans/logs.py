@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import logs as L
+from textloom.operators import reports as R
 from textloom.operators.rollup import RollUps
+from textloom.operators.running import running_mean
 from textloom.plans.base import query
 from textloom.shared import new_folder
 from textloom.sources.tables import table
@@ -154,7 +156,8 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS mean FROM events")
 def running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", F.round(L.running_mean("value", "user_id", ["ts", "event_id"]), 10).alias("mean"))
+    events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+    return running_mean(events, "value", "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")).select("event_id", F.round("mean", 10).alias("mean"))
 
 
 @query(r"""WITH r AS (SELECT user_id, 'mode=' || event_type || ' success: ' || event_id || ' RSS ' || CAST(floor(value) AS BIGINT) || ' MB RSS ' || CAST(floor(value) * 2 AS BIGINT) || ' MB' AS text FROM events)
@@ -218,6 +221,29 @@ def rollup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled_up(spark, sf_dir).weekly().select("week", "kind", "n_users", "p50", "p95")
 
 
+# --- reports ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*)::DOUBLE AS events, count(*) FILTER (WHERE event_type = 'error')::DOUBLE AS errors, count(DISTINCT user_id)::DOUBLE AS users, max(value) AS slowest FROM events GROUP BY 1),
+ k AS (UNPIVOT d ON events, errors, users, slowest INTO NAME key VALUE value)
+ SELECT k.day, k.key, k.value, b.value AS before, round(k.value - b.value, 4) AS delta FROM k LEFT JOIN k b ON b.key = k.key AND b.day = k.day - INTERVAL 1 DAY""")
+def report_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily reports written as files, read again, each day's figures beside the day before."""
+    days = _events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"), F.max("value").alias("slowest")
+    )
+    folder = new_folder(spark, "reports")
+    R.put(days.select("day", R.rendered(F.col("day").cast("string"), {c: F.col(c) for c in ("events", "errors", "users", "slowest")}).alias("text")), folder)
+    return R.beside_day_before(R.read(spark, folder)).withColumn("delta", F.round("delta", 4))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type AS kind, event_type || '_' || strftime(max(ts), '%Y%m%d_%H%M%S') || '.log' AS name FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
+def latest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's last log of each kind, by the names of logs begun at every event."""
+    name = F.concat("event_type", F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".log"))
+    return R.latest_logs(_events(spark, sf_dir).select(name.alias("name")), ["click", "error", "purchase", "signup"])
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------------
 
 

@@ -60,6 +60,34 @@ def test_chains_keep_colliding_bodies_apart():
     assert sorted(zip(out.column("rep").to_pylist(), out.column("keep_id").to_pylist(), out.column("group_size").to_pylist())) == [(1, 3, 5), (2, 2, 2), (3, 3, 5)]
 
 
+def test_a_hot_text_is_merged_in_parts(spark, tmp_path, monkeypatch):
+    """A text in a third of the rows, in many batches: no task reads more than about capacity of its bodies, and results are the same."""
+    rows = [(i, "hot text" if i % 3 == 0 else f"cold {i % 50}", "x") for i in range(1200)]
+    docs = table(spark, tmp_path, rows)
+    seen = []
+    real = exact_dedup.written
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "dedup-leads":
+            seen.extend(out.groupBy("lead").count().collect())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = exact_dedup.exact_dedup(docs, 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for doc_id, text, _ in rows:
+        groups.setdefault(text, []).append((-len(text), doc_id))
+    best = {hashlib.sha256(key(t).encode()).hexdigest(): (min(g)[1], len(g)) for t, g in groups.items()}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: best[hashlib.sha256(key(t).encode()).hexdigest()] for i, t, _ in rows}
+    assert sum(r.kept for r in got) == len(groups) and len(got) == len(rows)
+    assert len(seen) > 5 and max(r["count"] for r in seen) <= 64  # some 300 bodies in about 19 parts
+
+
 def test_empty_tables(spark, tmp_path):
     docs = table(spark, tmp_path, [])
     assert exact_dedup.exact_dedup(docs).count() == 0

@@ -8,6 +8,9 @@ Texts are equal when their UTF-8 bytes agree after every character of [\\x20\\x0
 * ``directory``: the bodies' 64-bit hashes are counted by their leading bits. A bucket that holds more than
   ``capacity`` bodies is split by one more bit, doubling the directory where that is needed, until it fits or the last
   depth is reached. The directory is a table of slots and is written beside the entries.
+* ``leads``: a bucket that stays overfull at the last depth holds a hash of very many bodies: one text that comes in most batches. Its
+  bodies are dealt to as many parts as it overflows, each of which compares bytes and sends on one body for each distinct text (its lead)
+  with their counts and best row, so no task reads a hot text more than about ``capacity`` times.
 * ``chains``: owner tasks each take whole buckets, sorted by hash, and walk them with the chain of one hash in memory:
   bodies of one hash are compared byte by byte, so that colliding texts stay apart.
 
@@ -20,6 +23,7 @@ name that no column has, and only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +44,7 @@ BROADCAST_SLOTS = 1 << 16
 BROADCAST_ROWS = 1 << 20
 
 ENTRY = "uid long, doc_id long, text_sha256 string, rep long, h long, body binary, n long, best_chars long, best_id long, best_uid long"
+LEAD = "bucket long, h long, body binary, rep long, n long, best_chars long, best_id long, best_uid long, lead long"
 CHAIN = "rep long, bucket long, keep_id long, keep_uid long, group_size long"
 
 
@@ -79,7 +84,8 @@ def build_entries(docs: DataFrame, uid: Column | None = None) -> DataFrame:
 
 
 def build_directory(bodies: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int, int]:
-    """Slots of the directory (slot, depth, bucket), its global depth, and the number of buckets' owners it asks for."""
+    """Slots of the directory (slot, depth, bucket, parts), its global depth, and the number of buckets' owners it asks for. parts is above 1
+    for buckets that are overfull at the last depth."""
     total = bodies.count()
     even = max(0, math.ceil(math.log2(max(1, total) / capacity)))
     depth = even + EXTRA_DEPTH
@@ -92,45 +98,63 @@ def build_directory(bodies: DataFrame, capacity: int = CAPACITY) -> tuple[DataFr
         chosen = F.when(F.col(f"n{d}") <= capacity, F.lit(d)).otherwise(chosen)
     slots = slots.withColumn("depth", chosen)
     bucket = F.expr(f"(cast(depth as bigint) << 56) | (slot >> ({depth} - depth))")
-    return written(slots.select("slot", "depth", bucket.alias("bucket")), "dedup-directory"), depth, max(1, 1 << even)
+    parts = F.when(F.col("depth") == depth, F.ceil(F.col("count") / capacity)).otherwise(1).cast("long")
+    return written(slots.select("slot", "depth", bucket.alias("bucket"), parts.alias("parts")), "dedup-directory"), depth, max(1, 1 << even)
 
 
 def _slot(h, depth: int):
     return F.shiftrightunsigned(h, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, h): the chain of one hash is compared at a time."""
-    names = [c.split()[0] for c in CHAIN.split(", ")]
-    out: list[list] = [[] for _ in names]
+def _closed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (bucket, h, body, rep, n, chars, id, uid) come sorted by bucket and hash; the chain of one hash is in memory. Of each distinct body:
+    (bucket, h, body, reps, n, best)."""
     at, chain = None, {}
+    for bucket, h, body, rep, n, *best in rows:
+        if (bucket, h) != at:
+            yield from ((*at, k, *link) for k, link in chain.items())
+            at, chain = (bucket, h), {}
+        link = chain.get(body)  # compares the bytes of bodies whose hashes collide
+        if link is None:
+            chain[body] = [[rep], n, tuple(best)]
+        else:
+            link[0].append(rep)
+            link[1] += n
+            link[2] = _better(link[2], tuple(best))
+    yield from ((*at, k, *link) for k, link in chain.items())
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(8)))
 
-    def close() -> None:
-        for reps, count, best in chain.values():
-            for rep in reps:
-                for column, v in zip(out, (rep, at[0], best[1], best[2], count)):
-                    column.append(v)
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            bucket, h, body, rep, n, *best = row
-            if (bucket, h) != at:
-                if at is not None:
-                    close()
-                at, chain = (bucket, h), {}
-            link = chain.get(body)  # compares the bytes of bodies whose hashes collide
-            if link is None:
-                chain[body] = [[rep], n, tuple(best)]
-            else:
-                link[0].append(rep)
-                link[1] += n
-                link[2] = _better(link[2], tuple(best))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
-            out = [[] for _ in names]
-    if at is not None:
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+def _batches(rows: Iterator[tuple], columns: str, size: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.binary() if c.endswith("binary") else pa.int64() for c in columns.split(", ")]
+    while some := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), kinds)], names=names)
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each rep: its lead; the lead's own row has the body, the sum of counts and the best row."""
+
+    def run() -> Iterator[tuple]:
+        for bucket, h, body, reps, n, best in _closed(_rows(batches)):
+            yield bucket, h, body, reps[0], n, *best, reps[0]
+            yield from ((bucket, h, None, rep, None, None, None, None, reps[0]) for rep in reps[1:])
+
+    yield from _batches(run(), LEAD, 1024)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each rep: its bucket, and its text's row that stays and number of rows."""
+
+    def run() -> Iterator[tuple]:
+        for bucket, _, _, reps, n, (_, keep_id, keep_uid) in _closed(_rows(batches)):
+            yield from ((rep, bucket, keep_id, keep_uid, n) for rep in reps)
+
+    yield from _batches(run(), CHAIN, 1 << 14)
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +164,20 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None =
     directory, depth, owners = build_directory(bodies, capacity)
     if (1 << depth) <= BROADCAST_SLOTS:
         directory = F.broadcast(directory)
-    dealt = bodies.withColumn("slot", _slot(F.col("h"), depth)).join(directory, "slot")
-    parts = max(owners, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    owned = dealt.select("bucket", "h", "body", "rep", "n", "best_chars", "best_id", "best_uid").repartition(parts, "bucket").sortWithinPartitions("bucket", "h")
-    return entries, owned.mapInArrow(_chains, CHAIN)
+    crowded = directory.agg(F.max("parts")).first()[0] or 1
+    if (1 << depth) <= BROADCAST_SLOTS:
+        directory = F.broadcast(directory)
+    columns = ["bucket", "h", "body", "rep", "n", "best_chars", "best_id", "best_uid"]
+    dealt = bodies.withColumn("slot", _slot(F.col("h"), depth)).join(directory, "slot").select(*columns, "parts")
+    tasks = max(owners, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    owned = lambda df: df.select(*columns).repartition(tasks, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(_chains, CHAIN)
+    if crowded == 1:
+        return entries, owned(dealt)
+    hot = dealt.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).repartition(tasks, "bucket", "part")
+    leads = written(hot.sortWithinPartitions("part", "bucket", "h").select(*columns).mapInArrow(_leads, LEAD), "dedup-leads")
+    chains = written(owned(dealt.where("parts = 1").unionByName(leads.where("rep = lead").select(*columns, F.lit(1).cast("long").alias("parts")))), "dedup-chains")
+    followers = leads.where("rep <> lead").select(F.col("rep").alias("follower"), "lead").join(chains, F.col("lead") == F.col("rep"))
+    return entries, chains.unionByName(followers.select(F.col("follower").alias("rep"), "bucket", "keep_id", "keep_uid", "group_size"))
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, uid: Column | None = None) -> DataFrame:

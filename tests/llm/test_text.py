@@ -68,6 +68,12 @@ def test_best_multiset():
         assert all(n <= counts[length] for length, n in used.items())
 
 
+@pytest.mark.parametrize("ids", [[], [0], [1, 65535, 0], [65536], [7, 200000, 3]])
+def test_ids_of_any_vocabulary_keep_their_size(ids):
+    held = packing._narrow(np.array(ids, "<u4").tobytes())
+    assert packing._wide(held, len(ids)).tolist() == ids and len(held) == (4 if max(ids, default=0) > 65535 else 2) * len(ids)
+
+
 def test_packing(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

@@ -80,6 +80,17 @@ def _ids(path: str) -> _Ids:
     return _Ids(path)
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Ids in two bytes each where all fit, else in four."""
+    wide = np.frombuffer(ids, "<u4")
+    return ids if len(wide) and wide.max() > 0xFFFF else wide.astype("<u2").tobytes()
+
+
+def _wide(ids: bytes, n: int) -> np.ndarray:
+    """The n ids that _narrow wrote."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Of each document: its number of tokens, CRCs of its whole windows, and the rest."""
     end = END_ID.to_bytes(4, "little")
@@ -94,7 +105,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 rest = ids[4 * window * whole :]
                 left = len(rest) // 4
                 crcs = [zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)]
-                out.append((part, doc_id, len(ids) // 4, crcs, windows, left, int(places[left]), np.frombuffer(rest, "<u4").astype("<u2").tobytes() if len(rest) else b""))
+                out.append((part, doc_id, len(ids) // 4, crcs, windows, left, int(places[left]), _narrow(rest)))
                 places[left] += 1
                 windows += whole
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -182,7 +193,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 if not rest:
                     continue
                 length, rank0, sequence, n, offset, position = ranges[bisect_right(starts, (rest, rank)) - 1]
-                ids, begin = np.frombuffer(rest_ids, "<u2").astype("<u4"), len(crcs) * window
+                ids, begin = _wide(rest_ids, rest), len(crcs) * window
                 if position < 0:
                     k = rank - rank0
                     spans = [(0, rest, sequence + k // n, offset + k % n * length)]

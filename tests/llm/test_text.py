@@ -232,6 +232,24 @@ def test_copies_are_no_evidence(spark, tmp_path):
     assert not any("term" in r.spans or "cut" in r.spans for r in pii.find(written(spark, tmp_path, texts)).collect())
 
 
+def test_terms_anywhere_in_a_text_with_the_entity(spark, tmp_path):
+    """Far before, far behind, where 60 characters end, and longer than that; not in texts without the entity."""
+    letters, long = "abcdefgh", "Llanfair" * 12
+    far = [" ".join(f"{a}{b}" for b in "abcdefghijklmnopqrstuvwxyz" * 40) for a in letters]
+    edge = lambda a: "Zanzibarian " + a * 3 + " xy" * 15 + " "
+    texts = [f"Quixotania {far[i]} {edge(a)}johann@mail.example.com {far[i]} {long} {far[i]} BARATARIA" for i, a in enumerate(letters)]
+    assert texts[0].index("johann") - texts[0].index("Zanzibarian") == 61 and min(map(len, texts)) > 9000
+    texts += ["quixotania, barataria and Zanzibarian alone"] + ["nothing here at all"] * 90
+    docs = written(spark, tmp_path, texts)
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(docs).collect()}
+    for i in range(len(letters)):
+        places = [(texts[i].index(t), len(t), k) for t, k in (("Quixotania", "term"), ("Zanzibarian", "term"), (long, "cut"), ("BARATARIA", "term"))]
+        assert {f"{k}:{a}:{a + n}" for a, n, k in places} == {s for s in got[i] if not s.startswith("email")}
+    assert all(got[i] == [""] for i in range(len(letters), len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0].startswith("[TERM] aa") and clean[0].endswith("az [TERM]") and "Llan" not in clean[0] and clean[8] == texts[8]
+
+
 def test_a_text_with_20000_addresses(spark, tmp_path):
     text = " ".join(f"person{i} Thornbury p{i}@example{i % 7}.org, tel +1 555 {1000000 + i}" for i in range(20_000))
     docs = written(spark, tmp_path, [text, "short a@b.c", "x"])

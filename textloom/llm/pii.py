@@ -7,16 +7,18 @@ their first characters starts (or where the last match ended) and hold on to wha
 in one pass over texts of any length.
 
 Disclosing terms follow information-theoretic sanitisation. Every value found is an entity e. A term t (``TERM``: a word of
-letters) beside it, within ``REACH`` characters, discloses it as far as seeing t tells of e: their pointwise mutual
-information PMI(t; e) = log2 p(t, e) / (p(t) p(e)), with probabilities as shares of all documents: those that hold e with t
-beside it, those that hold t anywhere, those that hold e. The share of e's own information content -log2 p(e) that t tells is held
-against two thresholds: from ``alpha`` on t is generalised wherever it stands beside e (a span of kind ``term``), from ``beta`` on
-it is removed there (kind ``cut``), as it tells all there is to know. Evidence must come from at least ``support`` different
-surroundings of e: documents that are copies of one another, or nearly so, repeat one surrounding and count once.
-
-Only documents with entities are looked at for contexts, which are cut from blocks of ``BLOCK`` characters, so that the work grows
-with the text and not with spans times text. Counts of terms run over all documents; up to a checked number of candidate terms
-they are broadcast, beyond it all terms are counted and then joined.
+letters, in no e-mail address) discloses it as far as seeing t tells of e, wherever in the document both stand: their pointwise mutual
+information PMI(t; e) = log2 p(t, e) / (p(t) p(e)), with probabilities as shares of all documents: those that hold both, those that hold t
+anywhere, those that hold e. The share of e's own information content -log2 p(e) that t tells is held
+against two thresholds: from ``alpha`` on t is generalised wherever it stands in a document with e (a span of kind ``term``), from ``beta``
+on it is removed there (kind ``cut``), as it tells all there is to know. Evidence must come from at least ``support`` different
+surroundings of e, ``SURROUNDINGS`` characters to each side, in documents that hold t: documents that are copies of one another, or nearly
+so, repeat one surrounding and count once. Surroundings only tell copies apart; terms are taken from the whole text.
+
+Only documents with entities are looked at for terms. Entities without evidence go first, then terms that are in too many documents for
+every entity they meet; terms that stand in the same documents are one class, as they tell the same. So a text's entities meet its classes
+and not each of its words. Counts of terms run over all documents; up to a checked number of candidate terms they are broadcast, beyond it
+all terms are counted and then joined.
 
 Defined cases: null text counts as empty and gives no spans; null doc_ids and repeated rows are rows of their own; an empty
 table gives no rows; very long texts, and texts with very many spans, are read whole in one pass; other columns, of any names, pass
@@ -39,13 +41,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9]"}
+HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9][\x20().0-9-]*[0-9]"}
 TERM = r"\p{L}{4,}"
-REACH = 60
+#: How far from an entity terms are looked for: over the whole text, as no text is longer.
+REACH = (1 << 31) - 1
+#: Characters to each side of an entity that tell whether documents repeat one another.
+SURROUNDINGS = 60
 ALPHA, BETA = 0.9, 1.0
 SUPPORT = 2
 BLOCK = 256
-#: Candidate terms, and rows with spans, that are broadcast; more are joined by shuffle.
+#: Candidate terms or entities, and rows with spans, that are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 1 << 18
 BROADCAST_ROWS = 1 << 15
 
@@ -105,59 +110,73 @@ def _between(blocks: Column, start: Column, stop: Column) -> Column:
     return F.substring(F.array_join(some, ""), start % BLOCK + 1, stop - start)
 
 
-def beside(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, value, term, start, stop, around): whole terms within REACH of an entity and in no e-mail address (other base spans have no
-    letters), and a digest of the entity's surroundings."""
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def beside(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, text): the whole texts with entities, e-mail addresses (other base spans have no letters) as blanks; and (row, value, around): the
+    entities, with digests of their surroundings."""
     here = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "value")).alias("spans"))
     # addresses become blanks, as many as they have characters
     blank = F.transform(_pieces(F.col("text"), PATTERNS["email"]), lambda p: F.concat(p["before"], F.regexp_replace(F.coalesce(p["match"], F.lit("")), "(?s).", " ")))
-    masked = rows.join(here, "row").select("row", "spans", F.length("text").alias("size"), F.array_join(blank, "").alias("text"))
-    around = masked.select("row", "spans", "size", _blocks(F.col("text")).alias("blocks")).select("row", "size", "blocks", F.explode("spans").alias("x"))
-    begin, end = F.greatest(F.lit(0), F.col("x.start") - REACH), F.least(F.col("size"), F.col("x.stop") + REACH)
-    around = around.select("row", "size", F.col("x.value").alias("value"), F.col("x.start").alias("of"), begin.alias("begin"), _between(F.col("blocks"), begin, end).alias("near"))
-    found = around.select("row", "value", "of", "begin", F.length("near").alias("width"), "size", F.xxhash64("near").alias("around"), F.posexplode(_pieces(F.col("near"), TERM)).alias("at", "piece"))
-    keys = ["row", "value", "of"]
-    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = found.select(*keys, "begin", "width", "size", "around", "at", F.length("piece.before").alias("gap"), "piece.match")
-    stop = F.sum(F.col("gap") + F.length(F.coalesce("match", F.lit("")))).over(upto)
-    placed = sized.withColumn("to", stop.cast("int")).where("match is not null").withColumn("from", F.col("to") - F.length("match"))
-    cut_off = ((F.col("from") == 0) & (F.col("begin") > 0)) | ((F.col("to") == F.col("width")) & (F.col("begin") + F.col("width") < F.col("size")))
-    start, end = F.col("begin") + F.col("from"), F.col("begin") + F.col("to")
-    return placed.where(~cut_off).select("row", "value", F.lower("match").alias("term"), start.alias("start"), end.alias("stop"), "around")
+    hinted = rows.where(F.col("text").rlike("|".join(HINTS.values())))
+    texts = written(hinted.join(here, "row").select("row", "spans", F.array_join(blank, "").alias("text")), "pii-texts")
+    cut = texts.select("row", "spans", F.length("text").alias("size"), _blocks(F.col("text")).alias("blocks")).select("row", "size", "blocks", F.explode("spans").alias("x"))
+    begin, end = F.greatest(F.lit(0), F.col("x.start") - SURROUNDINGS), F.least(F.col("size"), F.col("x.stop") + SURROUNDINGS)
+    around = cut.select("row", F.col("x.value").alias("value"), F.xxhash64(_between(F.col("blocks"), begin, end)).alias("around"))
+    return texts.select("row", "text"), written(around.distinct(), "pii-places")
 
 
-def disclosing(rows: DataFrame, spans: DataFrame, near: DataFrame, alpha: float = ALPHA, beta: float = BETA, support: int = SUPPORT) -> DataFrame:
-    """(value, term, kind): the terms that disclose an entity, to be generalised or removed."""
+def disclosing(rows: DataFrame, texts: DataFrame, places: DataFrame, alpha: float = ALPHA, beta: float = BETA, support: int = SUPPORT) -> DataFrame:
+    """(row, term, kind): the terms of each text that disclose an entity of it, to be generalised or removed."""
     total = rows.count()
-    entities = spans.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
-    places = near.select("row", "value", "term", "around").distinct()
-    seen = places.groupBy("value", "term", "around").agg(F.count_distinct("row").alias("rows"))
-    enough = seen.groupBy("value", "term").count().where(F.col("count") >= support).select("value", "term")
-    told = lambda n_t: F.log2(F.lit(float(total)) * F.col("n_te") / (F.col(n_t) * F.col("n_e")))
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pairs = places.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_te")).join(enough, ["value", "term"])
-    # a term is in no fewer documents than those where it stands beside any entity: what tells too little even so needs no count over all documents
-    beside_any = places.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
-    pairs = pairs.join(entities, "value").join(beside_any, "term").where(told("n_least") >= alpha * content - 1e-9).drop("n_least")
-    pairs = written(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
-    held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        counts = held.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    known = told("n_t")
-    kind = F.when(known >= beta * content - 1e-9, "cut").otherwise("term").alias("kind")
-    return pairs.join(counts, "term").where((known >= alpha * content) & (known > 0)).select("value", "term", kind)
+    told = lambda n_te, n_t, n_e: F.log2(F.lit(float(total)) * n_te / (F.col(n_t) * F.col(n_e)))
+    content = lambda n_e: F.log2(F.lit(float(total)) / F.col(n_e))
+    # a term and an entity share no more documents than the rarer has; of a text's entities the most frequent leaves most room
+    may = lambda n_t, n_e: told(F.least(n_t, n_e), n_t, n_e) >= alpha * content(n_e) - 1e-9
+    entities = places.groupBy("value").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("around").alias("seen")).where(F.col("seen") >= support)
+    entities = places.join(_few(written(entities.select("value", "n_e"), "pii-entities")), "value")
+    room = entities.groupBy("row").agg(F.max("n_e").alias("room"))
+    # a term is in no fewer documents than those with entities that hold it: one that tells too little even so needs no count over all documents
+    held = texts.join(room, "row").select("row", "room", F.explode(_terms(F.col("text"))).alias("term"))
+    # terms of the same documents have the same digests
+    digests = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"in{k}") for k in range(2)]
+    terms = held.groupBy("term").agg(F.count("*").alias("n_least"), F.max("room").alias("room"), *digests).where(may("n_least", "room"))
+    terms = written(terms, "pii-candidates")
+    named = terms.select("term")
+    anywhere = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if named.count() <= BROADCAST_TERMS:
+        anywhere = anywhere.join(F.broadcast(named), "term", "left_semi")
+    counts = anywhere.groupBy("term").agg(F.count("*").alias("n_any"))
+    # a word that an address touches is part of a longer one in the whole text
+    terms = terms.join(counts, "term", "left").withColumn("n_t", F.greatest("n_least", F.coalesce("n_any", F.lit(0)))).where(may("n_t", "room"))
+    terms = _few(written(terms.select("term", "n_t", "in0", "in1"), "pii-counts"))
+    same = ["n_t", "in0", "in1"]
+    held = held.select("row", "room", "term").join(terms, "term").where(may("n_t", "room")).select("row", "term", *same)
+    held = written(held, "pii-held")
+    meet = entities.join(held.select("row", *same).distinct(), "row").where(may("n_t", "n_e"))
+    pairs = meet.groupBy("value", "n_e", *same).agg(F.count_distinct("row").alias("n_te"), F.count_distinct("around").alias("seen")).where(F.col("seen") >= support)
+    known = told(F.col("n_te"), "n_t", "n_e")
+    kind = F.when(known >= beta * content("n_e") - 1e-9, "cut").otherwise("term").alias("kind")
+    kinds = pairs.where((known >= alpha * content("n_e")) & (known > 0)).select("value", *same, kind)
+    kinds = meet.select("row", "value", *same).distinct().join(kinds, ["value", *same]).groupBy("row", *same).agg(F.min("kind").alias("kind"))  # cut comes before term
+    return held.join(kinds, ["row", *same]).select("row", "term", "kind")
 
 
 def all_spans(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA, support: int = SUPPORT) -> DataFrame:
     """(row, spans): sorted spans (start, order, stop, kind, upto) of each row that has any; upto is the furthest end of the spans before.
     rows (row, text) is read several times."""
     spans = written(base_spans(rows), "pii-base")
-    near = written(beside(rows, spans), "pii-terms")
-    terms = near.join(disclosing(rows, spans, near, alpha, beta, support), ["value", "term"]).select("row", "kind", "start", "stop")
-    terms = terms.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind")).select("row", "kind", "start", "stop")  # cut comes before term
+    texts, places = beside(rows, spans)
+    terms = written(disclosing(rows, texts, places, alpha, beta, support), "pii-terms")
+    words = texts.join(terms.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(_pieces(F.col("text"), TERM)).alias("at", "piece"))
+    words = _placed(words.select("row", "at", "piece.before", "piece.match"), ["row"]).select("row", F.lower("match").alias("term"), F.col("start").cast("int"), F.col("stop").cast("int"))
+    terms = words.join(terms, ["row", "term"]).select("row", "kind", "start", "stop")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("order")
     both = spans.select("row", "kind", "start", "stop").unionByName(terms).select("row", "start", order, "stop", "kind")
     before = Window.partitionBy("row").orderBy("start", "order", "stop").rowsBetween(Window.unboundedPreceding, -1)

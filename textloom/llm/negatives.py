@@ -7,14 +7,16 @@ negatives. Both are one search (``windowed_top``): the best ``k`` rows of the sa
 * Index: two codebooks, one for each half of the components, are fitted by k-means on a bounded sample (``SAMPLE`` rows, ``SAMPLE_BYTES``);
   every row goes to the cell of its nearest words in both. A cell keeps how far its rows lie from either word, at most (its
   radii), and its rows in parts of ``PART_BYTES``, dealt by hash, so that a crowded cell is many parts.
-* Traversal: anchors of one label and cell travel in blocks. A half's bound for a word is the largest, over the block's anchors, of the anchor's
+* Traversal: anchors of one label travel in blocks, those of a cell and of the next ones together. A half's bound for a word is the largest, over the block's anchors, of the anchor's
   half-score with the word plus its half's length times the word's radius. A heap over pairs of sorted words visits cells by summed bounds,
   highest first (multi-sequence). A cell that can reach no window of any anchor, by its own radii, is passed over.
 * Stop: a window is certified when it holds k rows and the next bound lies below the worst of them, or when that bound lies below the
   window. A block is done when all its windows are certified. Bounds hold for every row, so results are exact.
-* Rounds: each round every open block asks for its next ``FIRST_CELLS * GROWTH**round`` cells; requests join the index's parts by (cell, part), tasks
-  return only rows that enter a window's best so far, and a block's finds are folded into its state, one row a block. States are tables; the
-  driver sees only the codebooks and the cells' directory (at most ``MOST_WORDS**2`` rows), and how many blocks are open.
+* Rounds: each round every open block asks for its next ``FIRST_CELLS * GROWTH**round`` cells; parts are counted through, up to ``SHELF`` of
+  them are a shelf, and a request carries the block's anchors to a shelf once, with the places of the parts asked for there. A task holds one
+  shelf at a time while its requests pass by, and returns only rows that enter a window's best so far; a block's finds are folded into its state, one
+  row a block. States are tables; the driver sees only the codebooks and the cells' directory (at most ``MOST_WORDS**2`` rows), and how many
+  blocks are open. Requests and states are never broadcast: as Parquet they are small for what they hold, since anchors recur in them.
 
 Defined cases: rows with a null label, a null or empty vector, or any null or non-finite component take no part; vectors meet those of equal length
 only; a null vec_id is no anchor and comes last in ties; rows with one vec_id are rows of their own (an anchor's copy can be its
@@ -30,7 +32,7 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +48,17 @@ SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 #: Rows a cell on average, and words of a codebook at most.
 CELL_SIZE, MOST_WORDS = 256, 256
 PART_BYTES, BLOCK_BYTES = 1 << 16, 1 << 14
+#: Parts of a shelf at most, and how many shelves there are before any holds more than one.
+SHELF, SHELVES = 16, 64
 FIRST_CELLS, GROWTH = 4, 8
 SEED = 20240131
 NOBODY = np.iinfo(np.int64).max  # the id of a row without one
 LEAST = np.iinfo(np.int64).min
 VECTOR = "row long, vec_id long, label long, dim int, q binary, anchor boolean"
 CODED = "row long, vec_id long, label long, dim int, q binary, anchor boolean, cell int, far_one double, far_two double"
-PART = "dim int, cell int, part int, rows binary, ids binary, labels binary, q binary"
-STATE = "block long, dim int, cell int, rows binary, ids binary, labels binary, q binary, low binary, high binary, best binary, seen int, done boolean"
-REQUEST = "block long, dim int, cell int, part int, anchors binary, labels binary, q binary, low binary, high binary"
+PART = "dim int, shelf int, place int, rows binary, ids binary, labels binary, q binary"
+STATE = "block long, dim int, rows binary, ids binary, labels binary, q binary, low binary, high binary, best binary, seen int, done boolean"
+REQUEST = "block long, dim int, shelf int, places array<int>, anchors binary, labels binary, q binary, low binary, high binary"
 FOUND = "block long, found binary"
 Batches = Iterator[pa.RecordBatch]
 
@@ -70,6 +74,8 @@ class Directory:
     far_one: np.ndarray
     far_two: np.ndarray
     part_rows: int
+    #: Parts of a shelf.
+    shelf: int = 1
 
     @property
     def half(self) -> int:
@@ -78,6 +84,17 @@ class Directory:
     def parts(self, cell):
         return -(-self.count[cell] // self.part_rows)
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        """By cell, the number of its first part; the parts of all cells are counted through."""
+        return np.cumsum(self.parts(slice(None))) - self.parts(slice(None))
+
+    def shelves(self, cells: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """The cells' parts, as places on their shelves."""
+        asked = np.sort(np.concatenate([self.first[c] + np.arange(self.parts(c)) for c in cells])) if cells else np.zeros(0, np.int64)
+        for shelf, places in itertools.groupby(asked.tolist(), key=lambda n: n // self.shelf):
+            yield shelf, [n % self.shelf for n in places]
+
 
 def quantised(x: list) -> np.ndarray:
     """floor(256 x) of each component, as whole numbers."""
@@ -104,7 +121,7 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _table(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     named = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
 
@@ -162,12 +179,13 @@ def _longs(values) -> bytes:
     return np.array(values, "<i8").tobytes()
 
 
-def _pack_parts(batches: Batches) -> Batches:
+def _pack_parts(books, batches: Batches) -> Batches:
     """Rows (dim, cell, part, row, vec_id, label, q), those of a part together and by vec_id and row: a row a part."""
     for (dim, cell, part), group in itertools.groupby(_rows(batches), key=lambda r: r[:3]):
         held = list(group)
         q = packed(np.vstack([unpacked(r[6], dim) for r in held]))
-        yield _table([[x] for x in (dim, cell, part, _longs([r[3] for r in held]), _longs([r[4] for r in held]), _longs([r[5] for r in held]), q)], PART)
+        shelf, place = divmod(int(books.value[dim].first[cell]) + part, books.value[dim].shelf)
+        yield _table([[x] for x in (dim, shelf, place, _longs([r[3] for r in held]), _longs([r[4] for r in held]), _longs([r[5] for r in held]), q)], PART)
 
 
 class Index:
@@ -192,13 +210,15 @@ class Index:
         for r in told.collect():  # at most MOST_WORDS**2 rows a length
             book = self.books[r.dim]
             book.count[r.cell], book.far_one[r.cell], book.far_two[r.cell] = r.n, r.one, r.two
+        for book in self.books.values():
+            book.shelf = int(min(SHELF, max(1, book.parts(slice(None)).sum() // SHELVES)))
         full = [(d, c, int(b.parts(c))) for d, b in self.books.items() for c in np.flatnonzero(b.count > b.part_rows).tolist()]
         many = F.broadcast(spark.createDataFrame(full, "dim int, cell int, parts int"))
         part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
         dealt = self.coded.join(many, ["dim", "cell"], "left").select("dim", "cell", part, "row", "vec_id", "label", "q")
         shuffled = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "vec_id", "row")
-        self.parts = written(shuffled.mapInArrow(_pack_parts, PART), "negatives-parts")
         self.sent = spark.sparkContext.broadcast(self.books)
+        self.parts = written(shuffled.mapInArrow(partial(_pack_parts, self.sent), PART), "negatives-parts")
 
 
 def cells_by_bound(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[float, int, int]]:
@@ -286,40 +306,51 @@ class Block:
 
 
 def _ask(books, most: int, k: int, batches: Batches) -> Batches:
-    """Requests of each open block for its next cells, and a row with part -1 that tells how far it is then."""
+    """Requests of each open block for its next cells, and a row with shelf -1 (-2 when none is left) that tells in places how far it is then."""
     for r in itertools.chain.from_iterable(b.to_pylist() for b in batches):
         book, block = books.value[r["dim"]], Block.of(r, k)
         cells, seen, done = block.next_cells(book, r["seen"], most)
         keep = [r["block"], r["dim"]]
-        out = [(*keep, seen, -2 if done else -1, None, None, None, None, None)]
+        out = [(*keep, -2 if done else -1, [seen], None, None, None, None, None)]
         sent = (r["rows"], r["labels"], r["q"], _longs(block.needed()), r["high"])
-        for cell in cells:
-            out += [(*keep, cell, part, *sent) for part in range(int(book.parts(cell)))]
+        out += [(*keep, shelf, places, *sent) for shelf, places in book.shelves(cells)]
         for i in range(0, len(out), 256):
             yield _table(list(zip(*out[i : i + 256])), REQUEST)
 
 
+def _enters(same: bool, k: int, request: dict, part: tuple) -> np.ndarray:
+    """The rows of a part that enter a window: (anchor's place, score, vec_id, row)."""
+    longs = lambda name: np.frombuffer(request[name], "<i8")
+    anchors, (rows, ids, labels, q) = longs("anchors"), part
+    s = scores(unpacked(request["q"], request["dim"], len(anchors)), q)
+    fits = (longs("labels")[:, None] == labels) == same
+    fits &= anchors[:, None] != rows
+    low, high = longs("low").reshape(len(anchors), -1), longs("high").reshape(len(anchors), -1)
+    enters = np.zeros(s.shape, bool)
+    for w in range(low.shape[1]):
+        here = fits & (s >= low[:, w : w + 1]) & (s <= high[:, w : w + 1])
+        crowded = np.flatnonzero(here.sum(1) > k)
+        if len(crowded):  # the k best: by score, then place, which follows vec_id and row
+            order = np.argsort(np.where(here[crowded], -s[crowded], NOBODY), axis=1, kind="stable")[:, :k]
+            here[crowded] = False
+            here[crowded[:, None], order] = True
+        enters |= here
+    i, j = np.nonzero(enters)
+    return np.stack([i, s[i, j], ids[j], rows[j]], 1).astype("<i8")
+
+
 def _score(same: bool, k: int, batches: Batches) -> Batches:
-    """Requests joined with parts: the rows that enter a window."""
-    for r in itertools.chain.from_iterable(b.to_pylist() for b in batches):
-        longs = lambda name: np.frombuffer(r[name], "<i8")
-        anchors, rows = longs("anchors"), longs("rows")
-        s = scores(unpacked(r["q"], r["dim"], len(anchors)), unpacked(r["stored"], r["dim"], len(rows)))
-        fits = (longs("labels")[:, None] == longs("stored_labels")) == same
-        fits &= anchors[:, None] != rows
-        low, high = longs("low").reshape(len(anchors), -1), longs("high").reshape(len(anchors), -1)
-        enters = np.zeros(s.shape, bool)
-        for w in range(low.shape[1]):
-            here = fits & (s >= low[:, w : w + 1]) & (s <= high[:, w : w + 1])
-            crowded = np.flatnonzero(here.sum(1) > k)
-            if len(crowded):  # the k best: by score, then place, which follows vec_id and row
-                order = np.argsort(np.where(here[crowded], -s[crowded], NOBODY), axis=1, kind="stable")[:, :k]
-                here[crowded] = False
-                here[crowded[:, None], order] = True
-            enters |= here
-        i, j = np.nonzero(enters)
-        if len(i):
-            yield _table([[r["block"]], [np.stack([i, s[i, j], longs("ids")[j], rows[j]], 1).astype("<i8").tobytes()]], FOUND)
+    """Parts and requests, those of a shelf together and its parts first: the rows that enter a window."""
+    for _, group in itertools.groupby(itertools.chain.from_iterable(b.to_pylist() for b in batches), key=lambda r: (r["dim"], r["shelf"])):
+        held = {}
+        for r in group:
+            if r["places"] is None:
+                rows, ids, labels = (np.frombuffer(r[name], "<i8") for name in ("rows", "ids", "labels"))
+                held[r["place"]] = rows, ids, labels, unpacked(r["q"], r["dim"], len(rows))
+                continue
+            found = np.vstack([_enters(same, k, r, held[place]) for place in r["places"]])
+            if len(found):
+                yield _table([[r["block"]], [found.tobytes()]], FOUND)
 
 
 def _fold(k: int, batches: Batches) -> Batches:
@@ -338,18 +369,23 @@ def _fold(k: int, batches: Batches) -> Batches:
         yield _table([[state[c.split()[0]]] if c.split()[0] != "best" else [block.best.tobytes()] for c in STATE.split(", ")], STATE)
 
 
+def met(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Requests with the parts of their shelf: both are dealt by shelf, and a shelf's parts come first."""
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = stored.unionByName(asked.where("shelf >= 0"), allowMissingColumns=True)
+    return both.repartition(parts, "dim", "shelf").sortWithinPartitions("dim", "shelf", F.col("places").isNotNull())
+
+
 def windowed_top(index: Index, states: DataFrame, same: bool, k: int) -> DataFrame:
     """states (rows of STATE, their windows open) with the best k rows of each window, of the anchor's label or of others."""
     spark = states.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = index.parts.select("dim", "cell", "part", "rows", "ids", F.col("labels").alias("stored_labels"), F.col("q").alias("stored"))
     finished, left, most = [], states, FIRST_CELLS
     while True:
         asked = written(left.mapInArrow(partial(_ask, index.sent, most, k), REQUEST), "negatives-asked")
-        pairs = asked.where("part >= 0").join(stored, ["dim", "cell", "part"])
-        found = pairs.mapInArrow(partial(_score, same, k), FOUND)
-        far = asked.where("part < 0").select("block", F.col("cell").alias("now"), (F.col("part") == -2).alias("ended"))
-        before = left.join(far, "block").select(*[F.col("now").alias("seen") if c == "seen" else F.col("ended").alias("done") if c == "done" else F.col(c) for c in left.columns], F.lit(None).cast("binary").alias("found"))
+        found = met(asked, index.parts).mapInArrow(partial(_score, same, k), FOUND)
+        far = asked.where("shelf < 0").select("block", F.col("places")[0].alias("now"), (F.col("shelf") == -2).alias("ended"))
+        before = left.hint("merge").join(far, "block").select(*[F.col("now").alias("seen") if c == "seen" else F.col("ended").alias("done") if c == "done" else F.col(c) for c in left.columns], F.lit(None).cast("binary").alias("found"))
         both = before.unionByName(found, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", F.col("found").isNotNull())
         now = written(both.mapInArrow(partial(_fold, k), STATE), "negatives-state")
         finished.append(now.where("done"))
@@ -365,12 +401,12 @@ def windowed_top(index: Index, states: DataFrame, same: bool, k: int) -> DataFra
 
 def _start(k: int, batches: Batches) -> Batches:
     """Anchors (dim, label, cell, row, vec_id, q) in order: blocks with one window for all scores."""
-    for (dim, label, cell), group in itertools.groupby(_rows(batches), key=lambda r: r[:3]):
+    for (dim, label), group in itertools.groupby(_rows(batches), key=lambda r: r[:2]):
         most = max(1, BLOCK_BYTES // (2 * dim + 128))
         while held := list(itertools.islice(group, most)):
             n = len(held)
             rows = np.array([r[3] for r in held], np.int64)
-            columns = [int(rows[0]), dim, cell, _longs(rows), _longs([r[4] for r in held]), _longs([label] * n), packed(np.vstack([unpacked(r[5], dim) for r in held]))]
+            columns = [int(rows[0]), dim, _longs(rows), _longs([r[4] for r in held]), _longs([label] * n), packed(np.vstack([unpacked(r[5], dim) for r in held]))]
             columns += [_longs([LEAST + 1] * n), _longs([NOBODY] * n), np.full((n, 1, k, 3), LEAST, "<i8").tobytes(), 0, False]
             yield _table([[c] for c in columns], STATE)
 
@@ -420,4 +456,4 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = POS
     far = windowed_top(index, written(near.mapInArrow(partial(_windows, low, high, positives, negatives), STATE), "negatives-windows"), False, negatives)
     first = near.mapInArrow(partial(_tell, positives), TOLD).select("anchor_row", (F.col("rank") - 1).alias("place"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     second = far.mapInArrow(partial(_tell, negatives), TOLD)
-    return second.join(first, ["anchor_row", "place"]).select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return second.hint("merge").join(first, ["anchor_row", "place"]).select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -39,7 +39,20 @@ _passed("sql_semi", "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (
 _passed("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 _passed("sql_setops", "SELECT p_partkey FROM part WHERE p_size < 10 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 2")
 _passed("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
-_passed("sql_full_join", "SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, count(DISTINCT c_custkey) AS n_customers, count(DISTINCT s_suppkey) AS n_suppliers FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+
+
+@query("SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, count(DISTINCT c_custkey) AS n_customers, count(DISTINCT s_suppkey) AS n_suppliers FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+def sql_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the full join counts, without its pairs: each customer and each supplier is in some row of it under its own nation, so both sides are summed
+    up by nation and no nation's customers meet its suppliers. Rows without a nation join nothing and share one group."""
+    for name, df in tables(spark, sf_dir, ("customer", "supplier")).items():
+        df.createOrReplaceTempView(name)
+    apart = """SELECT nationkey, sum(customers) AS n_customers, sum(suppliers) AS n_suppliers FROM (
+      SELECT c_nationkey AS nationkey, count(DISTINCT c_custkey) AS customers, 0 AS suppliers FROM customer GROUP BY c_nationkey
+      UNION ALL SELECT s_nationkey, 0, count(DISTINCT s_suppkey) FROM supplier GROUP BY s_nationkey) GROUP BY nationkey"""
+    G.check(spark, apart)
+    return spark.sql(apart)
+
 
 _CROSS = """WITH nation AS (SELECT n_nationkey AS k, n_name AS name, r_name /* FROM region */ FROM nation JOIN region ON n_regionkey = r_regionkey)
  SELECT name, r_name, 'FROM orders' AS said, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey = k JOIN orders ON o_custkey = c_custkey
